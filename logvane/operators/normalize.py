@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvane.functions import coerce as C
-from logvane.session import collect_bounded
+from logvane.session import collect_bounded, fence
 
 NORMALIZED_COLUMNS = [
     "timestamp", "hour_of_day", "day_of_week", "event_id", "channel", "source_name", "severity",
@@ -60,8 +60,8 @@ def line_counts(parsed: DataFrame) -> DataFrame:
 def normalize(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Flatten ``event`` into the fixed 23 columns; ``keep`` names columns passed through.
 
-    Each JSON text is parsed once: the final ``inline`` stops the optimizer from
-    copying the parse into filters that are later put on the typed columns.
+    Each JSON text is parsed once: the fence stops the optimizer from copying
+    the parse into filters that are later put on the typed columns.
     """
     e = F.col("event")
     keep = keep or []
@@ -102,7 +102,7 @@ def normalize(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.length("message").alias("message_len"),
         C.channel_bucket(F.col("channel")).alias("channel_bucket"),
     ]
-    return staged.select(F.inline(F.array(F.struct(*keep, *fields))))
+    return fence(staged.select(*keep, *fields))
 
 
 def top_event_ids(events: DataFrame, n: int = 15) -> list[int]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,3 +79,12 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise TooLarge(f"{what}: more than {max_rows} rows")
     return rows
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Same rows, but later filters are not rewritten into the expressions below.
+
+    Without it the optimizer copies an expensive expression into every filter
+    on its result, and evaluates it once per copy.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

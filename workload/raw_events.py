@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logvane.operators.normalize import normalize, parse_lines
 from logvane.operators.rules import TIER1, TIER2, label
-from logvane.session import work_path
+from logvane.session import fence, work_path
 from logvane.sources.tables import read_stage, write_stage
 
 
@@ -90,7 +90,7 @@ def to_lines(events: DataFrame) -> DataFrame:
         ).alias("good_line"),
     )
     broken = F.col("event_key") % 97 == 0
-    return raw.select("event_key", F.when(broken, F.lit("broken{")).otherwise(F.col("good_line")).alias("line"))
+    return fence(raw.select("event_key", F.when(broken, F.lit("broken{")).otherwise(F.col("good_line")).alias("line")))
 
 
 _STAGE_PATHS: dict[tuple[str, str], str] = {}
