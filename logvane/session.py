@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +89,8 @@ def fence(df: DataFrame) -> DataFrame:
     on its result, and evaluates it once per copy.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def share(model) -> Broadcast:
+    """Ship a fitted model, whose size does not grow with the data, to each executor once."""
+    return SparkSession.active().sparkContext.broadcast(model)
