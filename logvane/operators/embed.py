@@ -21,12 +21,13 @@ def hashed_slots(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
     MD5 rather than an engine's own hash, so any tool can recompute a vector.
     """
 
-    def slot(token):
-        digest = F.md5(token)
-        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dimensions + 1
-        return F.when(F.substring(digest, 9, 1) < "8", place).otherwise(-place).cast("int")
+    numbers = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("bigint"))
 
-    return F.transform(tokens, slot)
+    def slot(number):
+        place = F.floor(number / 16) % dimensions + 1
+        return F.when(number % 16 < 8, place).otherwise(-place).cast("int")
+
+    return F.transform(numbers, slot)
 
 
 def hashed_vector(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
