@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logvane.functions import text as X
+from logvane.operators import embed, enrich, retrieve, rules
 from logvane.operators.density import NOISE
+from logvane.session import materialize
 
 TOPICS = 12
 EVENTS_PER_TOPIC = 3
@@ -41,3 +43,19 @@ def analysis_queries(
     return worst.select(
         F.col(key).alias("query_id"), "*", X.anomaly_context().alias("anomaly_context")
     ).withColumn("query", F.concat_ws(" ", "anomaly_context", "topic_keywords"))
+
+
+def analyse_events(
+    events: DataFrame, kb: DataFrame, analyzer=enrich.extract, topics: int = TOPICS,
+    per_topic: int = EVENTS_PER_TOPIC, k: int = 5, embedder=None,
+) -> DataFrame:
+    """Worst events of the lowest-scored topics, each with passages and an analysis.
+
+    All queries are searched in one pass over the knowledge base.
+    """
+    chosen = rules.attribute(analysis_queries(events, topics, per_topic)).withColumn(
+        "severity_hint", enrich.severity_hint()
+    )
+    chosen = materialize(embed.embed(chosen, "query", embedder=embedder), "queries")
+    placed = retrieve.retrieve(chosen, kb, k)
+    return enrich.enrich(retrieve.with_context(chosen, placed).drop("embedding"), analyzer)

@@ -1,8 +1,8 @@
 """All queries by name."""
 
-from workload import labeling, scoring, topics
+from workload import knowledge, labeling, scoring, topics
 
-_PARTS = [labeling, scoring, topics]
+_PARTS = [labeling, scoring, topics, knowledge]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
