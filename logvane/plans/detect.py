@@ -13,7 +13,7 @@ from logvane.operators.normalize import one_hot_event_ids, top_event_ids
 from logvane.operators.quantiles import exact_quantile
 from logvane.operators.sampling import hash_sample
 from logvane.operators.scores import combine_flags, suspicion
-from logvane.session import materialize
+from logvane.session import materialize, spread_small
 
 CONTAMINATION = 0.05
 FLAGS = ["if_is_anomaly", "ocsvm_is_anomaly", "ae_is_anomaly"]
@@ -75,7 +75,7 @@ def fit_and_score(
     event_ids = [] if columns else sorted(top_event_ids(events))
     events = one_hot_event_ids(events, event_ids)
     scaler = fit_scaler(events, columns or feature_columns(events))
-    featured = materialize(with_features(events, scaler), "features")
+    featured = materialize(spread_small(with_features(events, scaler)), "features")
     forest = isolation_forest.fit_forest(featured, key)
     bound = boundary.fit_boundary(featured, key, nu=contamination)
     pca = components.fit_components(featured, 8, min_explained=0.95)

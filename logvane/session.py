@@ -20,6 +20,10 @@ SESSION_DEFAULTS = {
 }
 
 
+# inputs below this size are dealt out over all cores; larger ones arrive in enough splits
+SMALL_BYTES = 1 << 30
+
+
 class TooLarge(ValueError):
     """A side that must be small enough to hold in memory is not."""
 
@@ -59,6 +63,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out evenly: a single small file would keep one core busy."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     spark = df.sparkSession

@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from logvane.operators.normalize import normalize, parse_lines
 from logvane.operators.rules import TIER1, TIER2, label
-from logvane.session import fence, work_path
+from logvane.session import fence, spread_small, work_path
 from logvane.sources.tables import read_stage, write_stage
 
 
+TEXT_TABLES = {"documents", "events", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # text work is heavy per row, and these tables may be a single file
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 IMAGES = [
