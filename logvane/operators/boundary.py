@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvane.functions.arrays import to_matrix
-from logvane.operators.quantiles import exact_quantile
 from logvane.operators.sampling import hash_sample
 from logvane.session import collect_bounded, materialize, share
 
@@ -37,8 +36,8 @@ def descend(z: np.ndarray, weights: np.ndarray, rho: float, nu: float, first_ste
     """Subgradient steps on 0.5|w|^2 - rho + mean(max(0, rho - w.z)) / nu."""
     for t in range(first_step, first_step + steps):
         rate = 1.0 / (t + 1)
-        inside = z @ weights < rho
-        pull = z[inside].sum(axis=0) / (nu * len(z))
+        inside = (z @ weights < rho).astype(float)
+        pull = (inside @ z) / (nu * len(z))
         weights = (1 - rate) * weights + rate * pull
         rho = rho + rate * (1.0 - inside.mean() / nu)
     return weights, rho
@@ -51,7 +50,7 @@ def fit_boundary(
     """Fit on at most ``max_rows`` hash-sampled rows; the threshold is the ``nu`` quantile of the sample's scores."""
     sample = materialize(
         hash_sample(df.select(key, vector), key, max_rows, seed)
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(shards))),
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(shards)).cast("int")),
         "boundary-sample",
     )
     size, spread = sample.select(F.size(vector).alias("d"), F.explode(vector).alias("x")).agg(
@@ -62,6 +61,7 @@ def fit_boundary(
     directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (size, components))
     phases = rng.uniform(0.0, 2.0 * np.pi, components)
     weights, rho = np.zeros(components), 0.0
+    by_shard = sample.repartition(shards, "shard").groupBy("shard")
     schema = "n long, weights array<double>, rho double"
 
     for round_number in range(rounds):
@@ -73,7 +73,7 @@ def fit_boundary(
             w, r = descend(z, start, start_rho, nu, first_step, steps)
             return pd.DataFrame({"n": [len(z)], "weights": [w], "rho": [r]})
 
-        parts = collect_bounded(sample.groupBy("shard").applyInPandas(local_steps, schema), shards, "shards")
+        parts = collect_bounded(by_shard.applyInPandas(local_steps, schema), shards, "shards")
         parts = sorted(parts, key=lambda p: (p["n"], p["rho"]))
         part = np.array([p["n"] for p in parts], dtype=float)
         part /= part.sum()
@@ -81,7 +81,8 @@ def fit_boundary(
         rho = float(part @ np.array([p["rho"] for p in parts]))
 
     fitted = Boundary(directions, phases, weights, rho, gamma)
-    cut = exact_quantile(sample.withColumn("score", boundary_score(fitted, vector)), "score", nu)
+    # the sample's size is bounded, so its exact percentile is too
+    cut = sample.select(boundary_score(fitted, vector).alias("score")).agg(F.percentile("score", nu)).first()[0]
     return fitted._replace(rho=cut)
 
 

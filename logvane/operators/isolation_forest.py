@@ -75,36 +75,40 @@ def fit_forest(
     sample_size: int = 256, seed: int = 42,
 ) -> Forest:
     """Grow the trees on hash-drawn samples; the result does not depend on partitioning."""
-    pool = hash_sample(df.select(key, vector), key, trees * sample_size, seed)
-    pool_rows = min(df.count(), trees * sample_size)
-    size = min(sample_size, pool_rows)
+    rows = df.count()
+    size = min(sample_size, rows)
     height = max(1, math.ceil(math.log2(max(size, 2))))
-    drawn_share = min(1.0, (size + 6 * math.sqrt(size) + 1) / max(pool_rows, 1))
-
-    # every row draws the trees it joins; a little over `size` rows per tree reach the shuffle
-    draw = lambda t: F.xxhash64(F.lit(seed + 1), t, F.col(key))
-    bound = int(-(2**63) + drawn_share * (2**64 - 1))
-    drawn = pool.select(
-        key, vector,
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= bound)).alias("tree_id"),
-    ).withColumn("_h", draw(F.col("tree_id")))
-    order = Window.partitionBy("tree_id").orderBy("_h", key)
+
+    # a third more draws than places, so that every tree fills up
+    draws = trees * size + trees * size // 3
+    pool = hash_sample(df.select(key, vector), key, draws, seed) if rows > draws else df.select(key, vector)
+    if rows <= 8 * size:
+        tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
+    else:
+        copies = F.sequence(F.lit(0), F.lit(max(1, math.ceil(draws / rows)) - 1))
+        tree_ids = F.array_distinct(
+            F.transform(copies, lambda c: F.pmod(F.xxhash64(F.lit(seed + 1), c, F.col(key)), F.lit(trees)).cast("int"))
+        )
+    # few rows but much work per row: keep the adaptive planner from merging the trees into one task
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    drawn = pool.select(key, vector, F.explode(tree_ids).alias("tree_id")).repartition(tasks, "tree_id")
+    order = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.lit(seed + 2), "tree_id", key), key)
     members = drawn.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size)
 
-    def grow(key_values: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key_values: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(key_values[0])
-        rows = rows.sort_values(["_rank"])  # arrival order within a group is not fixed
-        points = np.stack(rows[vector].to_numpy())
+        group = group.sort_values("_rank")  # arrival order within a group is not fixed
+        points = np.stack(group[vector].to_numpy())
         tree = grow_tree(points, height, np.random.default_rng([seed, tree_id]))
         return pd.DataFrame([(tree_id, *tree)], columns=["tree_id", "features", "thresholds", "path_length"])
 
-    grown = members.groupBy("tree_id").applyInPandas(
+    grown = members.drop(key).groupBy("tree_id").applyInPandas(
         grow, "tree_id int, features array<int>, thresholds array<double>, path_length array<double>"
     )
-    rows = sorted(collect_bounded(grown, trees, "trees"))
+    found = sorted(collect_bounded(grown, trees, "trees"))
     return Forest(
-        np.array([r["features"] for r in rows], dtype=np.int32), np.array([r["thresholds"] for r in rows]),
-        np.array([r["path_length"] for r in rows]), height, size,
+        np.array([t["features"] for t in found], dtype=np.int32), np.array([t["thresholds"] for t in found]),
+        np.array([t["path_length"] for t in found]), height, size,
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logvane.functions.text import terms
+from logvane.session import materialize
 
 MAX_TERMS = 10_000
 MIN_TOPICS = 2
@@ -33,7 +34,11 @@ def vocabulary(counts: DataFrame, min_topics: int = MIN_TOPICS, max_terms: int =
 def term_weights(
     counts: DataFrame, topic: str = "topic", min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS
 ) -> DataFrame:
-    """``weight = n / topic length * ln(1 + mean topic length / total n)`` over the vocabulary."""
+    """``weight = n / topic length * ln(1 + mean topic length / total n)`` over the vocabulary.
+
+    The counts are stored first: vocabulary, lengths and weights all read them.
+    """
+    counts = materialize(counts, "term-counts")
     kept = counts.join(vocabulary(counts, min_topics, max_terms), "term")
     lengths = kept.groupBy(topic).agg(F.sum("n").alias("length"))
     mean_length = lengths.agg(F.avg("length")).scalar()

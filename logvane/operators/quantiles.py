@@ -24,6 +24,8 @@ def exact_quantile(df: DataFrame, column: str, q: float, direct_rows: int = DIRE
     n = values.count()
     if n == 0:
         return None
+    if n <= direct_rows:
+        return values.agg(F.percentile("v", q)).first()[0]
     rank = q * (n - 1)
     low, high = math.floor(rank), math.ceil(rank)
     a, b = _order_statistics(values, n, low, high, direct_rows)

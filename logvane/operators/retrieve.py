@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logvane.functions.text import clean_tokens
 from logvane.session import TooLarge, collect_bounded, share
 
 # a query matrix up to this many numbers (64 MiB) is shipped to every executor
@@ -225,23 +226,22 @@ def assemble(placed: DataFrame, name: str = "retrieved_docs") -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, kb: DataFrame, k: int = 5, metric: str = "cosine", tokens=None, reranker=None
+    queries: DataFrame, kb: DataFrame, k: int = 5, metric: str = "cosine", tokens=clean_tokens, reranker=None
 ) -> DataFrame:
     """``queries(query_id, query, embedding)`` to ranked passages.
 
     ``kb``: ``collection, doc_id, text, meta, embedding``. Candidates of all
     collections are scored jointly by BM25 over whole texts, or by ``reranker``
-    (columns query and text to a score), and reordered; none is dropped.
+    (columns query and text to a score), and reordered; none is dropped. A
+    ``tokens`` column stored with the passages saves tokenizing them again.
     """
-    from logvane.functions.text import clean_tokens
-
-    tokens = tokens or clean_tokens
     key = ["collection", "doc_id"]
+    stored = F.col("tokens") if "tokens" in kb.columns else tokens(F.col("text"))
     found = nearest(queries, kb, k, metric)
     if reranker is None:
         scored = bm25(
             found, queries.select("query_id", tokens(F.col("query")).alias("tokens")),
-            kb.select(*key, tokens(F.col("text")).alias("tokens")), key,
+            kb.select(*key, stored.alias("tokens")), key,
         ).withColumnRenamed("bm25", "score")
         scored = scored.join(kb.select(*key, "text", "meta"), key)
     else:

@@ -65,7 +65,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input out evenly: a single small file would keep one core busy."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 

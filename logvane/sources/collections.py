@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logvane.functions.text import clean_tokens
 from logvane.operators.embed import embed
 from logvane.sources.knowledge import landed_feeds, load_collection
 from logvane.sources.tables import write_stage
@@ -21,16 +22,17 @@ def repeated_ids(docs: DataFrame) -> DataFrame:
 def replace_collections(docs: DataFrame, path: str, embedder: Callable[[Column], Column] | None = None) -> None:
     """Embed ``collection, doc_id, text, meta`` and replace the collections that occur in it.
 
-    Collections not in ``docs`` stay as they are. Repeated ids are refused.
+    Tokens are stored next to the vectors, since every search re-ranks by them. Collections not in ``docs`` stay as they are. Repeated ids are refused.
     """
     clash = repeated_ids(docs).first()
     if clash is not None:
         raise ValueError(f"id {clash['doc_id']} occurs {clash['n']} times in {clash['collection']}")
-    write_stage(embed(docs, "text", embedder=embedder), path, partition_by=["collection"])
+    indexed = embed(docs, "text", embedder=embedder).withColumn("tokens", clean_tokens(F.col("text")))
+    write_stage(indexed, path, partition_by=["collection"])
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("collection", "doc_id", "text", "meta", "embedding")
+    return spark.read.parquet(path).select("collection", "doc_id", "text", "meta", "embedding", "tokens")
 
 
 def collection_counts(kb: DataFrame) -> DataFrame:

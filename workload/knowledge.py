@@ -169,13 +169,13 @@ def collection_counts(spark, sf_dir):
 
 # --- search -----------------------------------------------------------------------------------------------------
 
-_KB_PATHS: dict[tuple[str, str], DataFrame] = {}
+_KB: dict[tuple[str, str], DataFrame] = {}
 
 
 def _kb(spark, sf_dir):
     """Documents as passages, one collection per language, embedded once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KB_PATHS:
+    if key not in _KB:
         docs = table(spark, sf_dir, "documents").select(
             F.col("lang").alias("collection"), "doc_id", "text",
             F.create_map(
@@ -184,8 +184,9 @@ def _kb(spark, sf_dir):
                 F.lit("title"), F.when(F.col("doc_id") % 3 > 0, F.col("text")),
             ).alias("meta"),
         )
-        _KB_PATHS[key] = materialize(embed.embed(docs, "text"), "kb")
-    return _KB_PATHS[key]
+        indexed = embed.embed(docs, "text").withColumn("tokens", X.clean_tokens(F.col("text")))
+        _KB[key] = materialize(indexed, "kb")
+    return _KB[key]
 
 
 def _queries(spark, sf_dir):
@@ -221,7 +222,7 @@ def bm25_scores(spark, sf_dir):
     found = retrieve.nearest(queries, kb, 5)
     scored = retrieve.bm25(
         found, queries.select("query_id", X.clean_tokens(F.col("query")).alias("tokens")),
-        kb.select("collection", "doc_id", X.clean_tokens(F.col("text")).alias("tokens")), ["collection", "doc_id"],
+        kb.select("collection", "doc_id", "tokens"), ["collection", "doc_id"],
     )
     return scored.select("query_id", "collection", "doc_id", F.round("bm25", 6).alias("bm25"))
 
@@ -246,7 +247,7 @@ def analysis_queries(spark, sf_dir):
 
 def _attack_kb(spark, sf_dir):
     docs = _attack(spark, sf_dir).select(F.lit("mitre_attack").alias("collection"), "doc_id", "text", "meta")
-    return materialize(embed.embed(docs, "text"), "attack-kb")
+    return materialize(embed.embed(docs, "text").withColumn("tokens", X.clean_tokens(F.col("text"))), "attack-kb")
 
 
 def analysed_events(spark, sf_dir):
