@@ -82,8 +82,8 @@ def enrich(
 ) -> DataFrame:
     """Analyses with one retry for rows whose analysis is not grounded in its passages.
 
-    The first pass is stored, so an expensive analyzer runs once per row, plus
-    once per retried row. Needs ``anomaly_context, topic_keywords, retrieved_docs``.
+    Both passes are stored, so an expensive analyzer runs once per row, plus once
+    per retried row. Needs ``anomaly_context, topic_keywords, retrieved_docs``.
     """
     first = materialize(apply_analyzer(queries, analyzer), "analyses")
     weak = (
@@ -92,7 +92,9 @@ def enrich(
     )
     context = F.col("anomaly_context")
     retry = first.filter(weak).drop(*FIELDS, "error").withColumn("anomaly_context", F.concat(F.lit(reminder), context))
-    second = apply_analyzer(retry, analyzer).withColumn("anomaly_context", F.expr(f"substring(anomaly_context, {len(reminder) + 1})"))
+    second = materialize(apply_analyzer(retry, analyzer), "retries").withColumn(
+        "anomaly_context", F.substr("anomaly_context", F.lit(len(reminder) + 1))
+    )
     return first.filter(~weak).withColumn("retried", F.lit(0)).unionByName(second.withColumn("retried", F.lit(1)))
 
 
