@@ -39,25 +39,34 @@ def exact_quantiles(
 
 
 def _order_statistics(values: DataFrame, n: int, low: int, high: int, direct_rows: int) -> tuple[float, float]:
+    """The values at ranks ``low`` and ``high``, which are equal or neighbours."""
+    v = F.col("v")
     while n > direct_rows:
         spread = 2.0 / ACCURACY
         sides = [max(0.0, low / n - spread), min(1.0, (high + 1) / n + spread)]
         left, right = values.agg(F.percentile_approx("v", sides, ACCURACY)).first()[0]
-        below, inside = values.agg(
-            F.count_if(F.col("v") < left), F.count_if(F.col("v").between(left, right))
+        between = (v > left) & (v < right)
+        below, upto_left, inside, upto_right = values.agg(
+            F.count_if(v < left), F.count_if(v <= left), F.count_if(between), F.count_if(v <= right)
         ).first()
-        if low < below or high >= below + inside:
+        if low < below or high >= upto_right:
             raise RuntimeError("approximate quantile outside its error bound")
-        if left == right:
-            return left, left
-        if inside == n:
-            break  # heavy ties: nothing left to cut off, rank the distinct values
-        values = values.filter(F.col("v").between(left, right))
-        n, low, high = inside, low - below, high - below
+        # ends of the bracket may carry any number of ties: they are settled by counting
+        low_end = left if low < upto_left else right if low >= upto_left + inside else None
+        high_end = left if high < upto_left else right if high >= upto_left + inside else None
+        values = values.filter(between)
+        if low_end is not None and high_end is not None:
+            return low_end, high_end
+        if low_end is not None:
+            return low_end, values.agg(F.min("v")).first()[0]
+        if high_end is not None:
+            return values.agg(F.max("v")).first()[0], high_end
+        n, low, high = inside, low - upto_left, high - upto_left
     return _rank_distinct(values, low, high)
 
 
 def _rank_distinct(values: DataFrame, low: int, high: int) -> tuple[float, float]:
+    """Ranks within at most ``direct_rows`` values."""
     counted = values.groupBy("v").agg(F.count("*").alias("n"))
     upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
     a, b = upto.agg(

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from logvane.functions.text import clean_tokens
 from logvane.session import TooLarge, collect_bounded, share
 
-# a query matrix up to this many numbers (64 MiB) is shipped to every executor
-MAX_SHARED_NUMBERS = 8_000_000
+# up to this many queries are shipped to every executor; one Arrow batch then gives a distance matrix of 160 MB
+MAX_SHARED_QUERIES = 2_000
 BLOCK_QUERIES = 2_000
 BLOCK_DOCS = 20_000
 SEPARATOR = "\n\n---\n\n"
@@ -72,7 +72,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def nearest(
     queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "cosine", collection: str = "collection",
-    doc_id: str = "doc_id", vector: str = "embedding", max_shared: int = MAX_SHARED_NUMBERS,
+    doc_id: str = "doc_id", vector: str = "embedding", max_shared: int = MAX_SHARED_QUERIES,
 ) -> DataFrame:
     """``query_id, collection, doc_id, distance, rank``: exact k nearest documents per collection.
 
@@ -90,10 +90,8 @@ def nearest(
     schema = (
         f"query_id {types['query_id']}, collection {types['collection']}, doc_id {types['doc_id']}, distance double"
     )
-    first = q.first()
-    width = len(first["vector"]) if first else 1
     try:
-        rows = sorted(collect_bounded(q, max(1, max_shared // max(width, 1)), "queries"))
+        rows = sorted(collect_bounded(q, max_shared, "queries"))
         found = _nearest_shared(rows, d, k, metric, schema)
     except TooLarge:
         found = _nearest_blocked(q, d, k, metric, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def class_balance(labeled: DataFrame, label_col: str = "ground_truth") -> DataFrame:
@@ -19,16 +20,18 @@ def label_breakdown(labeled: DataFrame, limit: int = 12) -> DataFrame:
         labeled.filter(F.col("ground_truth") == 1)
         .groupBy("event_id", "image_base").agg(F.count("*").alias("n"))
     )
-    return (
-        per_image.groupBy("event_id")
-        .agg(F.sum("n").alias("n_events"), smallest("image_base", 3).alias("image_examples"))
+    top = (
+        per_image.groupBy("event_id").agg(F.sum("n").alias("n_events"))
         .orderBy(F.desc("n_events"), "event_id").limit(limit)
     )
+    return top.join(first_values(per_image, "event_id", "image_base", 3, "image_examples"), "event_id", "left")
 
 
-def smallest(column: str, n: int):
-    """The first ``n`` distinct values in sorted order."""
-    return F.slice(F.array_sort(F.collect_set(column)), 1, n)
+def first_values(distinct: DataFrame, by: str, column: str, n: int, name: str) -> DataFrame:
+    """The ``n`` smallest of the distinct values per group; the rest is cut before it is collected."""
+    order = Window.partitionBy(by).orderBy(column)
+    few = distinct.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n)
+    return few.groupBy(by).agg(F.array_sort(F.collect_list(column)).alias(name))
 
 
 def anomaly_summary(anomalies: DataFrame, scores: list[str], host_col: str = "hostname", limit: int = 15) -> DataFrame:

@@ -68,18 +68,19 @@ def fit_and_score(
 ) -> tuple[DataFrame, Detectors]:
     """Scores and flags for every row, and the fitted detectors.
 
-    ``columns`` names the feature columns; by default the event features with
-    one-hot ids of the most frequent events. Raw scores are written once, since
-    the thresholds and the flags both need them.
+    ``events`` should be a stored table: the fitting passes read only its feature
+    columns, which costs less than storing the vectors. ``columns`` names them;
+    by default the event features with one-hot ids of the most frequent events.
+    The scored rows are written once, and thresholds and flags read them.
     """
     event_ids = [] if columns else sorted(top_event_ids(events))
     events = one_hot_event_ids(events, event_ids)
     scaler = fit_scaler(events, columns or feature_columns(events))
-    featured = materialize(spread_small(with_features(events, scaler)), "features")
+    featured = spread_small(with_features(events, scaler))
     forest = isolation_forest.fit_forest(featured, key)
     bound = boundary.fit_boundary(featured, key, nu=contamination)
     pca = components.fit_components(featured, 8, min_explained=0.95)
-    scored = materialize(_raw_scores(featured, forest, bound, pca), "scores")
+    scored = materialize(_raw_scores(featured, forest, bound, pca).drop("features"), "scores")
     if_cut = exact_quantile(scored, "if_anomaly_score", contamination)
     ae_cut = exact_quantile(scored, "ae_anomaly_score", 1 - contamination)
     model = Detectors(event_ids, scaler, forest, bound, pca, if_cut, ae_cut)
@@ -89,16 +90,18 @@ def fit_and_score(
 def score_with(events: DataFrame, model: Detectors) -> DataFrame:
     """Score rows, batch or stream, with fitted detectors: a projection without shuffles."""
     featured = _featured(events, model.event_ids, model.scaler)
-    scored = _raw_scores(featured, model.forest, model.boundary, model.components)
+    scored = _raw_scores(featured, model.forest, model.boundary, model.components).drop("features")
     return _flags(scored, model.if_cut, model.boundary.rho, model.ae_cut)
 
 
-def projection(scored: DataFrame, key: str = "event_key", max_rows: int = 60_000, keep: list[str] | None = None) -> DataFrame:
+def projection(
+    scored: DataFrame, model: Detectors, key: str = "event_key", max_rows: int = 60_000, keep: list[str] | None = None
+) -> DataFrame:
     """Two principal coordinates of a sample, with the columns a plot colours by."""
     keep = keep or ["if_is_anomaly", "if_anomaly_score", "event_id", "hostname", "image_base"]
-    sample = hash_sample(scored, key, max_rows)
-    at = components.project(components.fit_components(scored, 2))
-    placed = sample.withColumn("_at", at)
+    featured = with_features(scored, model.scaler)
+    at = components.project(components.fit_components(featured, 2))
+    placed = hash_sample(featured, key, max_rows).withColumn("_at", at)
     return placed.select(key, F.col("_at")[0].alias("x"), F.col("_at")[1].alias("y"), *keep)
 
 

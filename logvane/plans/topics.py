@@ -9,6 +9,7 @@ from logvane.functions import text as X
 from logvane.operators import components, density, embed, keywords
 from logvane.operators.normalize import text_column
 from logvane.session import materialize
+from logvane.sources.tables import write_stage
 
 CORPUS_COLUMNS = ["message", "image_base", "target_image_base", "target_object"]
 
@@ -45,6 +46,12 @@ def topic_stage(
     return keywords.with_keywords(events, named), weights, docs
 
 
+def save_topics(weights: DataFrame, docs: DataFrame, path: str) -> None:
+    """Keep the state of a topic run as tables: term weights and centroids."""
+    write_stage(weights, f"{path}/terms")
+    write_stage(density.centroids(docs, weight="weight"), f"{path}/centroids")
+
+
 def topic_overview(events: DataFrame) -> DataFrame:
     """Topics with their size and keywords, noise left out."""
     return (

@@ -112,7 +112,7 @@ def test_detection_stage(spark, stage):
     assert set(report) == set(detect.MODEL_NAMES)
     assert all(abs(r["roc_auc"] - 0.5) < 0.1 for r in report.values()), "labels are unrelated to the features"
 
-    placed = detect.projection(scored, max_rows=300)
+    placed = detect.projection(scored, model, max_rows=300)
     assert placed.count() == 300 and {"x", "y", "if_is_anomaly", "hostname"} <= set(placed.columns)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logvane.operators import density, embed, graph, keywords
-from logvane.plans.topics import topic_overview, topic_stage
+from logvane.plans.topics import save_topics, topic_overview, topic_stage
 
 
 def brute_components(pairs):
@@ -114,7 +114,7 @@ def test_keyword_weights(spark):
     })
 
 
-def test_topic_stage(spark):
+def test_topic_stage(spark, tmp_path):
     kinds = ["network connection opened port", "registry value changed policy", "remote thread created process"]
     rows = [(i, f"{kinds[i % 3]} {i} 0x{i:x}", "a.exe", None) for i in range(300)]
     rows += [(1000 + i, word, "b.exe", None) for i, word in enumerate(["zebra quokka", "violin concerto"])]
@@ -129,3 +129,5 @@ def test_topic_stage(spark):
     assert topics["rare"] == {-1}
     assert found.filter("topic = -1 AND topic_keywords <> 'unknown'").count() == 0
     assert topic_overview(found).count() == 3
+    save_topics(weights, docs, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "centroids")).count() == 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logvane.operators.sampling import hash_sample
 from logvane.plans import detect
 from workload.raw_events import labeled, table
 
@@ -33,9 +34,17 @@ def event_detector_report(spark, sf_dir):
 
 
 def event_projection(spark, sf_dir):
-    scored, _ = detect.fit_and_score(labeled(spark, sf_dir))
-    return detect.projection(scored)
+    scored, model = detect.fit_and_score(labeled(spark, sf_dir))
+    return detect.projection(scored, model)
+
+
+def event_sample(spark, sf_dir):
+    """A seeded sample of exactly a thousand events."""
+    return hash_sample(labeled(spark, sf_dir), "event_key", 1_000).select("event_key", "event_id", "ground_truth")
 
 
-QUERIES = {f.__name__: f for f in [event_detectors, lineitem_detectors, event_detector_report, event_projection]}
+QUERIES = {
+    f.__name__: f
+    for f in [event_detectors, lineitem_detectors, event_detector_report, event_projection, event_sample]
+}
 ORACLES: dict[str, str] = {}
