@@ -27,6 +27,7 @@ providerguid timestamp none null true false
 PATH_PATTERN = r"[A-Za-z]:\\(?:[^\s\r\n|,\\]+\\)*([^\s\r\n|,\\]+)"
 GUID_PATTERN = r"\{[0-9a-fA-F\-]{8,}\}"
 HEX_PATTERN = r"\b0x[0-9a-fA-F]+\b"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 EMPTY_DOCUMENT = "unknown_event"
 MIN_WORD = 3
 
@@ -98,7 +99,7 @@ def question(event_id: Column, hostname: Column, keywords: Column) -> Column:
 
 def long_sentences(text: Column, longer_than: int = 20) -> Column:
     """Trimmed pieces between full stops that are longer than ``longer_than`` characters."""
-    pieces = F.transform(F.split(text, r"\."), lambda s: F.btrim(s, F.lit(" \t\n\r\x0b\x0c")))
+    pieces = F.transform(F.split(text, r"\."), lambda s: F.btrim(s, F.lit(BLANKS)))
     return F.filter(pieces, lambda s: F.length(s) > longer_than)
 
 
@@ -108,7 +109,7 @@ def grounding(analysis: Column, documents: Column, word_longer_than: int = 5) ->
     sentences = long_sentences(F.coalesce(analysis, F.lit("")))
 
     def grounded(sentence):
-        words = F.split(F.lower(sentence), r"\s+")
+        words = F.split(F.lower(sentence), r"(?U)\s+")
         return F.exists(words, lambda w: (F.length(w) > word_longer_than) & documents.contains(w))
 
     hits = F.size(F.filter(sentences, grounded))

@@ -22,20 +22,28 @@ class Components(NamedTuple):
     explained: np.ndarray
 
 
-def fit_components(df: DataFrame, k: int, vector: str = "features", min_explained: float | None = None) -> Components:
+def fit_components(
+    df: DataFrame, k: int, vector: str = "features", min_explained: float | None = None, center: float | None = None
+) -> Components:
     """The first ``k`` components; with ``min_explained`` the fewest (up to ``k``) that explain that share.
 
-    The sign of a component is fixed by making its largest loading positive.
+    ``center`` states the mean of every coordinate where it is known, as for
+    standardized features, and saves a pass. The sign of a component is fixed by
+    making its largest loading positive.
     """
     vectors = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    center = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-    fitted = PCA(k=min(k, len(center)), inputCol="v", outputCol="p").fit(vectors)
+    width = df.select(F.size(vector)).first()[0]
+    fitted = PCA(k=min(k, width), inputCol="v", outputCol="p").fit(vectors)
     loadings, explained = fitted.pc.toArray(), fitted.explainedVariance.toArray()
+    if center is None:
+        middle = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
+    else:
+        middle = np.full(width, center)
     if min_explained is not None:
         enough = int(np.searchsorted(np.cumsum(explained), min_explained - 1e-12)) + 1
         loadings, explained = loadings[:, :enough], explained[:enough]
     largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
-    return Components(center, loadings * np.where(largest < 0, -1.0, 1.0), explained)
+    return Components(middle, loadings * np.where(largest < 0, -1.0, 1.0), explained)
 
 
 def reconstruction_error(model: Components, vector: str = "features") -> Column:

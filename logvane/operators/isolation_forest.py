@@ -70,6 +70,11 @@ def grow_tree(points: np.ndarray, height: int, rng: np.random.Generator) -> tupl
     return features.tolist(), thresholds.tolist(), path.tolist()
 
 
+def draws(trees: int, sample_size: int) -> int:
+    """A third more rows than places in the trees, so that every tree fills up."""
+    return trees * sample_size + trees * sample_size // 3
+
+
 def fit_forest(
     df: DataFrame, key: str = "event_key", vector: str = "features", trees: int = 200,
     sample_size: int = 256, seed: int = 42,
@@ -79,13 +84,12 @@ def fit_forest(
     size = min(sample_size, rows)
     height = max(1, math.ceil(math.log2(max(size, 2))))
 
-    # a third more draws than places, so that every tree fills up
-    draws = trees * size + trees * size // 3
-    pool = hash_sample(df.select(key, vector), key, draws, seed) if rows > draws else df.select(key, vector)
+    wanted = draws(trees, size)
+    pool = hash_sample(df.select(key, vector), key, wanted, seed) if rows > wanted else df.select(key, vector)
     if rows <= 8 * size:
         tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
     else:
-        copies = F.sequence(F.lit(0), F.lit(max(1, math.ceil(draws / rows)) - 1))
+        copies = F.sequence(F.lit(0), F.lit(max(1, math.ceil(wanted / rows)) - 1))
         tree_ids = F.array_distinct(
             F.transform(copies, lambda c: F.pmod(F.xxhash64(F.lit(seed + 1), c, F.col(key)), F.lit(trees)).cast("int"))
         )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvane.functions import coerce as C
+from logvane.functions.text import BLANKS
 from logvane.session import collect_bounded, fence
 
 NORMALIZED_COLUMNS = [
@@ -22,8 +23,6 @@ EVENT_SCHEMA = (
     "ProcessId variant, SourceProcessId variant, GrantedAccess string"
 )
 
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
-
 
 def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``is_bad`` and the parsed ``event`` per non-blank line.

@@ -48,8 +48,10 @@ def anomaly_summary(anomalies: DataFrame, scores: list[str], host_col: str = "ho
     )
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in columns])
+def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """Exact counts; ``approximate`` trades them for constant-size sketches."""
+    count = F.approx_count_distinct if approximate else F.countDistinct
+    return df.agg(*[count(c).alias(f"n_{c}") for c in columns])
 
 
 def event_histogram(df: DataFrame, by: list[str]) -> DataFrame:

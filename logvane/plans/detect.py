@@ -16,6 +16,8 @@ from logvane.operators.scores import combine_flags, suspicion
 from logvane.session import materialize, spread_small
 
 CONTAMINATION = 0.05
+# draws of 200 trees with 256 rows each, and a third more
+FIT_ROWS = isolation_forest.draws(200, 256)
 FLAGS = ["if_is_anomaly", "ocsvm_is_anomaly", "ae_is_anomaly"]
 LOWER_IS_WORSE = {"if_anomaly_score": True, "ocsvm_anomaly_score": True, "ae_anomaly_score": False}
 MODEL_NAMES = {
@@ -77,9 +79,11 @@ def fit_and_score(
     events = one_hot_event_ids(events, event_ids)
     scaler = fit_scaler(events, columns or feature_columns(events))
     featured = spread_small(with_features(events, scaler))
-    forest = isolation_forest.fit_forest(featured, key)
-    bound = boundary.fit_boundary(featured, key, nu=contamination)
-    pca = components.fit_components(featured, 8, min_explained=0.95)
+    # one bounded sample serves both models that fit on samples; the smaller sample is part of it
+    pool = materialize(hash_sample(featured.select(key, "features"), key, FIT_ROWS), "fit-sample")
+    forest = isolation_forest.fit_forest(pool, key)
+    bound = boundary.fit_boundary(pool, key, nu=contamination)
+    pca = components.fit_components(featured, 8, min_explained=0.95, center=0.0)
     scored = materialize(_raw_scores(featured, forest, bound, pca).drop("features"), "scores")
     if_cut = exact_quantile(scored, "if_anomaly_score", contamination)
     ae_cut = exact_quantile(scored, "ae_anomaly_score", 1 - contamination)

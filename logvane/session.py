@@ -45,6 +45,9 @@ def local_session(app_name: str = "logvane", cores: str = "8", shuffle_partition
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
@@ -52,10 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
     which is the case for a single-machine session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="logvane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="logvane-")
+    return _OWN_FOLDERS[application]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
