@@ -136,10 +136,19 @@ def _nearest_blocked(queries: DataFrame, docs: DataFrame, k: int, metric: str, s
 
 
 def similarity_matrix(centers: DataFrame, key: str = "topic", vector: str = "centroid", max_topics: int = 5_000) -> DataFrame:
-    """Cosine of every ordered pair of topics; the whole matrix is the result, so its side is bounded."""
-    rows = sorted(collect_bounded(centers.select(key, vector), max_topics, "topics"))
+    """Cosine of every ordered pair of topics: the whole matrix is the result.
+
+    Up to ``max_topics`` centroids are shipped to every executor; more of them
+    meet block by block.
+    """
+    kind = dict(centers.dtypes)[key]
+    schema = f"{key} {kind}, other_{key} {kind}, similarity double"
+    try:
+        rows = sorted(collect_bounded(centers.select(key, vector), max_topics, "topics"))
+    except TooLarge:
+        return _similarity_blocked(centers, key, vector)
     if not rows:
-        raise ValueError("no topics")
+        return centers.sparkSession.createDataFrame([], schema)
     keys, unit = [r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))
     shared = share((keys, unit))
 
@@ -150,8 +159,19 @@ def similarity_matrix(centers: DataFrame, key: str = "topic", vector: str = "cen
             for name, row in zip(batch[key], similar):
                 yield pd.DataFrame({key: name, f"other_{key}": names, "similarity": row})
 
+    return centers.select(key, vector).mapInPandas(compare, schema)
+
+
+def _similarity_blocked(centers: DataFrame, key: str, vector: str) -> DataFrame:
+    asked = centers.select(F.col(key).alias("query_id"), F.col(vector).alias("vector"))
+    asked = asked.withColumn("vector", F.col("vector").cast("array<double>"))
+    everything = asked.withColumnRenamed("query_id", "doc_id").withColumn("collection", F.lit(0))
     kind = dict(centers.dtypes)[key]
-    return centers.select(key, vector).mapInPandas(compare, f"{key} {kind}, other_{key} {kind}, similarity double")
+    schema = f"query_id {kind}, collection int, doc_id {kind}, distance double"
+    found = _nearest_blocked(asked, everything, BLOCK_DOCS * BLOCK_DOCS, "cosine", schema)
+    return found.select(
+        F.col("query_id").alias(key), F.col("doc_id").alias(f"other_{key}"), (1 - F.col("distance")).alias("similarity")
+    )
 
 
 # --- re-ranking -------------------------------------------------------------------------------------------------

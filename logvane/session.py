@@ -15,8 +15,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # the JVM never compiles methods above 8000 bytes; wide projections run faster split up
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
