@@ -163,9 +163,10 @@ def similarity_matrix(centers: DataFrame, key: str = "topic", vector: str = "cen
 
 
 def _similarity_blocked(centers: DataFrame, key: str, vector: str) -> DataFrame:
-    asked = centers.select(F.col(key).alias("query_id"), F.col(vector).alias("vector"))
-    asked = asked.withColumn("vector", F.col("vector").cast("array<double>"))
-    everything = asked.withColumnRenamed("query_id", "doc_id").withColumn("collection", F.lit(0))
+    numbers = F.col(vector).cast("array<double>")
+    # two selects: the sides of a cogroup must not share columns
+    asked = centers.select(F.col(key).alias("query_id"), numbers.alias("vector"))
+    everything = centers.select(F.lit(0).alias("collection"), F.col(key).alias("doc_id"), numbers.alias("vector"))
     kind = dict(centers.dtypes)[key]
     schema = f"query_id {kind}, collection int, doc_id {kind}, distance double"
     found = _nearest_blocked(asked, everything, BLOCK_DOCS * BLOCK_DOCS, "cosine", schema)
