@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import zstd_language
-from logvane.llm.text import small_batches
+from logvane.llm import license_rules, quality_fm, risk_rules, secret_lexer, zstd_language
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +16,82 @@ def _fold(modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels are learned outside fold 2 of 4."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = quality_fm.fit(docs.filter(~held_out), _table(spark, sf_dir, "labels").filter(~held_out), meta=("n_chars",))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text", "n_chars")
+    return quality_fm.score(rows, model, meta=("n_chars",)).drop("text", "n_chars")
+
+
+def op2_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of cutoffs certified on the labelled ones, by language."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = risk_rules.apply_rules(docs, _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *risk_rules.COUNTS, "base_failed", "kept", "rejected_by")
+
+
+OP2_SQL = """
+WITH w AS (
+  SELECT doc_id, lang, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM win),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, range(8) t(o) GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_capitals,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+rules(rule, ord, cut) AS (VALUES {rules}),
+measured AS (
+  SELECT doc_id, lang, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals']) AS rule,
+         unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1),
+                 n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1)]) AS v
+  FROM m),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+tried AS (
+  SELECT lang, r.rule, ord, cut, count(*) AS n, count(*) FILTER (v >= cut) AS k
+  FROM measured JOIN rules r ON r.rule = measured.rule
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+tests AS (
+  SELECT *, k < n * {share} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
+    FROM range(k + 1) t(i)) <= {error} / (4 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM tried)) AS pass
+  FROM tried),
+chosen AS (
+  SELECT lang, rule, min(cut) AS cut FROM (
+    SELECT *, bool_and(pass) OVER (PARTITION BY lang, rule ORDER BY ord) AS certified FROM tests) WHERE certified GROUP BY ALL),
+hits AS (
+  SELECT doc_id, min(CASE measured.rule WHEN 'symbols' THEN 1 WHEN 'dup_lines' THEN 2 WHEN 'repeats' THEN 3 ELSE 4 END) AS hit
+  FROM measured JOIN chosen c ON c.rule = measured.rule AND c.lang IS NOT DISTINCT FROM measured.lang
+  WHERE v >= c.cut GROUP BY doc_id)
+SELECT m.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND hit IS NULL AS kept,
+       CASE WHEN base_failed THEN 'base' ELSE ['symbols', 'dup_lines', 'repeats', 'capitals'][hit] END AS rejected_by
+FROM m LEFT JOIN hits ON hits.doc_id = m.doc_id
+""".format(
+    rules=", ".join(f"('{name}', {i}, {cut})" for name, (_, cuts) in risk_rules.RULES.items() for i, cut in enumerate(cuts)),
+    share=risk_rules.RISK / len(risk_rules.RULES), error=risk_rules.ERROR,
+)
+
+
+def op4_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_lexer.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document, those of the base phrases with their places."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_rules.scan_licenses(docs).drop("text")
+
+
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the smallest encoding; learned outside fold 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -26,6 +101,12 @@ def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
+    "op2_risk_rules": op2_risk_rules,
+    "op4_secret_lexer": op4_secret_lexer,
+    "op7_license_rules": op7_license_rules,
     "op10_zstd_language": op10_zstd_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_risk_rules": OP2_SQL,
+}
