@@ -31,11 +31,11 @@ from logvane.llm.text import Texts, chunks, small_batches, texts_of, word_hashes
 from logvane.session import collect_bounded, share
 
 #: bounds of the fit: labelled rows of either label, and sparse entries altogether
-ROWS_PER_LABEL = 4_000
+ROWS_PER_LABEL = 2_500
 MAX_ENTRIES = 6_000_000
 WORD_BITS = 16
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 8
 BATCH = 128
 RATE = 0.05
 DECAY_WORDS, DECAY_BANDS = 2e-3, 1e-4

@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import license_rules, quality_fm, risk_rules, secret_lexer, zstd_language
+from logvane.llm import (
+    bin_completion,
+    license_rules,
+    quality_fm,
+    risk_rules,
+    secret_lexer,
+    warc_revisit,
+    zstd_language,
+)
+from logvane.session import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _fold(modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
@@ -86,12 +102,39 @@ def op4_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_lexer.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bin_completion.pack(bin_completion.cut(docs, tokenizer_path()))
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document, those of the base phrases with their places."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_rules.scan_licenses(docs).drop("text")
 
 
+def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to an archive, repeated payloads as revisits, and tell what reading it back gives."""
+    path = warc_revisit.write_archives(_table(spark, sf_dir, "pages"), "page_id", "url", "html", "2025-01-01T00:00:00Z")
+    records = materialize(warc_revisit.read_archives(spark, path, payloads=False).drop("payload"), "warc_read")
+    return warc_revisit.with_originals(records).select(
+        F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS top FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM m
+"""
+
+
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the smallest encoding; learned outside fold 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -104,9 +147,12 @@ QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_risk_rules": op2_risk_rules,
     "op4_secret_lexer": op4_secret_lexer,
+    "op6_bin_completion": op6_bin_completion,
     "op7_license_rules": op7_license_rules,
+    "op8_warc_revisit": op8_warc_revisit,
     "op10_zstd_language": op10_zstd_language,
 }
 ORACLES = {
     "op2_risk_rules": OP2_SQL,
+    "op8_warc_revisit": OP8_SQL,
 }

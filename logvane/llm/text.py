@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 ROWS_PER_BATCH = 256
+BYTES_PER_BATCH = 16 << 20
 CHUNK_BYTES = 1 << 20
 
 # space, tab, line feed, vertical tab, form feed, carriage return
@@ -37,6 +38,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: a batch of long texts must fit into a worker many times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def mix(keys: np.ndarray) -> np.ndarray:
