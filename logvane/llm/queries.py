@@ -11,6 +11,8 @@ from logvane.llm import (
     quality_fm,
     risk_rules,
     secret_lexer,
+    simhash_windows,
+    trie_join,
     warc_revisit,
     zstd_language,
 )
@@ -97,6 +99,11 @@ FROM m LEFT JOIN hits ON hits.doc_id = m.doc_id
 )
 
 
+def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items it holds a copy or near copy of."""
+    return simhash_windows.verdicts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secret_lexer.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -135,6 +142,33 @@ FROM m
 """
 
 
+def op9_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of at least 0.9."""
+    return trie_join.join_components(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach AS (
+  WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, links.y FROM r JOIN links ON links.x = r.y)
+  SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id,
+       (SELECT count(*) FROM links WHERE links.x = w.doc_id) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.x = w.doc_id
+"""
+
+
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the smallest encoding; learned outside fold 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -146,13 +180,16 @@ def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_risk_rules": op2_risk_rules,
+    "op3_simhash_windows": op3_simhash_windows,
     "op4_secret_lexer": op4_secret_lexer,
     "op6_bin_completion": op6_bin_completion,
     "op7_license_rules": op7_license_rules,
     "op8_warc_revisit": op8_warc_revisit,
+    "op9_trie_join": op9_trie_join,
     "op10_zstd_language": op10_zstd_language,
 }
 ORACLES = {
     "op2_risk_rules": OP2_SQL,
     "op8_warc_revisit": OP8_SQL,
+    "op9_trie_join": OP9_SQL,
 }
