@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvane.llm import (
+    attention_lm,
     bin_completion,
     license_rules,
     quality_fm,
@@ -109,6 +110,15 @@ def op4_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_lexer.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document; learned outside fold 1 of 5."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(5) == 1, F.lit(False))
+    counts, model = attention_lm.fit(docs.filter(~held_out).select("text"), tokenizer_path())
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return attention_lm.score(rows, counts, model, tokenizer_path())
+
+
 def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -182,6 +192,7 @@ QUERIES = {
     "op2_risk_rules": op2_risk_rules,
     "op3_simhash_windows": op3_simhash_windows,
     "op4_secret_lexer": op4_secret_lexer,
+    "op5_attention_lm": op5_attention_lm,
     "op6_bin_completion": op6_bin_completion,
     "op7_license_rules": op7_license_rules,
     "op8_warc_revisit": op8_warc_revisit,
