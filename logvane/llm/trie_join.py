@@ -86,9 +86,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def cells(n: int) -> int:
-    """Cells of a set's histogram: enough that strangers of that size differ by more than linked sets may."""
-    return 16 if n <= 800 else 64 if n <= 3_200 else 256 if n <= 12_800 else 1_024
+def cells(n: int, percent: int = PERCENT) -> int:
+    """Cells of a set's histogram: enough that strangers of that size differ by half more than linked sets may.
+
+    Two unrelated sets of n differ by about 1.128 * sqrt(n * cells) in their cells.
+    """
+    allowed = 2 * (100 - percent) / (100 + percent) * n
+    need = (1.5 * allowed / 1.128) ** 2 / max(n, 1)
+    return 1 << min(max(int(np.ceil(np.log2(max(need, 1)))), 4), 12)
 
 
 def histogram(grams: np.ndarray, count: int) -> np.ndarray:
@@ -108,8 +113,10 @@ def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa
 # ---- first pass: classes, and how frequent the n-grams of each bucket are
 
 
-def _first_pass(size: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bucket", pa.int64()), ("times", pa.int64())])
+def _first_pass(size: int, percent: int):
+    schema = pa.schema([
+        ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cells", pa.binary()), ("bucket", pa.int64()), ("times", pa.int64()),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
@@ -120,13 +127,16 @@ def _first_pass(size: int):
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array([len(g) for g in sets], pa.int64()),
-                pa.array([class_key(g) if len(g) else None for g in sets], pa.int64()), none, none,
+                pa.array([class_key(g) if len(g) else None for g in sets], pa.int64()),
+                pa.array([histogram(g, cells(len(g), percent)).tobytes() for g in sets], pa.binary()), none, none,
             ], schema=schema)
         for part in np.array_split(np.flatnonzero(counts), 32):
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part), pa.array(counts[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[part])], schema=schema
+            )
 
-    return run, "id long, n long, key long, bucket long, times long"
+    return run, "id long, n long, key long, cells binary, bucket long, times long"
 
 
 # ---- second pass: classes by the n-grams of their prefix
@@ -138,12 +148,12 @@ def in_order(grams: np.ndarray, frequency: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(shared, size: int, percent: int):
-    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, seen = shared.value, set()
         for _, sets in _each_set(batches, size):
-            grams, keys, sizes, sketches = [], [], [], []
+            grams, keys, sizes = [], [], []
             for s in sets:
                 if not len(s) or (key := class_key(s)) in seen:
                     continue
@@ -151,15 +161,44 @@ def _prefixes(shared, size: int, percent: int):
                 first = in_order(s, frequency)[: prefix_length(len(s), percent)]
                 grams.append(first)
                 keys.append(np.full(len(first), key))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                sketches += [histogram(s, cells(len(s))).tobytes()] * len(first)
+                sizes.append(np.full(len(first), len(s)))
             if grams:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(keys)),
-                    pa.array(np.concatenate(sizes)), pa.array(sketches, pa.binary()),
+                    pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)),
                 ], schema=schema)
 
-    return run, "gram long, key long, n int, cells binary"
+    return run, "gram long, key long, n long"
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by n-gram, in runs that never part the rows of one."""
+    held = None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+        # the last n-gram may go on in the next batch
+        cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        if cut:
+            yield [r[:cut] for r in rows]
+        held = [r[cut:] for r in rows]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _shared_grams(percent: int):
+    """Rows, sorted by n-gram, size and class, whose n-gram another class of a size that may link has, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, key, n in _groups(batches, ["gram", "key", "n"]):
+            fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])
+            gram, key, n = gram[fresh], key[fresh], n[fresh]
+            pair = (gram[1:] == gram[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+            kept = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(gram[kept]), pa.array(key[kept]), pa.array(n[kept])], ["gram", "key", "n"])
+
+    return run, "gram long, key long, n long"
 
 
 class Forest:
@@ -238,7 +277,7 @@ def _group_edges(keys: np.ndarray, n: np.ndarray, raw: list[bytes], percent: int
 def _meetings(percent: int):
     """Candidate edges from rows sorted by n-gram; one star per connected group of the partition."""
 
-    def flush(rows: tuple, forest: Forest) -> None:
+    def flush(rows: list[np.ndarray], forest: Forest) -> None:
         gram, keys, n, raw = rows
         starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         ends = np.append(starts[1:], len(gram))
@@ -265,21 +304,9 @@ def _meetings(percent: int):
             _group_edges(keys[once], n[once], [raw[i] for i in once], percent, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
-        for batch in batches:
-            rows = (
-                batch.column("gram").to_numpy(), batch.column("key").to_numpy(), batch.column("n").to_numpy(),
-                batch.column("cells").to_pylist(),
-            )
-            if held is not None:
-                rows = tuple(np.concatenate([h, r]) for h, r in zip(held[:3], rows[:3])) + (held[3] + rows[3],)
-            # the last n-gram may go on in the next batch
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            if cut:
-                flush(tuple(r[:cut] for r in rows), forest)
-            held = tuple(r[cut:] for r in rows)
-        if held is not None and len(held[0]):
-            flush(held, forest)
+        forest = Forest()
+        for rows in _groups(batches, ["gram", "key", "n", "cells"]):
+            flush(rows, forest)
         stars = forest.stars()
         for i in range(0, len(stars), 10_000):
             part = stars[i : i + 10_000]
@@ -431,7 +458,7 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    counted = materialize(rows.mapInArrow(*_first_pass(size)), "join_classes")
+    counted = materialize(rows.mapInArrow(*_first_pass(size, percent)), "join_classes")
     documents = counted.filter("n is not null").select("id", "n", "key")
     frequency = np.zeros(1 << ORDER_BITS, np.int64)
     buckets = counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times"))
@@ -440,7 +467,11 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
     shared = share(frequency)
 
     texts = rows.select("text")
-    meetings = texts.mapInArrow(*_prefixes(shared, size, percent)).repartition("gram").sortWithinPartitions("gram")
+    order = ["gram", "n", "key"]
+    prefixes = texts.mapInArrow(*_prefixes(shared, size, percent)).repartition("gram").sortWithinPartitions(*order)
+    sketches = counted.filter("key is not null").groupBy("key").agg(F.first("cells").alias("cells"))
+    meetings = materialize(prefixes.mapInArrow(*_shared_grams(percent)), "join_meetings").join(sketches, "key")
+    meetings = meetings.repartition("gram").sortWithinPartitions(*order)
     near = materialize(meetings.mapInArrow(*_meetings(percent)).distinct(), "join_candidates")
     clusters = materialize(connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "join_clusters")
 
