@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.session import cut_lineage
+from logvane.session import materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -13,10 +13,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Every round is two aggregations and two joins on one node per row, so no
     task ever holds the neighbours of a hub; rounds grow with the logarithm of
-    the graph's size.
+    the graph's size. Every round is written once and read back, which cuts the
+    lineage at the price of one computation; a checkpoint would compute it twice.
     """
-    edges = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = materialize(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges"
     )
     last = None
     for _ in range(max_rounds):
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         small = large.join(roots, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.a", "e.b")
-        edges = cut_lineage(small.filter("a <> b").distinct())
+        edges = materialize(small.filter("a <> b").distinct(), "edges")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
             break
