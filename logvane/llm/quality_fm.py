@@ -248,6 +248,14 @@ def score(df: DataFrame, model: Machine | float, text: str = "text", meta: tuple
     )
 
 
+def keep_good(df: DataFrame, model: Machine | float, text: str = "text", meta: tuple[str, ...] = ()) -> DataFrame:
+    """The rows whose score reaches the threshold; all of them if a label was missing, so nothing was learned."""
+    if isinstance(model, float):
+        return df
+    small_batches(df.sparkSession)
+    return df.filter(_scored(model, F.col(f"`{text}`"), [F.col(f"`{m}`").cast("double") for m in meta]) >= THRESHOLD)
+
+
 def _scored(model: Machine | float, text: Column, meta: list[Column]) -> Column:
     if isinstance(model, float):
         return F.lit(model)

@@ -21,7 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvane.llm.text import small_batches
@@ -241,7 +241,14 @@ def digests(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def redact(text: Column, df: DataFrame) -> Column:
-    """The text of ``df`` with every span blacked out; null stays null."""
+def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The input with every span of its texts replaced by the span's kind in brackets.
+
+    The length column, if there is one, follows where a text changed. Null
+    texts stay null.
+    """
     small_batches(df.sparkSession)
-    return F.arrow_udf(_redact_batches, "string")(text)
+    new, old = F.col("_redacted"), F.col(f"`{text}`")
+    found = df.select("*", F.arrow_udf(_redact_batches, "string")(old).alias("_redacted"))
+    changed = {text: new, length: F.when(new != old, F.length(new).cast("long")).otherwise(F.col(f"`{length}`"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns])

@@ -42,6 +42,8 @@ ORDER_BITS = 18
 #: classes of candidates are marked in a bitmap of so many bits before their sets are shipped
 MARK_BITS = 24
 BLOCK = 4_000
+#: rows that go, up to which they are sent to all tasks
+BROADCAST_ROWS = 1_000_000
 #: groups of classes around one n-gram up to this size are compared pair by pair
 SMALL_GROUP = 48
 
@@ -115,7 +117,7 @@ def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa
 
 def _first_pass(size: int, percent: int):
     schema = pa.schema([
-        ("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cells", pa.binary()), ("bucket", pa.int64()), ("times", pa.int64()),
+        ("id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("cells", pa.binary()), ("bucket", pa.int64()), ("times", pa.int64()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +128,17 @@ def _first_pass(size: int, percent: int):
                 counts[places.astype(np.int64)] += times
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array([len(g) for g in sets], pa.int64()),
+                batch.column("id"), batch.column("text_key"), pa.array([len(g) for g in sets], pa.int64()),
                 pa.array([class_key(g) if len(g) else None for g in sets], pa.int64()),
                 pa.array([histogram(g, cells(len(g), percent)).tobytes() for g in sets], pa.binary()), none, none,
             ], schema=schema)
         for part in np.array_split(np.flatnonzero(counts), 32):
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[part])], schema=schema
+                [none, none, none, none, pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[part])], schema=schema
             )
 
-    return run, "id long, n long, key long, cells binary, bucket long, times long"
+    return run, "id long, text_key long, n long, key long, cells binary, bucket long, times long"
 
 
 # ---- second pass: classes by the n-grams of their prefix
@@ -453,13 +455,15 @@ def _joined(percent: int):
 # ---- the join
 
 
-def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``key, n_shingles, component_id, n_links`` for every row."""
+def _components(df: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``id, text_key, n, key`` (``key`` names the class of equal sets, null for empty ones), and classes as
+    ``key, copies, component, component_id, links``."""
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    whole = F.col(f"`{text}`")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
     counted = materialize(rows.mapInArrow(*_first_pass(size, percent)), "join_classes")
-    documents = counted.filter("n is not null").select("id", "n", "key")
+    documents = counted.filter("n is not null").select("id", "text_key", "n", "key")
     frequency = np.zeros(1 << ORDER_BITS, np.int64)
     buckets = counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times"))
     for part in collect_bounded(buckets, len(frequency), "buckets"):
@@ -475,9 +479,7 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
     near = materialize(meetings.mapInArrow(*_meetings(percent)).distinct(), "join_candidates")
     clusters = materialize(connected_components(near).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "join_clusters")
 
-    classes = documents.filter("key is not null").groupBy("key").agg(
-        F.min("id").alias("smallest"), F.count("*").alias("copies")
-    )
+    classes = documents.filter("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count("*").alias("copies"))
     sets = texts.mapInArrow(*_cluster_sets(share(_marks(clusters)), shared, size)).groupBy("key").agg(F.first("grams").alias("grams"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = clusters.join(sizes, "cluster").join(classes, "key").select(
@@ -495,9 +497,44 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
         "component", F.coalesce("component", "key")
     ).join(linked.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
     names = component.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    of_class = component.join(names, "component").select(
-        "key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    return documents, component.join(names, "component").select(
+        "key", "copies", "component", "component_id", F.coalesce("links", F.lit(0)).alias("links")
     )
+
+
+def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``key, n_shingles, component_id, n_links`` for every row."""
+    documents, classes = _components(df, key, text, size, percent)
     alone = documents.filter("key is null").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    met = documents.filter("key is not null").join(of_class, "key").select("id", "n", "component_id", "n_links")
+    met = documents.filter("key is not null").join(classes, "key").select(
+        "id", "n", "component_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")
+    )
     return met.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The input with one row of each component: that with the smallest key (null last), then the smallest text hash.
+
+    Texts without a word all stay. Rows that go are few or many; up to
+    ``BROADCAST_ROWS`` of them are sent to all tasks, more are joined by a shuffle.
+    """
+    documents, classes = _components(df, key, text, size, percent)
+    met = documents.filter("key is not null").join(classes.select("key", "component"), "key").groupBy("component", "id", "text_key").agg(
+        F.count("*").alias("times")
+    )
+    met = materialize(met, "join_members")
+    first = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first"))
+    placed = met.join(first, "component").select(
+        F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), "times",
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays"),
+    ).filter("not stays or times > 1")
+    touched = materialize(placed, "join_touched")
+    same = [F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")), F.xxhash64(F.col(f"`{text}`")) == F.col("_text_key")]
+    count = touched.count()
+    hint = F.broadcast if count <= BROADCAST_ROWS else (lambda t: t)
+    untouched = df.join(hint(touched.select("_id", "_text_key")), same, "left_anti")
+    repeated = touched.filter("stays").select("_id", "_text_key")
+    if repeated.isEmpty():
+        return untouched
+    once = df.join(hint(repeated), same).dropDuplicates(["_id", "_text_key"]).drop("_id", "_text_key")
+    return untouched.unionByName(once)
