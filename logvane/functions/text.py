@@ -8,21 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The English stop list (parts left of an apostrophe included).
-STOP_WORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
-itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
-has had having do does did doing a an the and but if or because as until while of at by for with about against between
-into through during before after above below to from up down in out on off over under again further then once here there
-when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
-just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn
-wasn weren won wouldn
-""".split()
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he",
+    "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs",
+    "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but",
+    "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on",
+    "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same",
+    "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "d", "ll", "m", "o", "re",
+    "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn", "haven", "isn", "ma", "mightn", "mustn",
+    "needn", "shan", "shouldn", "wasn", "weren", "won", "wouldn",
+]
 # Field names that carry no meaning in a log message.
-DOMAIN_NOISE = """
-rulename utctime processguid processid image targetprocessid targetprocessguid sourcename channel keywords opcodevalue
-severityvalue eventreceivedtime sourcemodulename sourcemoduletype version task threadid recordnumber executionprocessid
-providerguid timestamp none null true false
-""".split()
+DOMAIN_NOISE = [
+    "rulename", "utctime", "processguid", "processid", "image", "targetprocessid", "targetprocessguid", "sourcename",
+    "channel", "keywords", "opcodevalue", "severityvalue", "eventreceivedtime", "sourcemodulename", "sourcemoduletype",
+    "version", "task", "threadid", "recordnumber", "executionprocessid", "providerguid", "timestamp", "none", "null",
+    "true", "false",
+]
 # The cleaning patterns, applied in this order.
 PATH_PATTERN = r"[A-Za-z]:\\(?:[^\s\r\n|,\\]+\\)*([^\s\r\n|,\\]+)"
 GUID_PATTERN = r"\{[0-9a-fA-F\-]{8,}\}"
@@ -74,23 +79,24 @@ def anomaly_context() -> Column:
     """One-line facts of an anomalous event for retrieval and analysis."""
     access = F.coalesce(F.col("granted_access"), F.lit(0))
     # absent text shows as the word a reader of the record would see
-    shown = lambda name, n: F.substring(F.coalesce(F.col(name), F.lit("None")), 1, n)
+    shown = lambda name: F.coalesce(F.col(name), F.lit("None"))
+    # The labels of the facts.
     parts = [
         ("EventID: ", F.col("event_id").cast("string")),
-        ("Hostname: ", F.coalesce(F.col("hostname"), F.lit("None"))),
-        ("Process: ", F.coalesce(F.col("image"), F.lit("None"))),
-        ("TargetImage: ", F.coalesce(F.col("target_image"), F.lit("None"))),
-        ("TargetObject: ", shown("target_object", 80)),
-        ("Account: ", F.format_string("%s (%s)", F.coalesce(F.col("account_name"), F.lit("None")),
-                                      F.coalesce(F.col("domain"), F.lit("None")))),
+        ("Hostname: ", shown("hostname")),
+        ("Process: ", shown("image")),
+        ("TargetImage: ", shown("target_image")),
+        ("TargetObject: ", shown("target_object")),
+        ("Account: ", F.format_string("%s (%s)", shown("account_name"), shown("domain"))),
         ("GrantedAccess: ", F.when(access == 0, F.lit("N/A")).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(access))))),
         ("IsolationForest score: ", F.format_string("%.4f", F.col("anomaly_score"))),
-        ("Message: ", shown("message", 400)),
+        ("Message: ", shown("message")),
     ]
     return F.concat_ws(" | ", *[F.concat(F.lit(name), value) for name, value in parts])
 
 
 def question(event_id: Column, hostname: Column, keywords: Column) -> Column:
+    # Fixed value: the sentence.
     return F.format_string(
         "Analyse this security anomaly: EventID %s on host %s. Topic keywords: %s.",
         event_id.cast("string"), hostname, F.coalesce(keywords, F.lit("")),

@@ -7,16 +7,16 @@ averaged after every round [Zinkevich et al. 2010].
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvane.functions.arrays import to_matrix
-from logvane.operators.sampling import hash_sample
+from logvane.operators.quantiles import exact_quantile
 from logvane.session import collect_bounded, materialize, share
 
 
@@ -43,47 +43,69 @@ def descend(z: np.ndarray, weights: np.ndarray, rho: float, nu: float, first_ste
     return weights, rho
 
 
+def _moments(df: DataFrame, vector: str) -> tuple[int, float]:
+    """Width of the vectors and the variance of all their coordinates, in one pass."""
+    total = lambda f: F.sum(F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), f))
+    width, n, first, second = df.agg(
+        F.max(F.size(vector)), F.sum(F.size(vector)), total(lambda acc, x: acc + x), total(lambda acc, x: acc + x * x)
+    ).first()
+    if not n:
+        raise ValueError("no rows to fit a boundary on")
+    return width, max(0.0, second / n - (first / n) ** 2)
+
+
 def fit_boundary(
-    df: DataFrame, key: str = "event_key", vector: str = "features", nu: float = 0.05, max_rows: int = 30_000,
-    components: int = 256, rounds: int = 4, steps: int = 40, shards: int = 8, seed: int = 42,
+    df: DataFrame, vector: str = "features", nu: float = 0.05, components: int = 256, rounds: int = 2, steps: int = 40,
+    block: int = 4_096, seed: int = 42, threshold: bool = True,
 ) -> Boundary:
-    """Fit on at most ``max_rows`` hash-sampled rows; the threshold is the ``nu`` quantile of the sample's scores."""
-    sample = materialize(
-        hash_sample(df.select(key, vector), key, max_rows, seed)
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(shards)).cast("int")),
-        "boundary-sample",
-    )
-    size, spread = sample.select(F.size(vector).alias("d"), F.explode(vector).alias("x")).agg(
-        F.max("d"), F.var_pop("x")
-    ).first()
+    """Fit on all rows; the threshold is the ``nu`` quantile of their scores.
+
+    Every round is one pass: each task descends from the common start over its
+    blocks of rows, and Spark sums the weights times the rows behind them. With
+    ``threshold`` off the caller sets ``rho`` from scores it stores anyway.
+    """
+    size, spread = _moments(df, vector)
     gamma = 1.0 / (size * spread) if spread else 1.0
     rng = np.random.default_rng(seed)
     directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (size, components))
     phases = rng.uniform(0.0, 2.0 * np.pi, components)
-    weights, rho = np.zeros(components), 0.0
-    by_shard = sample.repartition(shards, "shard").groupBy("shard")
-    schema = "n long, weights array<double>, rho double"
+    fitted = Boundary(directions, phases, np.zeros(components), 0.0, gamma)
 
     for round_number in range(rounds):
-        start, start_rho, first_step = weights, rho, round_number * steps
-
-        def local_steps(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(key)
-            z = fourier(np.stack(rows[vector].to_numpy()), directions, phases)
-            w, r = descend(z, start, start_rho, nu, first_step, steps)
-            return pd.DataFrame({"n": [len(z)], "weights": [w], "rho": [r]})
-
-        parts = collect_bounded(by_shard.applyInPandas(local_steps, schema), shards, "shards")
-        parts = sorted(parts, key=lambda p: (p["n"], p["rho"]))
-        part = np.array([p["n"] for p in parts], dtype=float)
-        part /= part.sum()
-        weights = part @ np.array([p["weights"] for p in parts])
-        rho = float(part @ np.array([p["rho"] for p in parts]))
-
-    fitted = Boundary(directions, phases, weights, rho, gamma)
-    # the sample's size is bounded, so its exact percentile is too
-    cut = sample.select(boundary_score(fitted, vector).alias("score")).agg(F.percentile("score", nu)).first()[0]
-    return fitted._replace(rho=cut)
+        shared = share(fitted)
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, first_step=round_number * steps) -> Iterator[pa.RecordBatch]:
+            start = shared.value
+            weights, rho, step, rows, waiting = start.weights, start.rho, first_step, 0, []
+
+            def descend_over(points: np.ndarray):
+                return descend(fourier(points, start.directions, start.phases), weights, rho, nu, step, steps)
+
+            for batch in batches:
+                if len(batch):
+                    waiting.append(to_matrix(batch.column(0)))
+                if sum(map(len, waiting)) >= block:
+                    points, waiting = np.concatenate(waiting), []
+                    weights, rho = descend_over(points)
+                    step, rows = step + steps, rows + len(points)
+            if waiting:
+                points = np.concatenate(waiting)
+                weights, rho = descend_over(points)
+                rows += len(points)
+            if rows:
+                values = np.concatenate([[1.0, rho], weights]) * rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
+
+        sums = df.select(vector).mapInArrow(learn, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        found = np.zeros(components + 2)
+        for row in collect_bounded(sums, components + 2, "weights"):
+            found[row["place"]] = row["value"]
+        fitted = fitted._replace(weights=found[2:] / found[0], rho=float(found[1] / found[0]))
+
+    if not threshold:
+        return fitted
+    scores = materialize(df.select(boundary_score(fitted, vector).alias("score")), "boundary-scores")
+    return fitted._replace(rho=exact_quantile(scores, "score", nu))
 
 
 def boundary_score(model: Boundary, vector: str = "features") -> Column:

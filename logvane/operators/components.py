@@ -23,24 +23,34 @@ class Components(NamedTuple):
 
 
 def fit_components(
-    df: DataFrame, k: int, vector: str = "features", min_explained: float | None = None, center: float | None = None
+    df: DataFrame, k: int | None = None, vector: str = "features", min_explained: float | None = None,
+    center: float | None = None,
 ) -> Components:
-    """The first ``k`` components; with ``min_explained`` the fewest (up to ``k``) that explain that share.
+    """The first ``k`` components, all without ``k``; with ``min_explained`` the fewest that explain that share.
+
+    Raises where ``k`` components explain less than asked for, and on an empty table.
 
     ``center`` states the mean of every coordinate where it is known, as for
     standardized features, and saves a pass. The sign of a component is fixed by
     making its largest loading positive.
     """
     vectors = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    width = df.select(F.size(vector)).first()[0]
-    fitted = PCA(k=min(k, width), inputCol="v", outputCol="p").fit(vectors)
+    first = df.select(F.size(vector)).first()
+    if first is None:
+        raise ValueError("no rows to fit components on")
+    width = first[0]
+    fitted = PCA(k=min(k or width, width), inputCol="v", outputCol="p").fit(vectors)
     loadings, explained = fitted.pc.toArray(), fitted.explainedVariance.toArray()
     if center is None:
         middle = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
     else:
         middle = np.full(width, center)
     if min_explained is not None:
-        enough = int(np.searchsorted(np.cumsum(explained), min_explained - 1e-12)) + 1
+        # constant coordinates alone leave nothing to explain
+        explained = np.nan_to_num(explained)
+        enough = int(np.searchsorted(np.cumsum(explained), min_explained - 1e-9)) + 1 if explained.any() else 1
+        if enough > len(explained):
+            raise ValueError(f"{len(explained)} components explain {explained.sum():.3f}, not {min_explained}")
         loadings, explained = loadings[:, :enough], explained[:enough]
     largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
     return Components(middle, loadings * np.where(largest < 0, -1.0, 1.0), explained)

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The numeric columns of an event.
 BASE_FEATURES = [
     "event_id", "severity_value", "is_system", "process_depth", "hour_of_day", "day_of_week",
     "granted_access", "message_len",

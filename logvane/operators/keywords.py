@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from logvane.functions.text import terms
 from logvane.session import materialize
 
-MAX_TERMS = 10_000
 MIN_TOPICS = 2
 
 
@@ -22,17 +21,17 @@ def term_counts(docs: DataFrame, topic: str = "topic", tokens: str = "tokens", w
     )
 
 
-def vocabulary(counts: DataFrame, min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS) -> DataFrame:
-    """Terms found in enough topics, the most frequent first."""
-    return (
+def vocabulary(counts: DataFrame, min_topics: int = MIN_TOPICS, max_terms: int | None = None) -> DataFrame:
+    """Terms found in enough topics: all of them, or the ``max_terms`` most frequent."""
+    found = (
         counts.groupBy("term").agg(F.count("*").alias("topics"), F.sum("n").alias("total"))
-        .filter(F.col("topics") >= min_topics)
-        .orderBy(F.desc("total"), "term").limit(max_terms).select("term", "total")
+        .filter(F.col("topics") >= min_topics).select("term", "total")
     )
+    return found if max_terms is None else found.orderBy(F.desc("total"), "term").limit(max_terms)
 
 
 def term_weights(
-    counts: DataFrame, topic: str = "topic", min_topics: int = MIN_TOPICS, max_terms: int = MAX_TERMS
+    counts: DataFrame, topic: str = "topic", min_topics: int = MIN_TOPICS, max_terms: int | None = None
 ) -> DataFrame:
     """``weight = n / topic length * ln(1 + mean topic length / total n)`` over the vocabulary.
 

@@ -9,6 +9,7 @@ from logvane.functions import coerce as C
 from logvane.functions.text import BLANKS
 from logvane.session import collect_bounded, fence
 
+# The columns of a normalized event.
 NORMALIZED_COLUMNS = [
     "timestamp", "hour_of_day", "day_of_week", "event_id", "channel", "source_name", "severity",
     "severity_value", "hostname", "account_name", "domain", "is_system", "image", "image_base",

@@ -222,18 +222,17 @@ ID_KEYS = ["tech_id", "d3fend_id", "cve_id", "update_id"]
 
 
 def citation_tag(meta: Column, collection: Column) -> Column:
-    """``[SOURCE: id]`` with the first identifier present, else the start of the title."""
+    """``[SOURCE: id]`` with the first identifier present, else the title."""
     source = F.upper(F.coalesce(meta["source"], collection))
-    title = F.substring(F.coalesce(meta["title"], F.lit("")), 1, 40)
-    found = F.coalesce(*[F.nullif(meta[k], F.lit("")) for k in ID_KEYS], F.nullif(title, F.lit("")))
+    found = F.coalesce(*[F.nullif(meta[k], F.lit("")) for k in [*ID_KEYS, "title"]])
     return F.when(found.isNull(), F.concat(F.lit("["), source, F.lit("]"))).otherwise(
         F.concat(F.lit("["), source, F.lit(": "), found, F.lit("]"))
     )
 
 
-def passage(meta: Column, collection: Column, text: Column, shown: int = 900) -> Column:
-    """Tag line and the shown part of the text."""
-    return F.concat(citation_tag(meta, collection), F.lit("\n"), F.substring(text, 1, shown))
+def passage(meta: Column, collection: Column, text: Column) -> Column:
+    """Tag line and text, whole as it was ranked."""
+    return F.concat(citation_tag(meta, collection), F.lit("\n"), text)
 
 
 def assemble(placed: DataFrame, name: str = "retrieved_docs") -> DataFrame:

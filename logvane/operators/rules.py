@@ -21,17 +21,17 @@ class Rule(NamedTuple):
 # The labelling rules (event id, field, contained text, technique).
 TIER1 = [
     (10, "target_image", "lsass.exe", "T1003.001"),
-    (13, "target_object", "\\currentversion\\run", "T1547.001"),
-    (13, "target_object", "\\currentversion\\runonce", "T1547.001"),
+    (13, "target_object", "\\CurrentVersion\\Run", "T1547.001"),
+    (13, "target_object", "\\CurrentVersion\\RunOnce", "T1547.001"),
     (1, "image_base", "powershell.exe", "T1059.001"),
     (1, "image_base", "cmd.exe", "T1059.001"),
     (3, "image_base", "net.exe", "T1021.002"),
     (3, "image_base", "net1.exe", "T1021.002"),
     (8, "target_image", "", "T1055"),
-    (13, "target_object", "\\services\\", "T1543.003"),
+    (13, "target_object", "\\Services\\", "T1543.003"),
     (1, "image_base", "wevtutil.exe", "T1070.001"),
     (1, "image_base", "schtasks.exe", "T1053.005"),
-    (11, "target_filename", "\\tasks\\", "T1053.005"),
+    (11, "target_filename", "\\Tasks\\", "T1053.005"),
     (11, "target_filename", ".ps1", "T1027"),
     (11, "target_filename", ".vbs", "T1027"),
     (11, "target_filename", ".hta", "T1027"),
@@ -70,8 +70,8 @@ def _hit(rule: Rule, strict: bool) -> Column:
     """The text part of a rule; ``strict`` compares base names whole, so ``net.exe`` no longer hits ``dotnet.exe``."""
     value = _lowered(rule.field)
     if rule.tier == 2 or (strict and rule.field == "image_base"):
-        return value == rule.substring
-    return value.contains(rule.substring) if rule.substring else F.lit(True)
+        return value == rule.substring.lower()
+    return value.contains(rule.substring.lower()) if rule.substring else F.lit(True)
 
 
 def rule_condition(rule: Rule, strict: bool = False) -> Column:

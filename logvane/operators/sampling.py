@@ -17,10 +17,11 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     total = df.count()
     if total <= n:
         return df
-    ranked = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = df.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     share = (n + 10 * math.sqrt(n) + 10) / total
     if share < 1:
-        bound = int(-(2**63) + share * 2**64)
+        bound = int(share * 2**60)
         near = ranked.filter(F.col("_h") <= bound)
         if near.count() >= n:
             ranked = near

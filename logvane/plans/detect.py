@@ -79,14 +79,14 @@ def fit_and_score(
     events = one_hot_event_ids(events, event_ids)
     scaler = fit_scaler(events, columns or feature_columns(events))
     featured = spread_small(with_features(events, scaler))
-    # one bounded sample serves both models that fit on samples; the smaller sample is part of it
     pool = materialize(hash_sample(featured.select(key, "features"), key, FIT_ROWS), "fit-sample")
     forest = isolation_forest.fit_forest(pool, key)
-    bound = boundary.fit_boundary(pool, key, nu=contamination)
-    pca = components.fit_components(featured, 8, min_explained=0.95, center=0.0)
+    bound = boundary.fit_boundary(featured, nu=contamination, threshold=False)
+    pca = components.fit_components(featured, min_explained=0.95, center=0.0)
     scored = materialize(_raw_scores(featured, forest, bound, pca).drop("features"), "scores")
     if_cut = exact_quantile(scored, "if_anomaly_score", contamination)
     ae_cut = exact_quantile(scored, "ae_anomaly_score", 1 - contamination)
+    bound = bound._replace(rho=exact_quantile(scored, "ocsvm_anomaly_score", contamination))
     model = Detectors(event_ids, scaler, forest, bound, pca, if_cut, ae_cut)
     return _flags(scored, if_cut, bound.rho, ae_cut), model
 
@@ -99,13 +99,13 @@ def score_with(events: DataFrame, model: Detectors) -> DataFrame:
 
 
 def projection(
-    scored: DataFrame, model: Detectors, key: str = "event_key", max_rows: int = 60_000, keep: list[str] | None = None
+    scored: DataFrame, model: Detectors, key: str = "event_key", max_rows: int | None = None, keep: list[str] | None = None
 ) -> DataFrame:
-    """Two principal coordinates of a sample, with the columns a plot colours by."""
+    """Two principal coordinates of all rows, or of a sample of ``max_rows``, with the columns a plot colours by."""
     keep = keep or ["if_is_anomaly", "if_anomaly_score", "event_id", "hostname", "image_base"]
     featured = with_features(scored, model.scaler)
     at = components.project(components.fit_components(featured, 2))
-    placed = hash_sample(featured, key, max_rows).withColumn("_at", at)
+    placed = (featured if max_rows is None else hash_sample(featured, key, max_rows)).withColumn("_at", at)
     return placed.select(key, F.col("_at")[0].alias("x"), F.col("_at")[1].alias("y"), *keep)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +29,10 @@ class TooLarge(ValueError):
     """A side that must be small enough to hold in memory is not."""
 
 
+class NoSharedFolder(ValueError):
+    """A cluster session does not say where intermediate tables go."""
+
+
 def local_session(app_name: str = "logvane", cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
     """Single-JVM session for tests and the bench; clusters bring their own."""
     builder = (
@@ -49,15 +56,20 @@ _OWN_FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Falls back to a new temporary folder only where the setting is absent,
-    which is the case for a single-machine session.
+    Without the setting a single-machine session gets a temporary folder of its
+    own, which is removed when Python ends; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all machines of {master} reach")
     application = spark.sparkContext.applicationId
     if application not in _OWN_FOLDERS:
-        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="logvane-")
+        folder = tempfile.mkdtemp(prefix="logvane-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_FOLDERS[application] = folder
     return _OWN_FOLDERS[application]
 
 

@@ -28,11 +28,17 @@ def stream_labeled(lines: DataFrame, keep: list[str] | None = None) -> DataFrame
 def malicious_windows(
     labeled: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes"
 ) -> DataFrame:
-    """Malicious events per host and event-time window; rows later than ``late`` are dropped."""
+    """Malicious events per host and event-time window; rows later than ``late`` are dropped.
+
+    Every event moves the watermark, so windows close while only benign ones arrive.
+    """
+    # the optimizer moves a filter below the watermark unless it names the time
+    malicious = F.when(F.col("at") > F.lit("0001-01-01").cast("timestamp"), F.col("ground_truth")) == 1
     return (
-        labeled.filter((F.col("ground_truth") == 1) & F.col("event_ts").isNotNull())
+        labeled.filter(F.col("event_ts").isNotNull())
         .withColumn("at", F.col("event_ts").cast("timestamp"))
         .withWatermark("at", late)
+        .filter(malicious)
         .groupBy(F.window("at", window, slide).alias("w"), "hostname")
         .agg(F.count("*").alias("n_events"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "hostname", "n_events")

@@ -105,7 +105,7 @@ def test_rerank_keeps_all_unless_told(spark):
     "meta, tag",
     [
         ({"source": "mitre_attack", "tech_id": "T1", "title": "x"}, "[MITRE_ATTACK: T1]"),
-        ({"source": "sigma", "tech_id": "", "title": "t" * 60}, "[SIGMA: " + "t" * 40 + "]"),
+        ({"source": "sigma", "tech_id": "", "title": "t" * 60}, "[SIGMA: " + "t" * 60 + "]"),
         ({"title": ""}, "[KB]"),
     ],
 )

@@ -56,7 +56,7 @@ def landed(tmp_path):
         {"type": "attack-pattern", "id": "attack-pattern--000000000009"},
     ]}, indent=1))
     (root / "d3fend.json").write_text(json.dumps({"data": [
-        {"id": "D3-A B", "label": "L", "definition": "def"}, {"d3f_id": "D3/2", "name": "N", "description": "x" * 3000}, {}]}))
+        {"id": "D3-A B", "label": "L", "definition": "def"}, {"d3f_id": "D3/2", "name": "N", "description": "x" * 3000}, {}, {}]}))
     (root / "kev.json").write_text(json.dumps({"vulnerabilities": [{"cveID": "CVE-1", "vendorProject": "v", "notes": "n"}, {}]}))
     (root / "car" / "analytics" / "CAR-1.yaml").write_text(
         "title: One\ndescription: null\nimplementations:\n- code: find me\n- just text\n- code: 5\n")
@@ -74,13 +74,14 @@ def docs(spark, collection, path):
 def test_bundles(spark, landed):
     attack = docs(spark, "mitre_attack", landed / "attack.json")
     row = attack["attack_T1.001_123456"]
-    assert row["text"] == "ATT&CK T1.001 — Dump\nTactic: two\n" + "d" * 1800
+    whole = "ATT&CK T1.001 — Dump\nTactic: two\n" + "d" * 3000
+    assert row["text"] == whole[:2000] and attack["attack_T1.001_123456#2"]["text"] == whole[2000:]
     assert row["meta"] == {"source": "mitre_attack", "tech_id": "T1.001", "tactic": "two", "name": "Dump"}
-    assert attack["attack__000009"]["text"] == "ATT&CK  — \nTactic: \n" and len(attack) == 2
+    assert attack["attack__000009"]["text"] == "ATT&CK  — \nTactic: \n" and len(attack) == 3
 
     d3fend = docs(spark, "mitre_d3fend", landed / "d3fend.json")
-    assert set(d3fend) == {"d3fend_D3_A_B", "d3fend_D3_2", "d3fend_unknown"}
-    assert len(d3fend["d3fend_D3_2"]["text"]) == 2000
+    assert set(d3fend) == {"d3fend_D3_A_B", "d3fend_D3_2", "d3fend_D3_2#2", "d3fend_unknown", "d3fend_unknown_2"}
+    assert len(d3fend["d3fend_D3_2"]["text"]) == 2000 and d3fend["d3fend_D3_2#2"]["meta"] == d3fend["d3fend_D3_2"]["meta"]
 
     kev = docs(spark, "cisa_kev", landed / "kev.json")
     assert kev["kev_CVE-1"]["text"] == (
@@ -115,7 +116,7 @@ def test_knowledge_base(spark, landed, tmp_path):
     with pytest.warns(UserWarning, match="msrc_cvrf"):
         kb = collections.build_knowledge_base(spark, str(landed), path)
     counts = {r["collection"]: r["n_docs"] for r in collections.collection_counts(kb).collect()}
-    assert counts == {"mitre_attack": 2, "mitre_d3fend": 3, "mitre_car": 1, "cisa_kev": 2, "sigma_rules": 2}
+    assert counts == {"mitre_attack": 3, "mitre_d3fend": 5, "mitre_car": 1, "cisa_kev": 2, "sigma_rules": 2}
     one = kb.filter("collection = 'cisa_kev'").select("collection", "doc_id", "text", "meta").limit(1)
     rows = spark.createDataFrame(one.collect(), one.schema)
     collections.replace_collections(rows, path)

@@ -47,6 +47,12 @@ def test_windows_drop_late_rows(spark, tmp_path):
     assert run() == {"10:00": 2, "13:00": 1}, "the late row is not counted, the restarted stream goes on"
 
 
+def test_benign_events_close_windows(spark, tmp_path):
+    land(tmp_path / "in", "0.json", [line(1, "2020-05-01 10:05:00"), line(2, "2020-05-01 12:00:00")])
+    windows = E.malicious_windows(E.stream_labeled(E.stream_lines(spark, str(tmp_path / "in"))), "1 hour", late="10 minutes")
+    assert [r["n_events"] for r in E.run_to_table(windows, "closed").collect()] == [1]
+
+
 def test_repeats_within_the_watermark(spark, tmp_path):
     land(tmp_path / "in", "0.json", [line(1, "2020-05-01 10:05:00"), line(1, "2020-05-01 10:05:30"), line(2, "2020-05-01 10:06:00")])
     stream = E.stream_labeled(E.stream_lines(spark, str(tmp_path / "in")))

@@ -9,7 +9,6 @@ from logvane.operators import answers as A
 from logvane.operators import enrich, metrics, reports
 from logvane.operators.retrieve import SEPARATOR
 from logvane.operators.rules import attribute
-from logvane.operators.sampling import hash_sample
 from logvane.operators.summaries import value_counts
 from workload import knowledge, scoring
 from workload.raw_events import HITS_CTE, NORM_CTE, labeled, normalized, table
@@ -31,15 +30,15 @@ def grounding_proxy(spark, sf_dir):
 
 
 def _analyses(spark, sf_dir):
-    """Exchanges as analyses: the sentences before are the passages, two words of the answer the reference ids."""
+    """Exchanges as analyses: the sentences before are the passages, the words of the answer the reference ids."""
     passages = F.array_join(X.long_sentences(F.col("documents")), SEPARATOR)
     words = X.clean_tokens(F.col("text"))
-    ids = F.array_compact(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(1))))
+    ids = F.array_sort(F.array_distinct(words))
     return _exchanges(spark, sf_dir).select(
         F.concat_ws("/", "conv_id", "turn").alias("query_id"),
         F.col("turn").alias("event_id"), F.concat(F.lit("host"), F.col("conv_id").cast("string")).alias("hostname"),
-        F.substring("documents", 1, 80).alias("topic_keywords"), F.col("text").alias("threat_analysis"),
-        passages.alias("retrieved_docs"), F.when(F.col("conv_id") % 5 > 0, F.array_distinct(ids)).otherwise(F.array()).alias("techniques"),
+        F.col("documents").alias("topic_keywords"), F.col("text").alias("threat_analysis"),
+        passages.alias("retrieved_docs"), F.when(F.col("conv_id") % 5 > 0, ids).otherwise(F.array()).alias("techniques"),
     )
 
 
@@ -66,9 +65,9 @@ def metric_means(spark, sf_dir):
 
 
 def event_evaluation(spark, sf_dir):
-    """Sampled analyses of the worst events, with retrieval against without."""
-    sample = hash_sample(knowledge.analysed_events(spark, sf_dir).filter(F.col("error").isNull()), "query_id", 30)
-    return A.compare_conditions(A.lexical_metrics(A.evaluation_records(sample)))
+    """Analyses of the worst events, with retrieval against without."""
+    analyses = knowledge.analysed_events(spark, sf_dir).filter(F.col("error").isNull())
+    return A.compare_conditions(A.lexical_metrics(A.evaluation_records(analyses)))
 
 
 def record_completeness(spark, sf_dir):
@@ -146,13 +145,12 @@ def grounding_sql(text: str, documents: str) -> str:
 
 _RECORDS = f"""{_EXCHANGES},
 an AS (SELECT conv_id || '/' || turn AS query_id, 'Analyse this security anomaly: EventID ' || turn || ' on host host' ||
-    conv_id || '. Topic keywords: ' || documents[1:80] || '.' AS user_input, text AS response,
+    conv_id || '. Topic keywords: ' || documents || '.' AS user_input, text AS response,
     {_SENTENCES.format('documents')} AS passages,
-    CASE WHEN conv_id % 5 > 0 THEN list_distinct({tokens_sql('text')}[1:2]) ELSE [] END AS ids,
-    {tokens_sql('text')}[1:2] AS words FROM ex),
-rec AS (SELECT query_id, 'with_rag' AS condition, user_input, response, ids, words,
+    CASE WHEN conv_id % 5 > 0 THEN list_sort(list_distinct({tokens_sql('text')})) ELSE [] END AS ids FROM ex),
+rec AS (SELECT query_id, 'with_rag' AS condition, user_input, response, ids,
     CASE WHEN len(passages) > 0 THEN passages ELSE ['{A.EMPTY_CONTEXT}'] END AS contexts FROM an
-  UNION ALL SELECT query_id, 'without_rag', user_input, response, ids, words, ['{A.BASELINE_CONTEXT}'] FROM an)"""
+  UNION ALL SELECT query_id, 'without_rag', user_input, response, ids, ['{A.BASELINE_CONTEXT}'] FROM an)"""
 
 _METRICS = f"""{_RECORDS},{hashed_cte('an', 'query_id', 'user_input', 64, 'qv')},{hashed_cte('an', 'query_id', 'response', 64, 'av')},
 hit AS (SELECT query_id, condition, u.r, CAST(len(list_filter(ids, lambda i: contains(u.c, i))) > 0 AS INTEGER) AS rel
@@ -181,8 +179,7 @@ ORACLES = {
     "grounding_proxy": f"""WITH {_EXCHANGES} SELECT conv_id, turn, round({grounding_sql('text', 'documents')}, 6) AS grounding
         FROM ex""",
     "evaluation_records": f"""WITH {_RECORDS} SELECT query_id, condition, user_input, response,
-        CASE WHEN len(ids) = 0 THEN '' WHEN len(words) = 2 AND words[1] <> words[2] THEN words[1] || ',' || words[2]
-          ELSE words[1] END AS reference,
+        array_to_string(ids, ',') AS reference,
         array_to_string(contexts, '|') AS contexts FROM rec""",
     "answer_metrics": f"WITH {_METRICS} SELECT query_id, condition, "
         + ", ".join(f"round({m}, 6) AS {m}" for m in A.METRICS) + " FROM m",

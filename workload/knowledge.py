@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +58,7 @@ def attack_docs(spark, sf_dir):
     return _shown(_attack(spark, sf_dir), "tech_id", "tactic", "name")
 
 
-def _d3fend(spark, sf_dir):
+def _d3fend_bundles(spark, sf_dir):
     key = F.col("p_partkey")
     item = F.struct(
         F.when(key % 3 == 0, F.concat(F.lit("D3-A.B:"), _text("p_partkey"))).alias("id"),
@@ -70,30 +68,36 @@ def _d3fend(spark, sf_dir):
     )
     some = F.to_json(F.struct(F.array(item).alias("techniques")))
     other = F.to_json(F.struct(F.array().cast("array<string>").alias("techniques"), F.array(item).alias("data")))
-    bundles = table(spark, sf_dir, "part").select(F.when(key % 4 == 0, other).otherwise(some).alias("bundle"))
-    return knowledge.d3fend_docs(knowledge.parse_bundles(bundles, "bundle", "mitre_d3fend"))
+    return table(spark, sf_dir, "part").select(F.when(key % 4 == 0, other).otherwise(some).alias("bundle"))
+
+
+def _d3fend(spark, sf_dir):
+    return knowledge.d3fend_docs(knowledge.parse_bundles(_d3fend_bundles(spark, sf_dir), "bundle", "mitre_d3fend"))
 
 
 def d3fend_docs(spark, sf_dir):
     return _shown(_d3fend(spark, sf_dir), "d3fend_id", "name")
 
 
-def _kev(spark, sf_dir):
+def _kev_bundles(spark, sf_dir):
     key = F.col("c_custkey")
     item = F.struct(
         F.concat(F.lit("CVE-2024-"), _text("c_custkey")).alias("cveID"), F.col("c_name").alias("vendorProject"),
         F.when(key % 3 > 0, F.col("c_mktsegment")).alias("product"), F.col("c_mktsegment").alias("vulnerabilityName"),
         F.repeat(F.col("c_name"), 150).alias("requiredAction"), F.lit("2024-01-31").alias("dueDate"),
     )
-    bundles = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(item).alias("vulnerabilities"))).alias("bundle"))
-    return knowledge.kev_docs(knowledge.parse_bundles(bundles, "bundle", "cisa_kev"))
+    return table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(item).alias("vulnerabilities"))).alias("bundle"))
+
+
+def _kev(spark, sf_dir):
+    return knowledge.kev_docs(knowledge.parse_bundles(_kev_bundles(spark, sf_dir), "bundle", "cisa_kev"))
 
 
 def kev_docs(spark, sf_dir):
     return _shown(_kev(spark, sf_dir), "cve_id", "product")
 
 
-def _msrc(spark, sf_dir):
+def _msrc_bundles(spark, sf_dir):
     key = F.col("o_orderkey")
     year = F.when(key % 13 == 0, F.lit("Jan ")).otherwise((F.year("o_orderdate") + 27).cast("string"))
     item = F.struct(
@@ -101,8 +105,11 @@ def _msrc(spark, sf_dir):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("InitialReleaseDate"),
         F.when(key % 2 == 0, F.col("o_orderstatus")).alias("CvrfUrl"),
     )
-    bundles = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(item).alias("value"))).alias("bundle"))
-    return knowledge.msrc_docs(knowledge.parse_bundles(bundles, "bundle", "msrc_cvrf"))
+    return table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(item).alias("value"))).alias("bundle"))
+
+
+def _msrc(spark, sf_dir):
+    return knowledge.msrc_docs(knowledge.parse_bundles(_msrc_bundles(spark, sf_dir), "bundle", "msrc_cvrf"))
 
 
 def msrc_docs(spark, sf_dir):
@@ -151,19 +158,34 @@ def sigma_docs(spark, sf_dir):
     return _shown(_sigma(spark, sf_dir), "title", "file", "tags")
 
 
+ITEMS_PER_BUNDLE = 2_000
+
+
+def _land(texts, collection, path):
+    """A feed as files of one bundle each, with many items to a bundle."""
+    parsed = knowledge.parse_bundles(texts, "bundle", collection)
+    whole = F.struct(*parsed.columns)
+    number = F.pmod(F.xxhash64(F.to_json(whole)), F.lit(1 + texts.count() // ITEMS_PER_BUNDLE))
+    bundles = parsed.groupBy(F.size(parsed.columns[0]) > 0, number).agg(
+        *[F.flatten(F.collect_list(c)).alias(c) for c in parsed.columns]
+    )
+    bundles.select(F.to_json(whole)).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def collection_counts(spark, sf_dir):
-    """All six feeds into the stored collections, one collection replaced again, then counted."""
-    path = work_path(spark, "kb")
-    loaders = {
-        "mitre_attack": _attack, "mitre_d3fend": _d3fend, "cisa_kev": _kev, "msrc_cvrf": _msrc, "mitre_car": _car,
-        "sigma_rules": _sigma,
-    }
-    parts = {
-        c: load(spark, sf_dir).select(F.lit(c).alias("collection"), "doc_id", "text", "meta").dropDuplicates(["doc_id"])
-        for c, load in loaders.items()
+    """All six feeds into the stored collections, the JSON ones from landed files; one collection replaced again."""
+    path, root = work_path(spark, "kb"), work_path(spark, "feeds")
+    bundles = {
+        "mitre_attack": _attack_bundles, "mitre_d3fend": _d3fend_bundles, "cisa_kev": _kev_bundles, "msrc_cvrf": _msrc_bundles,
     }
-    collections.replace_collections(reduce(DataFrame.unionByName, parts.values()), path)
-    collections.replace_collections(parts["cisa_kev"], path)
+    feeds = {c: collections.FEED_PATHS[c] for c in bundles}
+    for c, make in bundles.items():
+        _land(make(spark, sf_dir), c, f"{root}/{feeds[c]}")
+    collections.build_knowledge_base(spark, root, path, feeds)
+    named = lambda c, docs: docs.select(F.lit(c).alias("collection"), "doc_id", "text", "meta")
+    rules = named("mitre_car", _car(spark, sf_dir)).unionByName(named("sigma_rules", _sigma(spark, sf_dir)))
+    collections.replace_collections(rules, path)
+    collections.replace_collections(named("cisa_kev", _kev(spark, sf_dir)), path)
     return collections.collection_counts(collections.read_collections(spark, path))
 
 
@@ -181,7 +203,7 @@ def _kb(spark, sf_dir):
             F.create_map(
                 F.lit("source"), F.col("source"), F.lit("tech_id"),
                 F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("T"), _text("doc_id"))).otherwise(F.lit("")),
-                F.lit("title"), F.when(F.col("doc_id") % 3 > 0, F.col("text")),
+                F.lit("title"), F.when(F.col("doc_id") % 3 > 0, F.concat_ws(" in ", "source", "lang")),
             ).alias("meta"),
         )
         indexed = embed.embed(docs, "text").withColumn("tokens", X.clean_tokens(F.col("text")))
@@ -278,40 +300,46 @@ QUERIES = {
     ]
 }
 
-_ATTACK = """SELECT 'attack_' || tech_id || '_' || right(lpad(CAST(doc_id AS VARCHAR), 9, '0'), 6) AS doc_id,
-  'ATT&CK ' || tech_id || ' — ' || source || ' ' || lang || chr(10) || 'Tactic: ' || tactic || chr(10) || text[1:1800] AS text,
+def _passages(sql: str, shown: str, order: str = "text") -> str:
+    """Repeated ids numbered, long texts in pieces of 2000 characters."""
+    return f"""SELECT CASE WHEN part = 1 THEN uid ELSE uid || '#' || part END AS doc_id,
+  text[(part - 1) * 2000 + 1 : part * 2000] AS text, source, {shown}
+FROM (SELECT *, CASE WHEN r = 1 THEN doc_id ELSE doc_id || '_' || r END AS uid,
+        unnest(range(1, greatest(1, CAST(ceil(length(text) / 2000) AS BIGINT)) + 1)) AS part
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5({order})[1:2], {order}) AS r FROM ({sql})))"""
+
+
+_ATTACK = _passages("""SELECT 'attack_' || tech_id || '_' || right(lpad(CAST(doc_id AS VARCHAR), 9, '0'), 6) AS doc_id,
+  'ATT&CK ' || tech_id || ' — ' || source || ' ' || lang || chr(10) || 'Tactic: ' || tactic || chr(10) || text AS text,
   'mitre_attack' AS source, tech_id, tactic, source || ' ' || lang AS name
 FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'T' || (doc_id % 500 + 1000) END AS tech_id,
-        CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS tactic FROM documents) WHERE doc_id % 5 <> 0"""
-_D3FEND = """SELECT 'd3fend_' || regexp_replace(d3fend_id, '[^a-zA-Z0-9_]', '_', 'g') AS doc_id,
-  ('D3FEND ' || d3fend_id || ' — ' || name || chr(10) || repeat(p_type, 200))[1:2000] AS text, 'd3fend' AS source,
+        CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS tactic FROM documents) WHERE doc_id % 5 <> 0""", "tech_id, tactic, name")
+_D3FEND = _passages("""SELECT 'd3fend_' || regexp_replace(d3fend_id, '[^a-zA-Z0-9_]', '_', 'g') AS doc_id,
+  'D3FEND ' || d3fend_id || ' — ' || name || chr(10) || repeat(p_type, 200) AS text, 'd3fend' AS source,
   d3fend_id, name
 FROM (SELECT p_type, CASE p_partkey % 3 WHEN 0 THEN 'D3-A.B:' || p_partkey WHEN 1 THEN 'D3/' || p_partkey
-          ELSE 'unknown' END AS d3fend_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS name FROM part)"""
-_KEV = """SELECT 'kev_CVE-2024-' || c_custkey AS doc_id,
-  ('CVE: CVE-2024-' || c_custkey || ' | Vendor: ' || c_name || ' | Product: ' || product || ' | Vulnerability: ' ||
-   c_mktsegment || ' | Required Action: ' || repeat(c_name, 150) || ' | Due Date: 2024-01-31 | Notes: ')[1:2000] AS text,
+          ELSE 'unknown' END AS d3fend_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS name FROM part)""",
+    "d3fend_id, name")
+_KEV = _passages("""SELECT 'kev_CVE-2024-' || c_custkey AS doc_id,
+  'CVE: CVE-2024-' || c_custkey || ' | Vendor: ' || c_name || ' | Product: ' || product || ' | Vulnerability: ' ||
+   c_mktsegment || ' | Required Action: ' || repeat(c_name, 150) || ' | Due Date: 2024-01-31 | Notes: ' AS text,
   'cisa_kev' AS source, 'CVE-2024-' || c_custkey AS cve_id, product
-FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS product FROM customer)"""
-_MSRC = """SELECT 'msrc_' || id AS doc_id, 'MSRC Update: ' || id || ' | Title: ' || o_orderpriority || ' | Release Date: ' ||
+FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS product FROM customer)""", "cve_id, product")
+_MSRC = _passages("""SELECT 'msrc_' || id AS doc_id, 'MSRC Update: ' || id || ' | Title: ' || o_orderpriority || ' | Release Date: ' ||
    strftime(o_orderdate, '%Y-%m-%d') || ' | CVRF URL: ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END AS text,
   'msrc_cvrf' AS source, id AS update_id, o_orderpriority AS title
 FROM (SELECT *, (year(o_orderdate) + 27) || '-' || o_orderkey AS id FROM orders WHERE o_orderkey % 13 <> 0)
-WHERE year(o_orderdate) + 27 >= 2023"""
-_CAR = """SELECT 'car_CAR-' || page_id AS doc_id,
-  ('CAR — ' || url || chr(10) || 'seen on ' || url || chr(10) || 'Detection logic: search ' || url || '  42')[1:2000] AS text,
+WHERE year(o_orderdate) + 27 >= 2023""", "update_id, title")
+_CAR = _passages("""SELECT 'car_CAR-' || page_id AS doc_id,
+  'CAR — ' || url || chr(10) || 'seen on ' || url || chr(10) || 'Detection logic: search ' || url || '  42' AS text,
   'mitre_car' AS source, url AS title, 'CAR-' || page_id || CASE WHEN page_id % 2 = 0 THEN '.yaml' ELSE '.yml' END AS file
-FROM pages WHERE page_id % 10 <> 0"""
-_SIGMA = """SELECT CASE WHEN r = 1 THEN uid ELSE uid || '_' || r END AS doc_id,
-  ('Sigma Rule: ' || title || chr(10) || 'Tags: ' || tags || chr(10) || 'Description: from ' || source || chr(10) ||
-   'Detection: {''selection'': {''EventID'': ' || (doc_id % 20) || ', ''Image'': ''a.exe''}, ''condition'': ''selection''}')[1:2000]
+FROM pages WHERE page_id % 10 <> 0""", "title, file")
+_SIGMA = _passages("""SELECT 'sigma_' || source || '.yml' AS doc_id, '/sigma/rules/' || doc_id || '/' || source || '.yml' AS path,
+  'Sigma Rule: ' || title || chr(10) || 'Tags: ' || tags || chr(10) || 'Description: from ' || source || chr(10) ||
+   'Detection: {''selection'': {''EventID'': ' || (doc_id % 20) || ', ''Image'': ''a.exe''}, ''condition'': ''selection''}'
    AS text, 'sigma' AS source, title, source || '.yml' AS file, tags
-FROM (SELECT *, 'sigma_' || (source || '.yml')[1:60] AS uid,
-        CASE WHEN doc_id % 4 = 0 THEN source || '.yml' ELSE 'Rule ' || doc_id END AS title,
-        'attack.' || lang || ', ' || source AS tags,
-        row_number() OVER (PARTITION BY (source || '.yml')[1:60]
-          ORDER BY md5('/sigma/rules/' || doc_id || '/' || source || '.yml')[1:2], '/sigma/rules/' || doc_id || '/' || source || '.yml') AS r
-      FROM documents)"""
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN source || '.yml' ELSE 'Rule ' || doc_id END AS title,
+        'attack.' || lang || ', ' || source AS tags FROM documents)""", "title, file, tags", "path")
 
 SEARCH_CTE = hashed_cte("documents", "doc_id", "text", 64, "dv") + "," + hashed_cte(
     "benchmark", "item_id", "text", 64, "qv"
@@ -336,7 +364,7 @@ scored AS (SELECT f.*, coalesce(bm25, 0.0) AS bm25 FROM found f LEFT JOIN sums U
 placed AS (SELECT s.query_id, s.doc_id, CAST(row_number() OVER (PARTITION BY query_id
              ORDER BY round(bm25, 10) DESC, distance, collection, s.doc_id) AS INTEGER) AS place,
              '[' || upper(d.source) || CASE WHEN d.doc_id % 2 = 0 THEN ': T' || d.doc_id
-               WHEN d.doc_id % 3 <> 0 THEN ': ' || d.text[1:40] ELSE '' END || ']' || chr(10) || d.text[1:900] AS passage
+               WHEN d.doc_id % 3 <> 0 THEN ': ' || d.source || ' in ' || d.lang ELSE '' END || ']' || chr(10) || d.text AS passage
            FROM scored s JOIN documents d USING (doc_id))"""
 
 ORACLES = {
@@ -349,7 +377,7 @@ ORACLES = {
         AS path FROM pages WHERE page_id % 10 = 0""",
     "sigma_docs": _SIGMA,
     "collection_counts": " UNION ALL ".join(
-        f"SELECT '{c}' AS collection, count(DISTINCT doc_id) AS n_docs FROM ({sql})"
+        f"SELECT '{c}' AS collection, count(*) AS n_docs FROM ({sql})"
         for c, sql in {"mitre_attack": _ATTACK, "mitre_d3fend": _D3FEND, "cisa_kev": _KEV, "msrc_cvrf": _MSRC,
                        "mitre_car": _CAR, "sigma_rules": _SIGMA}.items()
     ),
@@ -371,9 +399,9 @@ ORACLES = {
         top AS (SELECT topic FROM topics WHERE topic <> -1 GROUP BY topic ORDER BY avg(anomaly_score), topic LIMIT 12)
         SELECT event_key AS query_id, topic, 'EventID: ' || event_id || ' | Hostname: ' || hostname ||
           ' | Process: ' || image || ' | TargetImage: ' || target_image || ' | TargetObject: ' ||
-          target_object[1:80] || ' | Account: ' || coalesce(account_name, 'None') || ' (' || "domain" || ')' ||
+          target_object || ' | Account: ' || coalesce(account_name, 'None') || ' (' || "domain" || ')' ||
           ' | GrantedAccess: ' || CASE WHEN granted_access = 0 THEN 'N/A' ELSE '0x' || lower(to_hex(granted_access)) END ||
-          ' | IsolationForest score: ' || printf('%.4f', anomaly_score) || ' | Message: ' || message[1:400] ||
+          ' | IsolationForest score: ' || printf('%.4f', anomaly_score) || ' | Message: ' || message ||
           ' kw ' || topic AS query
         FROM topics WHERE topic IN (SELECT topic FROM top)
         QUALIFY row_number() OVER (PARTITION BY topic ORDER BY anomaly_score, event_key) <= 3""",

@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 
 from logvane.operators.sampling import hash_sample
 from logvane.plans import detect
-from workload.raw_events import labeled, table
+from workload.raw_events import LABELED_CTE, labeled, table
 
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines(spark, sf_dir):
-    """Line items with a key of their own: the row's content, which is unique in these tables."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.withColumn("event_key", F.concat_ws("/", *lines.columns))
+    """Line items under order and line number."""
+    return table(spark, sf_dir, "lineitem").withColumn("event_key", F.concat_ws("/", "l_orderkey", "l_linenumber"))
 
 
 def event_detectors(spark, sf_dir):
@@ -47,4 +46,8 @@ QUERIES = {
     f.__name__: f
     for f in [event_detectors, lineitem_detectors, event_detector_report, event_projection, event_sample]
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "event_sample": f"""WITH {LABELED_CTE}, drawn AS (
+          SELECT *, CAST('0x' || substr(md5('42/' || event_key), 1, 15) AS BIGINT) AS h FROM labeled)
+        SELECT event_key, event_id, ground_truth FROM drawn ORDER BY h, event_key LIMIT 1000""",
+}

@@ -77,9 +77,10 @@ QUERIES = {
 def _closed_windows(step: str, starts: str) -> str:
     return f"""WITH {LABELED_CTE},
 bad AS (SELECT event_ts, hostname FROM labeled WHERE ground_truth = 1 AND event_ts IS NOT NULL),
+passed AS (SELECT max(event_ts) - INTERVAL 10 MINUTE AS until FROM labeled),
 placed AS (SELECT unnest({starts}) AS window_start, event_ts, hostname FROM bad)
 SELECT window_start, hostname, count(*) AS n_events FROM placed
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(event_ts) - INTERVAL 10 MINUTE FROM bad) GROUP BY ALL"""
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT until FROM passed) GROUP BY ALL"""
 
 
 ORACLES = {

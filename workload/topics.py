@@ -175,8 +175,7 @@ grams AS (
   UNION ALL SELECT topic, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))
   FROM toks WHERE len(t) > 1),
 counts AS (SELECT topic, term, count(*) AS n FROM grams GROUP BY ALL),
-vocab AS (SELECT term, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY term HAVING count(*) >= 2
-          ORDER BY total DESC, term LIMIT 10000),
+vocab AS (SELECT term, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY term HAVING count(*) >= 2),
 kept AS (SELECT c.*, v.total FROM counts c JOIN vocab v USING (term)),
 lens AS (SELECT topic, sum(n) AS length FROM kept GROUP BY topic),
 weights AS (SELECT topic, term, n, n / CAST(length AS DOUBLE) * ln(1 + (SELECT avg(length) FROM lens) / total) AS weight
@@ -257,9 +256,9 @@ LEFT JOIN labels USING (first) LEFT JOIN named USING (comp)""",
         FROM topics) WHERE place <= 3""",
     "anomaly_contexts": f"""WITH {SCORED_CTE} SELECT event_key, 'EventID: ' || event_id || ' | Hostname: ' || hostname ||
         ' | Process: ' || image || ' | TargetImage: ' || target_image || ' | TargetObject: ' ||
-        target_object[1:80] || ' | Account: ' || coalesce(account_name, 'None') || ' (' || "domain" || ')' ||
+        target_object || ' | Account: ' || coalesce(account_name, 'None') || ' (' || "domain" || ')' ||
         ' | GrantedAccess: ' || CASE WHEN granted_access = 0 THEN 'N/A' ELSE '0x' || lower(to_hex(granted_access)) END ||
-        ' | IsolationForest score: ' || printf('%.4f', anomaly_score) || ' | Message: ' || message[1:400] AS context
+        ' | IsolationForest score: ' || printf('%.4f', anomaly_score) || ' | Message: ' || message AS context
         FROM scored""",
     "analysis_questions": f"""WITH {NORM_CTE} SELECT event_key, 'Analyse this security anomaly: EventID ' || event_id ||
         ' on host ' || hostname || '. Topic keywords: ' || channel_bucket || '.' AS question FROM norm""",
