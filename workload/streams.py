@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from logvane.plans import detect
@@ -68,9 +70,21 @@ def stream_scores(spark, sf_dir):
     return E.run_to_table(wanted, "stream-scores")
 
 
+def stream_score_checks(spark, sf_dir):
+    """Every event's streamed scores and flag, and whether they are those of the batch."""
+    scored, model = detect.fit_and_score(labeled(spark, sf_dir))
+    names = ["if_anomaly_score", "ocsvm_anomaly_score", "ae_anomaly_score", "is_anomaly"]
+    streamed = E.stream_scored(E.stream_labeled(_event_stream(spark, sf_dir), ["event_key"]), model)
+    stored = E.run_to_table(streamed.select("event_key", *[F.col(n).alias(f"s_{n}") for n in names]), "stream-checks")
+    same = [F.abs(F.col(n) - F.col(f"s_{n}")) < 1e-9 for n in names]
+    return stored.join(scored.select("event_key", *names), "event_key").select(
+        "event_key", reduce(lambda a, b: a & b, same).alias("as_batch")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in [stream_labels, stream_windows, stream_sliding_windows, stream_first_sightings, stream_scores]
+    for f in [stream_labels, stream_windows, stream_sliding_windows, stream_first_sightings, stream_scores, stream_score_checks]
 }
 
 
@@ -91,6 +105,7 @@ ORACLES = {
         "30 minutes",
         "[time_bucket(INTERVAL 30 MINUTE, event_ts), time_bucket(INTERVAL 30 MINUTE, event_ts) - INTERVAL 30 MINUTE]",
     ),
+    "stream_score_checks": f"WITH {LABELED_CTE} SELECT event_key, true AS as_batch FROM labeled",
     "stream_first_sightings": f"""WITH {NORM_CTE} SELECT DISTINCT event_id, hostname, process_id, "timestamp" FROM norm
         WHERE event_ts IS NOT NULL""",
 }
