@@ -14,8 +14,9 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines(spark, sf_dir):
-    """Line items under order and line number."""
-    return table(spark, sf_dir, "lineitem").withColumn("event_key", F.concat_ws("/", "l_orderkey", "l_linenumber"))
+    """Line items under a digest of their row: order and line number repeat in these tables, whole rows do not."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.withColumn("event_key", F.md5(F.to_json(F.struct(*lines.columns))))
 
 
 def event_detectors(spark, sf_dir):

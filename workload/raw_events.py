@@ -188,7 +188,7 @@ tools(rule_id, name) AS (VALUES {_TOOL_VALUES}),
 hits AS (
   SELECT n.event_key, r.rule_id, r.technique FROM norm n JOIN rules r ON n.event_id = r.event_id
    AND contains(lower(CASE r.field WHEN 'image_base' THEN image_base WHEN 'target_image' THEN target_image
-                WHEN 'target_object' THEN target_object ELSE target_filename END), r.sub)
+                WHEN 'target_object' THEN target_object ELSE target_filename END), lower(r.sub))
   UNION ALL SELECT n.event_key, t.rule_id, NULL FROM norm n JOIN tools t ON n.image_base = t.name
   UNION ALL SELECT event_key, 0, 'T1036' FROM norm
    WHERE event_id = 1 AND image_base = 'svchost.exe' AND NOT contains(lower(image), 'system32')
