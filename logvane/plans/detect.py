@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logvane.operators import boundary, components, isolation_forest, metrics
 from logvane.operators.features import Scaler, feature_columns, fit_scaler, with_features
 from logvane.operators.normalize import one_hot_event_ids, top_event_ids
-from logvane.operators.quantiles import exact_quantile
+from logvane.operators.quantiles import exact_quantiles
 from logvane.operators.sampling import hash_sample
 from logvane.operators.scores import combine_flags, suspicion
 from logvane.session import materialize, spread_small
@@ -84,9 +84,9 @@ def fit_and_score(
     bound = boundary.fit_boundary(featured, nu=contamination, threshold=False)
     pca = components.fit_components(featured, min_explained=0.95, center=0.0)
     scored = materialize(_raw_scores(featured, forest, bound, pca).drop("features"), "scores")
-    if_cut = exact_quantile(scored, "if_anomaly_score", contamination)
-    ae_cut = exact_quantile(scored, "ae_anomaly_score", 1 - contamination)
-    bound = bound._replace(rho=exact_quantile(scored, "ocsvm_anomaly_score", contamination))
+    cuts = exact_quantiles(scored, ["if_anomaly_score", "ocsvm_anomaly_score", "ae_anomaly_score"], [contamination, 1 - contamination])
+    if_cut, ae_cut = cuts["if_anomaly_score"][0], cuts["ae_anomaly_score"][1]
+    bound = bound._replace(rho=cuts["ocsvm_anomaly_score"][0])
     model = Detectors(event_ids, scaler, forest, bound, pca, if_cut, ae_cut)
     return _flags(scored, if_cut, bound.rho, ae_cut), model
 
