@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from logvane.operators.embed import cosine
 from logvane.operators.graph import connected_components
-from logvane.session import cut_lineage
+from logvane.session import materialize
 
 NOISE = -1
 
@@ -42,8 +42,8 @@ def density_clusters(
     ``min_size`` are noise.
     """
     placed = points.withColumn("_cell", grid_cell(F.col(vector), cell_width))
-    cells = cut_lineage(
-        placed.groupBy("_cell").agg(F.sum(weight).cast("bigint").alias("own"), F.min(key).alias("first"))
+    cells = materialize(
+        placed.groupBy("_cell").agg(F.sum(weight).cast("bigint").alias("own"), F.min(key).alias("first")), "cells"
     )
     around = cells.select(
         "_cell", "own", "first", F.explode(_face_neighbours(F.col("_cell"), dimensions)).alias("at")
@@ -51,10 +51,10 @@ def density_clusters(
         cells.select(F.col("_cell").alias("at"), F.col("own").alias("near_own"), F.col("first").alias("near")), "at"
     )
     density = around.groupBy("first").agg(F.sum("near_own").alias("near_total"))
-    core = cut_lineage(
+    core = materialize(
         cells.join(density, "first", "left")
         .filter(F.col("own") + F.coalesce(F.col("near_total"), F.lit(0)) >= min_size)
-        .select("first", F.col("own").alias("core_own"))
+        .select("first", F.col("own").alias("core_own")), "core-cells"
     )
 
     # `first` names a cell: no two cells share a point
@@ -81,7 +81,7 @@ def density_clusters(
     numbered = sizes.select(
         "component", (F.row_number().over(Window.orderBy(F.desc("size"), "start")) - 1).cast("int").alias("topic")
     )
-    topics = cut_lineage(labels.join(numbered, "component").select("_cell", "topic"))
+    topics = materialize(labels.join(numbered, "component").select("_cell", "topic"), "cell-topics")
     return placed.join(topics, "_cell", "left").withColumn(
         "topic", F.coalesce("topic", F.lit(NOISE))
     ).drop("_cell")

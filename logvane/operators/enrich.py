@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,6 +18,8 @@ FIELDS = [
 ]
 REQUIRED = FIELDS[:-1]
 MIN_GROUNDING = 0.5
+#: the built-in analyzer reports so many quotes, and makes its analysis of so many
+QUOTES, ANALYSED = 4, 2
 REMINDER = "[Use only words found in the retrieved passages.] "
 
 
@@ -30,33 +31,59 @@ def severity_hint() -> Column:
     )
 
 
-def extract(row: dict) -> dict:
-    """Built-in analyzer: quotes the passage sentences that share most words with the event."""
-    wanted = set(re.findall(r"[a-z]{3,}", f"{row['anomaly_context']} {row['topic_keywords']}".lower()))
-    passages = row["retrieved_docs"].split(SEPARATOR) if row["retrieved_docs"] else []
-    quotes = []
-    for number, passage in enumerate(passages):
-        tag, _, body = passage.partition("\n")
-        for sentence in re.split(r"(?<=[.!?])\s+|\n+", body):
-            shared = len(wanted & set(re.findall(r"[a-z]{3,}", sentence.lower())))
-            if shared and len(sentence.strip()) > 20:
-                quotes.append((-shared, number, tag, sentence.strip()))
-    quotes = sorted(quotes)[:4]
-    technique = next(
-        (m.group(1) for m in (re.match(r"\[MITRE_ATTACK: ([^\]]+)\]", p) for p in passages) if m), ""
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))
+
+
+def _quotes(wanted: Column, passages: Column) -> Column:
+    """``rank, number, tag, quote`` of the sentences that share words with the event, those that share most first."""
+    def of_passage(passage: Column, number: Column) -> Column:
+        tag, body = F.substring_index(passage, "\n", 1), F.substr(passage, F.instr(F.concat(passage, F.lit("\n")), "\n") + 1)
+        found = F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda x: F.struct(
+            (-F.size(F.array_intersect(_words(x), wanted))).alias("rank"), number.alias("number"), tag.alias("tag"), F.trim(x).alias("quote")
+        ))
+        return F.filter(found, lambda q: (q["rank"] < 0) & (F.length(q["quote"]) > 20))
+
+    return F.slice(F.array_sort(F.flatten(F.transform(passages, of_passage))), 1, QUOTES)
+
+
+def extract(queries: DataFrame) -> DataFrame:
+    """Built-in analyzer: quotes the ``QUOTES`` passage sentences that share most words with the event.
+
+    The first ``ANALYSED`` quotes are the analysis. Column expressions only.
+    """
+    kept = [c for c in queries.columns if c not in (*FIELDS, "error")]
+    given = F.coalesce("retrieved_docs", F.lit("")) != ""
+    none = F.array().cast("array<string>")
+    out = queries.select(
+        *kept, F.when(given, F.split("retrieved_docs", "\\Q" + SEPARATOR + "\\E")).otherwise(none).alias("_passages"),
+        _words(F.concat_ws(" ", "anomaly_context", "topic_keywords")).alias("_wanted"),
     )
-    return {
-        "evidence_quotes": "\n".join(f'{tag} "{text}"' for _, _, tag, text in quotes),
-        "grounding_check": "\n".join(f"Quote {i} <- {tag}" for i, (_, _, tag, _) in enumerate(quotes, start=1)),
-        "threat_analysis": " ".join(text if text.endswith(".") else text + "." for _, _, _, text in quotes[:2]),
-        "mitre_technique": technique,
-        "remediation_steps": "\n".join(f"{i}. Review {tag}" for i, (_, _, tag, _) in enumerate(quotes, start=1)),
-        "severity_rating": row.get("severity_hint") or "Low",
+    out = out.select("*", _quotes(F.col("_wanted"), F.col("_passages")).alias("_quotes"))
+    each = lambda f, n=None: F.transform(F.col("_quotes") if n is None else F.slice("_quotes", 1, n), f)
+    sentence = lambda q: F.when(q["quote"].endswith("."), q["quote"]).otherwise(F.concat(q["quote"], F.lit(".")))
+    technique = F.array_compact(F.transform("_passages", lambda p: F.nullif(
+        F.regexp_extract(p, r"^\[MITRE_ATTACK: ([^\]]+)\]", 1), F.lit("")
+    )))
+    hint = F.nullif(F.col("severity_hint"), F.lit("")) if "severity_hint" in queries.columns else F.lit(None)
+    fields = {
+        "evidence_quotes": F.array_join(each(lambda q: F.format_string('%s "%s"', q["tag"], q["quote"])), "\n"),
+        "grounding_check": F.array_join(each(lambda q, i: F.format_string("Quote %s <- %s", i + 1, q["tag"])), "\n"),
+        "threat_analysis": F.array_join(each(sentence, ANALYSED), " "),
+        "mitre_technique": F.coalesce(F.get(technique, F.lit(0)), F.lit("")),
+        "remediation_steps": F.array_join(each(lambda q, i: F.format_string("%s. Review %s", i + 1, q["tag"])), "\n"),
+        "severity_rating": F.coalesce(hint, F.lit("Low")),
     }
+    return out.select(*kept, *[fields[f].alias(f) for f in FIELDS], F.lit(None).cast("string").alias("error"))
 
 
-def apply_analyzer(queries: DataFrame, analyzer: Callable[[dict], dict] = extract) -> DataFrame:
-    """Call ``analyzer`` per row on the executors; a failure fills ``error`` and leaves the fields NULL."""
+def apply_analyzer(queries: DataFrame, analyzer: Callable[[dict], dict] | None = None) -> DataFrame:
+    """Call ``analyzer`` per row on the executors; a failure fills ``error`` and leaves the fields NULL.
+
+    Without one the built-in analyzer runs, as column expressions.
+    """
+    if analyzer is None:
+        return extract(queries)
     inputs = queries.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
     schema += "".join(f", {f} string" for f in FIELDS) + ", error string"
@@ -77,7 +104,7 @@ def apply_analyzer(queries: DataFrame, analyzer: Callable[[dict], dict] = extrac
 
 
 def enrich(
-    queries: DataFrame, analyzer: Callable[[dict], dict] = extract, min_grounding: float = MIN_GROUNDING,
+    queries: DataFrame, analyzer: Callable[[dict], dict] | None = None, min_grounding: float = MIN_GROUNDING,
     reminder: str = REMINDER,
 ) -> DataFrame:
     """Analyses with one retry for rows whose analysis is not grounded in its passages.

@@ -28,7 +28,8 @@ class _TopK:
     def __init__(self, query_ids: np.ndarray, vectors: np.ndarray, k: int, metric: str):
         self.query_ids, self.k, self.metric = query_ids, k, metric
         self.vectors = _unit(vectors) if metric == "cosine" else vectors
-        self.best: dict[tuple[int, object], tuple[np.ndarray, np.ndarray]] = {}
+        # per collection: number of the query, distance and document, the best k of each query
+        self.best: dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def _distances(self, rows: np.ndarray) -> np.ndarray:
         if self.metric == "cosine":
@@ -40,23 +41,24 @@ class _TopK:
         for name in pd.unique(collections):
             chosen = collections == name
             own_ids, distances = ids[chosen], self._distances(rows[chosen])
-            for q, row in enumerate(distances):
-                near = row
-                kept = own_ids
-                if len(row) > self.k:
-                    limit = np.partition(row, self.k - 1)[self.k - 1]
-                    inside = row <= limit
-                    near, kept = row[inside], own_ids[inside]
-                old = self.best.get((q, name))
-                if old is not None:
-                    near, kept = np.concatenate([old[0], near]), np.concatenate([old[1], kept])
-                order = np.lexsort((kept, near))[: self.k]
-                self.best[(q, name)] = near[order], kept[order]
+            if distances.shape[1] > self.k:
+                # ties at the limit all stay: the document decides between them
+                limit = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
+                query, at = np.nonzero(distances <= limit[:, None])
+            else:
+                query, at = (x.ravel() for x in np.indices(distances.shape))
+            found = query, distances[query, at], own_ids[at]
+            if name in self.best:
+                found = tuple(np.concatenate(pair) for pair in zip(self.best[name], found))
+            order = np.lexsort((found[2], found[1], found[0]))
+            query, near, docs = (x[order] for x in found)
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            self.best[name] = tuple(x[rank < self.k] for x in (query, near, docs))
 
     def frame(self) -> pd.DataFrame:
         parts = [
-            pd.DataFrame({"query_id": self.query_ids[q], "collection": name, "doc_id": ids, "distance": near})
-            for (q, name), (near, ids) in self.best.items()
+            pd.DataFrame({"query_id": self.query_ids[query], "collection": name, "doc_id": docs, "distance": near})
+            for name, (query, near, docs) in self.best.items()
         ]
         return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "collection", "doc_id", "distance"])
 
@@ -135,43 +137,12 @@ def _nearest_blocked(queries: DataFrame, docs: DataFrame, k: int, metric: str, s
     return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(search, schema)
 
 
-def similarity_matrix(centers: DataFrame, key: str = "topic", vector: str = "centroid", max_topics: int = 5_000) -> DataFrame:
-    """Cosine of every ordered pair of topics: the whole matrix is the result.
-
-    Up to ``max_topics`` centroids are shipped to every executor; more of them
-    meet block by block.
-    """
-    kind = dict(centers.dtypes)[key]
-    schema = f"{key} {kind}, other_{key} {kind}, similarity double"
-    try:
-        rows = sorted(collect_bounded(centers.select(key, vector), max_topics, "topics"))
-    except TooLarge:
-        return _similarity_blocked(centers, key, vector)
-    if not rows:
-        return centers.sparkSession.createDataFrame([], schema)
-    keys, unit = [r[0] for r in rows], _unit(np.array([r[1] for r in rows], dtype=np.float64))
-    shared = share((keys, unit))
-
-    def compare(batches):
-        names, matrix = shared.value
-        for batch in batches:
-            similar = _unit(_matrix(batch[vector])) @ matrix.T
-            for name, row in zip(batch[key], similar):
-                yield pd.DataFrame({key: name, f"other_{key}": names, "similarity": row})
-
-    return centers.select(key, vector).mapInPandas(compare, schema)
-
-
-def _similarity_blocked(centers: DataFrame, key: str, vector: str) -> DataFrame:
-    numbers = F.col(vector).cast("array<double>")
-    # two selects: the sides of a cogroup must not share columns
-    asked = centers.select(F.col(key).alias("query_id"), numbers.alias("vector"))
-    everything = centers.select(F.lit(0).alias("collection"), F.col(key).alias("doc_id"), numbers.alias("vector"))
-    kind = dict(centers.dtypes)[key]
-    schema = f"query_id {kind}, collection int, doc_id {kind}, distance double"
-    found = _nearest_blocked(asked, everything, BLOCK_DOCS * BLOCK_DOCS, "cosine", schema)
-    return found.select(
-        F.col("query_id").alias(key), F.col("doc_id").alias(f"other_{key}"), (1 - F.col("distance")).alias("similarity")
+def most_similar(centers: DataFrame, key: str = "topic", vector: str = "centroid", k: int = 10) -> DataFrame:
+    """Cosine of every topic to the ``k`` topics most like it, itself among them; ties go to the smaller topic."""
+    asked = centers.select(F.col(key).alias("query_id"), F.col(vector).alias("embedding"))
+    among = centers.select(F.lit(0).alias("collection"), F.col(key).alias("doc_id"), F.col(vector).alias("embedding"))
+    return nearest(asked, among, k).select(
+        F.col("query_id").alias(key), F.col("doc_id").alias(f"other_{key}"), (1 - F.col("distance")).alias("similarity"), "rank"
     )
 
 

@@ -46,7 +46,7 @@ def analysis_queries(
 
 
 def analyse_events(
-    events: DataFrame, kb: DataFrame, analyzer=enrich.extract, topics: int = TOPICS,
+    events: DataFrame, kb: DataFrame, analyzer=None, topics: int = TOPICS,
     per_topic: int = EVENTS_PER_TOPIC, k: int = 5, embedder=None,
 ) -> DataFrame:
     """Worst events of the lowest-scored topics, each with passages and an analysis.

@@ -61,16 +61,17 @@ def test_search_does_not_shuffle_documents(vectors):
     assert plan.count("WindowGroupLimit") >= 1
 
 
-@pytest.mark.parametrize("max_topics", [100, 3])
-def test_similarity_matrix(spark, max_topics, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 4)
-    monkeypatch.setattr(retrieve, "BLOCK_DOCS", 5)
+@pytest.mark.parametrize("k", [11, 3])
+def test_most_similar(spark, k):
     points = np.random.default_rng(6).normal(size=(11, 3))
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "topic int, centroid array<double>")
-    found = {(r["topic"], r["other_topic"]): r["similarity"] for r in retrieve.similarity_matrix(df, max_topics=max_topics).collect()}
+    found = retrieve.most_similar(df, k=k).collect()
     unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-    assert len(found) == 121
-    assert all(found[i, j] == pytest.approx(unit[i] @ unit[j], abs=1e-9) for i, j in found)
+    similar = unit @ unit.T
+    assert len(found) == 11 * k
+    for r in found:
+        assert r["similarity"] == pytest.approx(similar[r["topic"], r["other_topic"]], abs=1e-9)
+        assert r["other_topic"] == np.argsort(-similar[r["topic"]])[r["rank"] - 1]
 
 
 def test_bm25_equals_the_formula(spark):

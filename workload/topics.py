@@ -72,9 +72,9 @@ def hashed_embeddings(spark, sf_dir):
 
 
 def topic_similarity(spark, sf_dir):
-    """Cosine between all label centroids."""
+    """Cosine of every label's centroid to the five most like it."""
     middle = density.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return retrieve.similarity_matrix(middle, "label").withColumn("similarity", F.round("similarity", 6))
+    return retrieve.most_similar(middle, "label", k=5).withColumn("similarity", F.round("similarity", 6))
 
 
 def centroid_cosine(spark, sf_dir):
@@ -221,8 +221,11 @@ ORACLES = {
         JOIN (SELECT source AS topic, count(*) AS n_docs FROM documents GROUP BY 1) USING (topic)""",
     "hashed_embeddings": f"WITH {hashed_cte('documents', 'doc_id', 'text', 16)} SELECT doc_id, "
         + ", ".join(f"round(v[{i + 1}], 6) AS v{i}" for i in range(16)) + " FROM vecs",
-    "topic_similarity": f"""WITH {_CENTER_CTE} SELECT a.label, b.label AS other_label,
-        round(list_cosine_similarity(a.c, b.c), 6) AS similarity FROM centers a, centers b""",
+    "topic_similarity": f"""WITH {_CENTER_CTE},
+        pairs AS (SELECT a.label, b.label AS other_label, round(1 - list_cosine_similarity(a.c, b.c), 10) AS d
+                  FROM centers a, centers b),
+        placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY d, other_label) AS INTEGER) AS rank FROM pairs)
+        SELECT label, other_label, round(1 - d, 6) AS similarity, rank FROM placed WHERE rank <= 5""",
     "centroid_cosine": f"""WITH {_CENTER_CTE} SELECT vec_id,
         round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS topic_prob
         FROM embeddings JOIN centers USING (label)""",
