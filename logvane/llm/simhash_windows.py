@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.session import collect_bounded, materialize
+from logvane.session import collect_bounded, fence, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -106,10 +106,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     tests = tests.replace("_g[", f"{gate}[")
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"))
-    held = shingled(source, "text", ["key", "text_key"]).select(
+    gated = shingled(source, "text", ["key", "text_key"]).select(
         "*", F.expr(f"array_compact(transform(_s, (h, i) -> if({tests}, i, null)))").alias("_at")
-    ).filter("size(_at) > 0")
-    held = materialize(held, "benchmark_texts")
+    )
+    # without the fence the filter would hold, and compute again, all steps from the text on
+    held = materialize(fence(gated).filter("size(_at) > 0"), "benchmark_texts")
     lay = places.select("_h", "at", "words").distinct()
     lay = F.broadcast(lay) if lay.count() <= BROADCAST_SHINGLES else lay
     spots = held.select("key", "text_key", F.size("_s").alias("n"), F.explode(F.expr("transform(_at, i -> named_struct('i', i, 'h', _s[i]))")).alias("x"))
