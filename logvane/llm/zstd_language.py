@@ -6,8 +6,8 @@ fewest bytes names the language. The margin to the second best decides whether
 the answer is accepted.
 
 Defined cases: a null text and a text without a letter give ``und`` with score
-0, margin 0 and ``rejected``. Ties between languages go to the alphabetically
-first. A single trained language always wins with score 1. A table without
+0, margin 0 and ``rejected``. Ties go to the language with more training texts,
+then to the alphabetically first. A single trained language always wins with score 1. A table without
 training rows gives ``und`` for every text. Very long texts are encoded whole.
 Columns of the input that carry the name of a result column are replaced.
 """
@@ -41,7 +41,7 @@ NATS_PER_BYTE = 0.5
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries of all languages, from a bounded draw of the training texts.
+    """Dictionaries of all languages, the most frequent first, from a bounded draw of the training texts.
 
     The draw is by hash of the text: equal texts count once, and neither the
     order nor the partitions of the table matter.
@@ -69,7 +69,8 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     parts: dict[str, list[str]] = {}
     for r in sorted(collect_bounded(kept, MAX_LANGUAGES * TEXTS_PER_LANGUAGE, "snippets"), key=lambda r: (r["lang"], r["draw"])):
         parts.setdefault(r["lang"], []).append(r["snippet"])
-    contents = {k: _letters("\n".join(v))[:DICTIONARY_BYTES] for k, v in sorted(parts.items())}
+    order = sorted(parts, key=lambda k: (-sizes[k], k))
+    contents = {k: _letters("\n".join(parts[k]))[:DICTIONARY_BYTES] for k in order}
     return {k: v for k, v in contents.items() if v.strip()}
 
 
@@ -82,7 +83,7 @@ class Encoders:
     """Compressors of one worker, one for each language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.encoders = []
         for name in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
