@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logvane.llm.subword import Subwords
+from logvane.llm.subword import subwords
 from logvane.llm.text import small_batches
 from logvane.session import collect_bounded, materialize, share
 
@@ -58,9 +58,9 @@ def cut(df: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPAC
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        subwords = Subwords(tokenizer)
+        words = subwords(tokenizer)
         for part in parts:
-            yield pa.array([pieces_of(subwords.encode(t or "") + CLOSING, capacity) for t in part.to_pylist()], kind)
+            yield pa.array([pieces_of(words.encode(t or "") + CLOSING, capacity) for t in part.to_pylist()], kind)
 
     pieces = F.arrow_udf(run, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, *PIECE, *PLACE)]
