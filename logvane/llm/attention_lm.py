@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.subword import Subwords
+from logvane.llm.subword import subwords
 from logvane.llm.text import chunks, lowered, small_batches, texts_of, word_hashes, words_of
 from logvane.session import collect_bounded, materialize, share
 
@@ -51,7 +51,7 @@ TOGETHER = 32
 SHARE_OF_TEXTS, ROUNDS = 16, 2
 LEAST_STEPS, RATE = 150, 0.01
 #: words whose counts every task holds
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 17
 WORDS_TOGETHER = 4_000_000
 END_KEY = np.int64(0x5EED0E0D)
 LOG10 = np.log(10.0)
@@ -62,7 +62,7 @@ LOG10 = np.log(10.0)
 
 def word_ends(tokenizer: str) -> np.ndarray:
     """Which ids end a word."""
-    whole = Subwords(tokenizer).tokenizer
+    whole = subwords(tokenizer).tokenizer
     return np.array([(whole.id_to_token(i) or "").endswith("</w>") for i in range(VOCABULARY)])
 
 
@@ -78,7 +78,7 @@ def _counting(tokenizer: str):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, held, size, texts = Subwords(tokenizer), [], 0, 0
+        words, held, size, texts = subwords(tokenizer), [], 0, 0
         ends, ids = word_ends(tokenizer), np.zeros(2 * VOCABULARY, np.int64)
         for part in batches:
             column = part.column("text")
@@ -90,7 +90,7 @@ def _counting(tokenizer: str):
             coded = []
             for text in column.to_pylist():
                 if text:
-                    found = np.frombuffer(subwords.encode(text), "<u4").astype(np.int64)
+                    found = np.frombuffer(words.encode(text), "<u4").astype(np.int64)
                     coded.append(found + VOCABULARY * _opens(found, ends))
             if coded:
                 ids += np.bincount(np.concatenate(coded), minlength=2 * VOCABULARY)
@@ -125,6 +125,19 @@ class Counts:
     ids: np.ndarray
 
 
+def _most_frequent(words: DataFrame) -> DataFrame:
+    """At most ``HELD_WORDS`` of the most frequent words: all above a count found from a histogram of counts."""
+    level = F.floor(16 * F.log2("n"))
+    sizes = collect_bounded(words.groupBy(level.alias("level")).agg(F.count("*").alias("words")), 1_024, "levels")
+    lowest, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["words"]
+        if held > HELD_WORDS:
+            break
+        lowest = r["level"]
+    return words.filter(level >= lowest) if lowest is not None else words.filter("false")
+
+
 def count_corpus(texts: DataFrame, tokenizer: str) -> Counts:
     small_batches(texts.sparkSession)
     counted = materialize(
@@ -132,14 +145,14 @@ def count_corpus(texts: DataFrame, tokenizer: str) -> Counts:
     )
     words = counted.filter("kind = 0").select("key", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(HELD_WORDS).collect()
-    order = np.argsort(np.array([r["key"] for r in top], np.int64))
+    top = _most_frequent(words).toArrow()
+    keys, times = top.column("key").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(keys)
     ids = np.zeros(2 * VOCABULARY, np.int64)
     for r in collect_bounded(counted.filter("kind = 1"), 2 * VOCABULARY, "ids"):
         ids[r["key"]] = r["n"]
     return Counts(
-        words, int(totals["n"]), int(totals["v"]), np.array([r["key"] for r in top], np.int64)[order],
-        np.array([r["n"] for r in top], np.int64)[order], ids.reshape(2, VOCABULARY),
+        words, int(totals["n"]), int(totals["v"]), keys[order], times[order], ids.reshape(2, VOCABULARY),
     )
 
 
@@ -301,11 +314,11 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
         shared = share(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, subwords, windows = shared.value, Subwords(tokenizer), []
+            own, words, windows = shared.value, subwords(tokenizer), []
             sums, weight = np.zeros(SIZE), 0
             for batch in batches:
                 for text in batch.column("text").to_pylist():
-                    windows.append(windows_of(np.frombuffer(subwords.encode(text or ""), "<u4").astype(np.int64), own.row))
+                    windows.append(windows_of(np.frombuffer(words.encode(text or ""), "<u4").astype(np.int64), own.row))
                 if sum(len(w[0]) for w in windows) > 20_000:
                     vector, n = learn(own, windows, 1)
                     sums, weight, windows = sums + vector.astype(float) * n, weight + n, []
@@ -328,23 +341,77 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
     return model
 
 
-def log10_scores(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+#: exponents of 32-bit numbers stay finite below this
+EXP_LIMIT = 80
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
+
+
+class _Scorer:
+    """The forward pass alone, in buffers that are used again: what `_forward` gives, with fewer passes over memory.
+
+    The scale is part of the query matrix; attention is normalized behind the
+    values, whose last column of ones carries the sums.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.w = model, parameters(model.vector)
+        self.q = self.w["q"] * np.float32(WIDTH**-0.5)
+        self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        n = TOGETHER
+        self.a, self.v = np.empty((n, WINDOW, WINDOW), np.float32), np.ones((n, WINDOW, WIDTH + 1), np.float32)
+        self.c, self.m = np.empty((n, WINDOW, WIDTH + 1), np.float32), np.empty((n * WINDOW, HIDDEN), np.float32)
+        self.l, self.ones = np.empty((n * WINDOW, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        self.steepest = np.sqrt((self.w["u"] ** 2).sum(0).max())
+        self.most = np.abs(self.w["ub"]).max()
+
+    def __call__(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the class probabilities of the targets; at most ``TOGETHER`` windows."""
+        w, n = self.w, len(x)
+        a, v, c, m, logits = self.a[:n], self.v[:n], self.c[:n], self.m[: n * WINDOW], self.l[: n * WINDOW]
+        h = w["e"][x]
+        h += w["p"]
+        flat = h.reshape(-1, WIDTH)
+        v[:, :, :WIDTH] = (flat @ w["v"]).reshape(h.shape)
+        q, k = flat @ self.q, flat @ w["k"]
+        np.matmul(q.reshape(h.shape), k.reshape(h.shape).transpose(0, 2, 1), out=a)
+        if _longest(q) * _longest(k) > EXP_LIMIT:  # trained scores are far smaller
+            np.minimum(a, EXP_LIMIT, out=a)
+        np.exp(a, out=a)
+        a *= self.below
+        np.matmul(a, v, out=c)
+        o = flat + (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH) @ w["o"]
+        np.matmul(o, w["h"], out=m)
+        m += w["hb"]
+        np.maximum(m, 0, out=m)
+        o += m @ w["g"]
+        np.matmul(o, w["u"], out=logits)
+        logits += w["ub"]
+        if _longest(o) * self.steepest + self.most > EXP_LIMIT:
+            np.minimum(logits, EXP_LIMIT, out=logits)
+        found = logits[np.arange(n * WINDOW), target.ravel()]
+        np.exp(logits, out=logits)
+        return (found - np.log(logits @ self.ones)).reshape(n, WINDOW)
+
+
+def log10_scores(model: Model, texts: list[np.ndarray], scorer: _Scorer | None = None) -> np.ndarray:
     """The log10 probability of every text of ids, its end included."""
-    w = parameters(model.vector)
+    scorer = scorer or _Scorer(model)
     parts = [windows_of(ids, model.row) for ids in texts]
     owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
     x, nxt, there = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    # the share of the id after each place, by whether that id begins a word
-    opens = np.ones(nxt.shape, bool)
-    opens[:, 1:] = model.ends[nxt[:, :-1]]
-    sums = np.zeros(len(texts))
+    sums = np.zeros(len(x))
     for begin in range(0, len(x), TOGETHER):
         part = slice(begin, begin + TOGETHER)
-        logits = _forward(w, x[part])[0]
-        target = model.of_class[nxt[part]]
-        found = (np.take_along_axis(logits, target[..., None], -1) - _log_normal(logits))[..., 0] + model.within[opens[part].astype(int), nxt[part]]
-        np.add.at(sums, owner[part], (found * there[part]).sum(1, dtype=np.float64))
-    return sums / LOG10
+        following, counted = nxt[part], there[part]
+        # the share of an id, by whether it begins a word
+        opens = np.ones(following.shape, np.int64)
+        opens[:, 1:] = model.ends[following[:, :-1]]
+        found = scorer(x[part], model.of_class[following]) + model.within[opens, following]
+        sums[part] = (found * counted).sum(1, dtype=np.float64)
+    return np.bincount(owner, sums, len(texts)) / LOG10
 
 
 # ---- scoring
@@ -358,7 +425,7 @@ def _scoring(shared, tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, logs, known = shared.value
-        subwords, row = Subwords(tokenizer), TaskContext.get().partitionId() << 40
+        own, scorer, row = subwords(tokenizer), _Scorer(model), TaskContext.get().partitionId() << 40
         for batch in batches:
             column = batch.column("text")
             tokens, held_known, held_score, rare = [], [], [], []
@@ -378,8 +445,8 @@ def _scoring(shared, tokenizer: str):
                 held_known += (is_known[bounds[1:]] - is_known[bounds[:-1]]).tolist()
                 others = np.flatnonzero(~here)
                 rare += np.split(hashes[others], np.searchsorted(others, bounds[1:-1]))
-            ids = [np.frombuffer(subwords.encode(t or ""), "<u4").astype(np.int64) for t in column.to_pylist()]
-            score = log10_scores(model, ids) if len(ids) else []
+            ids = [np.frombuffer(own.encode(t or ""), "<u4").astype(np.int64) for t in column.to_pylist()]
+            score = log10_scores(model, ids, scorer) if ids else []
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + len(column))), pa.array(tokens, pa.int64()), pa.array(held_known, pa.int64()),
                 pa.array(held_score, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(score, pa.float64()),

@@ -316,7 +316,8 @@ def test_overlapping_windows_score_like_single_places():
     total, stream = 0.0, np.append(ids, attention_lm.END)
     rows = np.concatenate([[0], model.row[ids]])
     for t, target in enumerate(stream):
-        begin = 0 if t < 64 else 48 * ((t - 16) // 48)
+        step = attention_lm.WINDOW - attention_lm.CONTEXT
+        begin = 0 if t < 64 else step * ((t - attention_lm.CONTEXT) // step)
         x = np.zeros((1, 64), np.int64)
         part = rows[begin : t + 1]
         x[0, : len(part)] = part
