@@ -2,7 +2,8 @@
 
 A text becomes lower-case words parted by single spaces. A rule is a regular
 expression over those words with a label, a priority and a weight. Rules only
-run on texts that hold a license word and the rule's own keyword. Of the hits
+run on texts that hold one of the rule's keywords: literals derived from its
+expression, one of which is in every match, so no hit is lost. Of the hits
 left, one inside another of the same or a better priority is suppressed.
 
 The base phrases are searched in every text and always keep their labels.
@@ -17,11 +18,17 @@ input that carry the name of a result column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    from re import _parser
+except ImportError:  # Python 3.10
+    import sre_parse as _parser
+
 # ---- fixed values: phrases whose every place is counted, and their labels
 BASE_PHRASES = [
     ("under the mit license", "mit"),
@@ -29,105 +36,104 @@ BASE_PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-# ---- signatures: (label, keyword, how the words of its name may read)
-_ANY_VERSION = "( version)?( v)?"
+# ---- signatures: (label, how the words of its name may read)
+_ANY_VERSION = "( version)?( ?v)?"
 
 
-def _versioned(label: str, keyword: str, name: str, versions: list[str]) -> list[tuple[str, str, str]]:
+def _versioned(label: str, name: str, versions: list[str]) -> list[tuple[str, str]]:
     """One signature for each version of a license: its dots read as spaces, a final zero may be missing."""
     found = []
     for version in versions:
         words = version.replace(".", " ")
         words = words.removesuffix(" 0") + "( 0)?" if words.endswith(" 0") else words
-        found.append((f"{label}-{version}", keyword, f"{name}( license| licence)?{_ANY_VERSION} ?{words}"))
+        found.append((f"{label}-{version}", f"{name}( license| licence)?{_ANY_VERSION} ?{words}"))
     return found
 
 
-def _commons() -> list[tuple[str, str, str]]:
+def _commons() -> list[tuple[str, str]]:
     """Creative Commons: every allowed set of conditions, short and long names, every version."""
     long = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(ative)?s?", "sa": "share ?alike"}
     found = []
     for parts in (("by",), ("by", "sa"), ("by", "nc"), ("by", "nd"), ("by", "nc", "sa"), ("by", "nc", "nd")):
         label = "cc-" + "-".join(parts)
-        names = {"cc": "cc " + " ".join(parts), "creative": "creative commons " + " ".join(long[p] for p in parts)}
-        for keyword, name in names.items():
-            found.append((label, keyword, name))
+        for name in ("cc " + " ".join(parts), "creative commons " + " ".join(long[p] for p in parts)):
+            found.append((label, name))
             for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-                found.append((f"{label}-{version}", keyword, f"{name}( license)? ?{version.replace('.', ' ')}"))
+                found.append((f"{label}-{version}", f"{name}( license)?{_ANY_VERSION} ?{version.replace('.', ' ')}"))
     return found
 
 
-def _gnu() -> list[tuple[str, str, str]]:
+def _gnu() -> list[tuple[str, str]]:
     """The GNU family with its versions, each also as "only" and "or later"."""
     kinds = [
-        ("gpl", "general", "(gnu )?general public licen[sc]e", ["1", "2", "3"]), ("gpl", "gpl", "(gnu )?gpl", ["1", "2", "3"]),
-        ("lgpl", "lesser", "(gnu )?lesser general public licen[sc]e", ["2", "2.1", "3"]),
-        ("lgpl", "library", "(gnu )?library general public licen[sc]e", ["2", "2.1"]),
-        ("lgpl", "lgpl", "(gnu )?lgpl", ["2", "2.1", "3"]),
-        ("agpl", "affero", "(gnu )?affero general public licen[sc]e", ["1", "3"]), ("agpl", "agpl", "(gnu )?agpl", ["1", "3"]),
-        ("gfdl", "documentation", "(gnu )?free documentation licen[sc]e", ["1.1", "1.2", "1.3"]),
-        ("gfdl", "gfdl", "(gnu )?gfdl", ["1.1", "1.2", "1.3"]),
+        ("gpl", "(gnu )?general public licen[sc]e", ["1", "2", "3"]), ("gpl", "(gnu )?gpl", ["1", "2", "3"]),
+        ("lgpl", "(gnu )?lesser general public licen[sc]e", ["2", "2.1", "3"]),
+        ("lgpl", "(gnu )?library general public licen[sc]e", ["2", "2.1"]),
+        ("lgpl", "(gnu )?lgpl", ["2", "2.1", "3"]),
+        ("agpl", "(gnu )?affero general public licen[sc]e", ["1", "3"]), ("agpl", "(gnu )?agpl", ["1", "3"]),
+        ("gfdl", "(gnu )?free documentation licen[sc]e", ["1.1", "1.2", "1.3"]),
+        ("gfdl", "(gnu )?gfdl", ["1.1", "1.2", "1.3"]),
     ]
     found = []
-    for label, keyword, name, versions in kinds:
-        found.append((label, keyword, name))
+    for label, name, versions in kinds:
+        found.append((label, name))
         for version in versions:
             digits = version.replace(".", " ")
             read = f"{name}{_ANY_VERSION} ?{digits}( 0)?"
-            found.append((f"{label}-{version}", keyword, read))
-            found.append((f"{label}-{version}-only", keyword, f"{read} only"))
-            found.append((f"{label}-{version}-or-later", keyword, f"{read}( or( at your option)?( any)? later( version)?)"))
+            found.append((f"{label}-{version}", read))
+            found.append((f"{label}-{version}-only", f"{read} only"))
+            found.append((f"{label}-{version}-or-later", f"{read}( or( at your option)?( any)? later( version)?)"))
     return found
 
 
 SIGNATURES = [
-    *_versioned("apache", "apache", "apache( software)?", ["1.0", "1.1", "2.0"]),
-    ("apache", "apache", "apache( software)? licen[sc]e"),
-    ("mit", "mit", "mit licen[sc]e"), ("mit", "expat", "expat( licen[sc]e)?"), ("mit-0", "mit", "mit (no attribution|0)( licen[sc]e)?"),
-    ("x11", "x11", "x11 licen[sc]e"), ("isc", "isc", "isc licen[sc]e"), ("zlib", "zlib", "zlib( libpng)? licen[sc]e"),
-    ("bsd", "bsd", "bsd( style)? licen[sc]e"), ("bsd-0-clause", "bsd", "(0|zero) clause bsd( licen[sc]e)?"),
-    ("bsd-1-clause", "bsd", "((1|one) clause bsd|bsd (1|one) clause)( licen[sc]e)?"),
-    ("bsd-2-clause", "bsd", "((2|two) clause bsd|bsd (2|two) clause|simplified bsd|freebsd)( licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", "((3|three) clause bsd|bsd (3|three) clause|(new|modified|revised) bsd)( licen[sc]e)?"),
-    ("bsd-4-clause", "bsd", "((4|four) clause bsd|bsd (4|four) clause|(original|old) bsd)( licen[sc]e)?"),
+    *_versioned("apache", "apache( software)?", ["1.0", "1.1", "2.0"]),
+    ("apache", "apache( software)? licen[sc]e"),
+    ("mit", "mit licen[sc]e"), ("mit", "expat( licen[sc]e)?"), ("mit-0", "mit (no attribution|0)( licen[sc]e)?"),
+    ("x11", "x11 licen[sc]e"), ("isc", "isc licen[sc]e"), ("zlib", "zlib( libpng)? licen[sc]e"),
+    ("bsd", "bsd( style)? licen[sc]e"), ("bsd-0-clause", "(0|zero) clause bsd( licen[sc]e)?"),
+    ("bsd-1-clause", "((1|one) clause bsd|bsd (1|one) clause)( licen[sc]e)?"),
+    ("bsd-2-clause", "((2|two) clause bsd|bsd (2|two) clause|simplified bsd|freebsd)( licen[sc]e)?"),
+    ("bsd-3-clause", "((3|three) clause bsd|bsd (3|three) clause|(new|modified|revised) bsd)( licen[sc]e)?"),
+    ("bsd-4-clause", "((4|four) clause bsd|bsd (4|four) clause|(original|old) bsd)( licen[sc]e)?"),
     *_gnu(), *_commons(),
-    ("cc0-1.0", "cc0", "cc0( 1 0)?( universal)?"), ("cc0-1.0", "creative", "creative commons zero( v1 0)?"),
-    *_versioned("mpl", "mozilla", "mozilla public", ["1.0", "1.1", "2.0"]), *_versioned("mpl", "mpl", "mpl", ["1.0", "1.1", "2.0"]),
-    *_versioned("epl", "eclipse", "eclipse public", ["1.0", "2.0"]), *_versioned("epl", "epl", "epl", ["1.0", "2.0"]),
-    *_versioned("eupl", "eupl", "eupl", ["1.0", "1.1", "1.2"]),
-    *_versioned("eupl", "european", "european union public", ["1.0", "1.1", "1.2"]),
-    *_versioned("cddl", "cddl", "cddl", ["1.0", "1.1"]),
-    *_versioned("cddl", "distribution", "common development and distribution", ["1.0", "1.1"]),
-    *_versioned("artistic", "artistic", "artistic", ["1.0", "2.0"]), *_versioned("ofl", "ofl", "(sil )?ofl", ["1.0", "1.1"]),
-    *_versioned("ofl", "font", "(sil )?open font", ["1.0", "1.1"]), *_versioned("php", "php", "php", ["3.0", "3.01"]),
-    *_versioned("psf", "python", "python( software foundation)?", ["2.0", "3.0"]),
-    *_versioned("zpl", "zope", "zope public", ["1.1", "2.0", "2.1"]),
-    *_versioned("afl", "academic", "academic free", ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-    *_versioned("osl", "open", "open software", ["1.0", "1.1", "2.0", "2.1", "3.0"]),
-    *_versioned("cecill", "cecill", "cecill", ["1.0", "1.1", "2.0", "2.1"]),
-    *_versioned("odbl", "database", "open( data commons)?( open)? database", ["1.0"]), *_versioned("odbl", "odbl", "odbl", ["1.0"]),
-    *_versioned("pddl", "pddl", "(odc )?pddl", ["1.0"]), *_versioned("lppl", "lppl", "lppl", ["1.0", "1.1", "1.2", "1.3"]),
-    *_versioned("rpl", "reciprocal", "reciprocal public", ["1.1", "1.5"]), *_versioned("cpl", "common", "common public", ["1.0"]),
-    *_versioned("ibm-pl", "ibm", "ibm public", ["1.0"]), *_versioned("upl", "universal", "universal permissive", ["1.0"]),
-    *_versioned("blueoak", "blue", "blue oak model", ["1.0.0"]), *_versioned("bsl", "business", "business source", ["1.0", "1.1"]),
-    *_versioned("sspl", "server", "server side public", ["1"]), *_versioned("elastic", "elastic", "elastic", ["1.0", "2.0"]),
-    ("boost-1.0", "boost", "boost software licen[sc]e( version)?( 1 0)?"), ("ms-pl", "microsoft", "microsoft public licen[sc]e"),
-    ("ms-rl", "microsoft", "microsoft reciprocal licen[sc]e"), ("ncsa", "ncsa", "(university of illinois )?ncsa( open source)? licen[sc]e"),
-    ("postgresql", "postgresql", "postgresql licen[sc]e"), ("openssl", "openssl", "openssl licen[sc]e"),
-    ("w3c", "w3c", "w3c software( notice and)? licen[sc]e"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
-    ("beerware", "beerware", "beerware licen[sc]e"), ("json", "json", "json licen[sc]e"), ("vim", "vim", "vim licen[sc]e"),
-    ("qpl-1.0", "q", "q public licen[sc]e( version)?( 1 0)?"), ("ruby", "ruby", "ruby licen[sc]e"),
+    ("cc0-1.0", "cc0( 1 0)?( universal)?"), ("cc0-1.0", "creative commons zero( v1 0)?"),
+    *_versioned("mpl", "mozilla public", ["1.0", "1.1", "2.0"]), *_versioned("mpl", "mpl", ["1.0", "1.1", "2.0"]),
+    *_versioned("epl", "eclipse public", ["1.0", "2.0"]), *_versioned("epl", "epl", ["1.0", "2.0"]),
+    *_versioned("eupl", "eupl", ["1.0", "1.1", "1.2"]),
+    *_versioned("eupl", "european union public", ["1.0", "1.1", "1.2"]),
+    *_versioned("cddl", "cddl", ["1.0", "1.1"]),
+    *_versioned("cddl", "common development and distribution", ["1.0", "1.1"]),
+    *_versioned("artistic", "artistic", ["1.0", "2.0"]), *_versioned("ofl", "(sil )?ofl", ["1.0", "1.1"]),
+    *_versioned("ofl", "(sil )?open font", ["1.0", "1.1"]), *_versioned("php", "php", ["3.0", "3.01"]),
+    *_versioned("psf", "python( software foundation)?", ["2.0", "3.0"]),
+    *_versioned("zpl", "zope public", ["1.1", "2.0", "2.1"]),
+    *_versioned("afl", "academic free", ["1.1", "1.2", "2.0", "2.1", "3.0"]),
+    *_versioned("osl", "open software", ["1.0", "1.1", "2.0", "2.1", "3.0"]),
+    *_versioned("cecill", "cecill", ["1.0", "1.1", "2.0", "2.1"]),
+    *_versioned("odbl", "open( data commons)?( open)? database", ["1.0"]), *_versioned("odbl", "odbl", ["1.0"]),
+    *_versioned("pddl", "(odc )?pddl", ["1.0"]), *_versioned("lppl", "lppl", ["1.0", "1.1", "1.2", "1.3"]),
+    *_versioned("rpl", "reciprocal public", ["1.1", "1.5"]), *_versioned("cpl", "common public", ["1.0"]),
+    *_versioned("ibm-pl", "ibm public", ["1.0"]), *_versioned("upl", "universal permissive", ["1.0"]),
+    *_versioned("blueoak", "blue oak model", ["1.0.0"]), *_versioned("bsl", "business source", ["1.0", "1.1"]),
+    *_versioned("sspl", "server side public", ["1"]), *_versioned("elastic", "elastic", ["1.0", "2.0"]),
+    ("boost-1.0", "boost software licen[sc]e( version)?( 1 0)?"), ("ms-pl", "microsoft public licen[sc]e"),
+    ("ms-rl", "microsoft reciprocal licen[sc]e"), ("ncsa", "(university of illinois )?ncsa( open source)? licen[sc]e"),
+    ("postgresql", "postgresql licen[sc]e"), ("openssl", "openssl licen[sc]e"),
+    ("w3c", "w3c software( notice and)? licen[sc]e"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+    ("beerware", "beerware licen[sc]e"), ("json", "json licen[sc]e"), ("vim", "vim licen[sc]e"),
+    ("qpl-1.0", "q public licen[sc]e( version)?( 1 0)?"), ("ruby", "ruby licen[sc]e"),
 ]
-#: passages of license texts, as (label, keyword, words)
+#: passages of license texts, as (label, words)
 PASSAGES = [
-    ("mit-text", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd-text", "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("isc-text", "modify", "permission to use copy modify and or distribute this software for any purpose"),
-    ("zlib-text", "warranty", "this software is provided as is without any express or implied warranty"),
-    ("gpl-notice", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("public-domain", "domain", "(released into|dedicated to|placed in|in) the public domain"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("no-license", "reserved", "all rights reserved"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification"),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty"),
+    ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("public-domain", "(released into|dedicated to|placed in|in) the public domain"),
+    ("proprietary", "proprietary and confidential"),
+    ("no-license", "all rights reserved"),
 ]
 #: how a signature may stand in a text: (priority, weight, words before it); a smaller priority number is better
 FORMS = [
@@ -136,16 +142,77 @@ FORMS = [
               "( the terms( and conditions)? of)?( the| a| an)? "),
     (2, 0.6, ""),
 ]
+#: most strings that are kept while a pattern is spelled out, and most literals of one rule
+_MOST_SPELLED, _MOST_LITERALS = 64, 8
+
+
+def _spelled(pattern: Iterable) -> set[str] | None:
+    """All strings that a parsed pattern can read; None if they are too many."""
+    found = {""}
+    for part in pattern:
+        nxt = _readings(*part)
+        if nxt is None or len(found) * len(nxt) > _MOST_SPELLED:
+            return None
+        found = {a + b for a in found for b in nxt}
+    return found
+
+
+def _readings(kind, value) -> set[str] | None:
+    """All strings that one part of a parsed pattern can read; None for parts that are not spelled out."""
+    if kind is _parser.LITERAL:
+        return {chr(value)}
+    if kind is _parser.IN and all(k is _parser.LITERAL for k, _ in value):
+        return {chr(v) for _, v in value}
+    if kind is _parser.SUBPATTERN:
+        return _spelled(value[-1])
+    if kind is _parser.BRANCH:
+        sides = [_spelled(side) for side in value[1]]
+        return None if None in sides else set().union(*sides)
+    if kind is _parser.MAX_REPEAT and value[:2] == (0, 1):
+        once = _spelled(value[2])
+        return None if once is None else once | {""}
+    if kind is _parser.ASSERT and value[0] == 1:  # what follows a match is in the text as well
+        return _spelled(value[1])
+    return None
+
+
+def literals(pattern: str) -> tuple[str, ...]:
+    """Strings one of which stands in every text that the pattern is found in.
+
+    They are beginnings of what the pattern reads: the longest whose number
+    stays small. One that contains another is left out.
+    """
+    best, found = {""}, {""}
+    for part in _parser.parse(pattern):
+        nxt = _readings(*part)
+        if nxt is None or len(found) * len(nxt) > _MOST_SPELLED:
+            break
+        found = {a + b for a in found for b in nxt}
+        least = {x for x in found if not any(y != x and y in x for y in found)}
+        if len(least) <= _MOST_LITERALS and min(map(len, least)) > min(map(len, best)):
+            best = least
+    return tuple(sorted(best))
+
+
+def _any_of(strings: Iterable[str]) -> str:
+    """A regular expression that finds any of some strings of letters, digits and spaces, common beginnings shared."""
+    ends: dict[str, set[str]] = {}
+    for x in strings:
+        if not x:
+            return ""
+        ends.setdefault(x[0], set()).add(x[1:])
+    sides = [first + _any_of(rest) for first, rest in sorted(ends.items())]
+    return sides[0] if len(sides) == 1 else f"(?:{'|'.join(sides)})"
+
+
+# every way to stand in a text ends with a space, so the literals of a name hold for all of them
 RULES = [
-    (label, keyword, f" {lead}{name}(?= )", priority, weight)
-    for label, keyword, name in SIGNATURES for priority, weight, lead in FORMS
-] + [(label, keyword, f" {words}(?= )", 0, 0.9) for label, keyword, words in PASSAGES]
-KEYWORDS = sorted({rule[1] for rule in RULES})
-#: strings without which no rule can hold; they keep the rules away from nearly all texts
-GATE = [
-    "licen", "spdx", "pl ", "gplv", "dl ", "cc0", " cc by", "commons", "expat", "bsd", "permission", "redistrib", "public domain",
-    "rights reserved", "proprietary", "software is provided", "cecill", "odbl", "ofl ", "mplv",
-]
+    (label, literals(f" {name}(?= )"), f" {lead}{name}(?= )", priority, weight)
+    for label, name in SIGNATURES for priority, weight, lead in FORMS
+] + [(label, literals(f" {words}(?= )"), f" {words}(?= )", 0, 0.9) for label, words in PASSAGES]
+#: without one of these no rule can hold
+KEYWORDS = sorted({k for rule in RULES for k in rule[1]})
+GATE = _any_of(KEYWORDS)
 
 RESULT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_hits"]
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -167,8 +234,9 @@ def _spaces(words: Column) -> Column:
 def _literal_rules() -> Column:
     """The rules as one constant, which the optimizer folds."""
     return F.expr("array(" + ", ".join(
-        f"named_struct('label', '{label}', 'keyword', '{keyword}', 'pattern', '{pattern}', 'priority', {priority}, 'weight', {weight}D)"
-        for label, keyword, pattern, priority, weight in RULES
+        f"named_struct('label', '{label}', 'keywords', split('{','.join(keywords)}', ','), 'pattern', '{pattern}', "
+        f"'priority', {priority}, 'weight', {weight}D)"
+        for label, keywords, pattern, priority, weight in RULES
     ) + ")")
 
 
@@ -229,13 +297,10 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.contains(words, F.lit(f" {phrase} ")), F.split(words, f" {phrase}(?= )", -1)).alias(f"_lic_base{i}")
         for i, (phrase, _) in enumerate(BASE_PHRASES)
     ]
-    gate = reduce(lambda a, b: a | b, [F.contains(words, F.lit(g)) for g in GATE])
-    present_now = F.when(gate, F.filter(
-        F.split(F.lit(",".join(KEYWORDS)), ","), lambda k: F.contains(words, F.concat(F.lit(" "), k, F.lit(" ")))
-    ))
+    present_now = F.when(words.rlike(GATE), F.filter(F.split(F.lit(",".join(KEYWORDS)), ","), lambda k: F.contains(words, k)))
     out = out.select("*", (_spaces(words) - 1).alias("n_words"), *base, present_now.alias("_lic_present"))
     all_hits = F.when(F.size(present) > 0, F.flatten(F.transform(
-        F.filter(_literal_rules(), lambda r: F.array_contains(present, r["keyword"])), lambda r: _places(words, r)
+        F.filter(_literal_rules(), lambda r: F.arrays_overlap(present, r["keywords"])), lambda r: _places(words, r)
     )))
     out = out.select("*", all_hits.alias("_lic_all")).select("*", F.when(F.size("_lic_all") > 0, _sweep(F.col("_lic_all"))).alias("_lic_hits"))
     firsts, lasts, counts, labels = [], [], [], []

@@ -213,6 +213,47 @@ def test_license_columns_replace_clashing_ones(odd, none):
     assert license_rules.scan_licenses(none).count() == 0
 
 
+def readings(pattern):
+    """Texts that a parsed pattern finds: each of its alternatives, next to the first and to the last of all others."""
+    parts = []
+    for kind, value in pattern:
+        if kind is license_rules._parser.MAX_REPEAT:
+            parts.append(["", *readings(value[2])])
+        elif kind is license_rules._parser.BRANCH:
+            parts.append([x for side in value[1] for x in readings(side)])
+        elif kind is license_rules._parser.SUBPATTERN:
+            parts.append(readings(value[-1]))
+        elif kind is license_rules._parser.IN:
+            parts.append([chr(v) for _, v in value])
+        else:
+            parts.append([chr(value) if kind is license_rules._parser.LITERAL else ""])
+    sides = [[p[end] for p in parts] for end in (0, -1)]
+    return list(dict.fromkeys("".join([*side[:i], x, *side[i + 1 :]]) for side in sides for i, p in enumerate(parts) for x in p))
+
+
+def test_no_rule_is_kept_from_a_text_that_it_holds_in(spark, monkeypatch):
+    texts = []
+    for _, keywords, pattern, _, _ in license_rules.RULES:
+        for reading in readings(license_rules._parser.parse(pattern)):
+            text = f" x{reading} y "
+            assert re.search(pattern, text) and re.search(license_rules.GATE, text) and any(k in text for k in keywords), text
+            texts.append(text)
+    assert len(texts) > 5_000
+    said = {
+        "released under Apache 2.0": "apache-2.0", "distributed under the Apache Software 2.0": "apache-2.0", "MIT-0": "mit-0",
+        "released under Eclipse Public 2.0": "epl-2.0", "licensed under gpl3": "gpl-3", "MPL2 license": "mpl-2.0", "GPLv3": "gpl-3",
+        "released under apache2 license": "apache-2.0", "the FreeBSD license": "bsd-2-clause", "CC BY-SA v4.0": "cc-by-sa-4.0", "LGPL v2.1+": "lgpl-2.1",
+        "nothing of the kind": "", "an example of deploying a simple mitten": "",
+    }
+    df = spark.createDataFrame([(t,) for t in [*said, *texts[::25]]], "text string").repartition(8)
+    gated = {r["text"]: r for r in license_rules.scan_licenses(df).collect()}
+    assert {t: gated[t]["labels"] for t in said} == said
+    monkeypatch.setattr(license_rules, "RULES", [(r[0], (" ",), *r[2:]) for r in license_rules.RULES])
+    monkeypatch.setattr(license_rules, "KEYWORDS", [" "])
+    monkeypatch.setattr(license_rules, "GATE", " ")
+    assert {r["text"]: r for r in license_rules.scan_licenses(df).collect()} == gated
+
+
 # ---- secrets
 
 
