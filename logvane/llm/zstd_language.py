@@ -32,6 +32,8 @@ DICTIONARY_BYTES = 112 << 10
 TEXTS_PER_LANGUAGE = 600
 SNIPPET_CHARS = 600
 MAX_LANGUAGES = 256
+#: error of the number of distinct texts of a language, far below what the share of the draw leaves room for
+DISTINCT_ERROR = 0.05
 LEVEL = 5
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: a text is rejected when the second best dictionary needs less than this many more bytes
@@ -44,30 +46,33 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     """Dictionaries of all languages, the most frequent first, from a bounded draw of the training texts.
 
     The draw is by hash of the text: equal texts count once, and neither the
-    order nor the partitions of the table matter.
+    order nor the partitions of the table matter. A first share, of about four
+    times as many distinct texts as are wanted, keeps the rest from the shuffle.
     """
     rows = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         "lang is not null and text is not null"
     )
-    sizes = {r["lang"]: r["n"] for r in collect_bounded(
-        rows.groupBy("lang").agg(F.count("*").alias("n")), MAX_LANGUAGES, "languages"
-    )}
-    if not sizes:
+    key = F.xxhash64("text")
+    found = collect_bounded(rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct(key, DISTINCT_ERROR).alias("texts")
+    ), MAX_LANGUAGES, "languages")
+    if not found:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 4 * TEXTS_PER_LANGUAGE / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = {r["lang"]: r["n"] for r in found}
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, 4 * TEXTS_PER_LANGUAGE / max(1, r["texts"])))])
+    draw = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
     drawn = (
-        rows.withColumn("draw", draw)
+        rows.withColumn("key", key).withColumn("draw", draw)
         .filter(F.col("draw") < share[F.col("lang")])
-        .select("lang", "draw", F.expr(
+        .select("lang", "draw", "key", F.expr(
             f"substring(text, cast(1 + draw * 997 % 1 * greatest(length(text) - {SNIPPET_CHARS}, 0) as int), {SNIPPET_CHARS})"
         ).alias("snippet"))
-        .dropDuplicates(["lang", "draw"])
+        .dropDuplicates(["lang", "key"])
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key"))
     kept = drawn.withColumn("rank", rank).filter(F.col("rank") <= TEXTS_PER_LANGUAGE).drop("rank")
     parts: dict[str, list[str]] = {}
-    for r in sorted(collect_bounded(kept, MAX_LANGUAGES * TEXTS_PER_LANGUAGE, "snippets"), key=lambda r: (r["lang"], r["draw"])):
+    for r in sorted(collect_bounded(kept, MAX_LANGUAGES * TEXTS_PER_LANGUAGE, "snippets"), key=lambda r: (r["lang"], r["draw"], r["key"])):
         parts.setdefault(r["lang"], []).append(r["snippet"])
     order = sorted(parts, key=lambda k: (-sizes[k], k))
     contents = {k: _letters("\n".join(parts[k]))[:DICTIONARY_BYTES] for k in order}

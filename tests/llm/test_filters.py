@@ -164,6 +164,18 @@ def test_language_accuracy_and_odd_texts(spark, odd, none):
     assert alone and all(r["score"] == 1 for r in alone)
 
 
+def test_copies_keep_no_text_from_the_dictionary(spark):
+    name = lambda i: "".join(chr(ord("a") + int(d)) for d in f"{i:04d}")
+    own = [("xx", f"own{name(i)} and more") for i in range(400)]
+    others = [("yy", f"other{name(i)} and less") for i in range(3_000)]
+    copies = spark.range(100_000).selectExpr("if(id % 10 = 0, 'yy', 'xx') as lang", "'one text on very many rows' as text")
+    model = zstd_language.fit(spark.createDataFrame(own + others, "lang string, text string").union(copies))
+    assert list(model) == ["xx", "yy"]
+    assert set(re.findall("own[a-z]+", model["xx"].decode())) == {t.split()[0] for _, t in own} and model["xx"].count(b"one text") == 1
+    # above the bound, the bound is reached
+    assert len(re.findall("other|one text", model["yy"].decode())) == zstd_language.TEXTS_PER_LANGUAGE
+
+
 # ---- licenses
 
 
