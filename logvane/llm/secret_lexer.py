@@ -3,13 +3,17 @@
 The lexer reads ``name = value`` in its usual spellings (``=``, ``:=``, ``:``,
 ``=>``, quoted keys, type annotations, ``<name>value</name>``). A value is a
 list of literals and of names assigned before, so a literal that reaches a
-sensitive name through other constants is found where it stands. A literal is
-reported when the words of the name it reaches and its own look add up.
+sensitive name through other constants is found where it stands. It may stand
+in triple quotes, in a YAML block, or on a line after its name. What a PEM block
+holds is a literal that the block's title names. A literal is reported when the
+words of the name it reaches and its own look add up.
 
 Spans are code point ranges, end exclusive. Defined cases: a null or empty text
 has no spans. Of several assignments to one name the last before its use
-counts. Chains and joins of constants are followed without limit on length.
-Texts are scanned whole, line by line. Repeated rows are judged one by one.
+counts. Values, chains and joins of constants are followed without limit on
+length. Texts are scanned whole. On a line of its own, a literal without quotes
+counts if it stands deeper than its name, and after a bare ``name:`` one in
+quotes if it has no blanks. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -53,17 +57,32 @@ PLACEHOLDER = re.compile(
 )
 THRESHOLD = 1.0
 LEAST_LITERAL = 8
-_STEMS = tuple(k for k, w in NAME_WEIGHTS.items() if w >= 0.4)
+#: smaller weights add up, so any of the words may stand in a sensitive name
+_STEMS = tuple(NAME_WEIGHTS)
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _TARGET = re.compile(
     r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,99})(?P=quote)(?:\x20*:\x20*[A-Za-z_][\w.\[\]]{0,40}(?=\x20*=))?"""
     r"""[\x20\t]*(?P<op>:=|=>|=(?![=~])|:(?!:))[\x20\t]*"""
 )
+# long strings run to their quotes or to the end of the text, so reading them never steps back
 _TERM = re.compile(
-    r'''(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<bare>[A-Za-z0-9_+/=.~-]+)'''
+    r'''(?P<long>"""(?:[^"\\]+|\\.|"(?!""))*(?:"""|\\?\Z)|\'\'\'(?:[^'\\]+|\\.|'(?!''))*(?:\'\'\'|\\?\Z))'''
+    r'''|(?P<string>"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|`[^`\n]*`)|(?P<bare>[A-Za-z0-9_+/=.~-]+)''', re.DOTALL
 )
-_JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.?|&|\|\|)?[\x20\t]*")
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,99})>([^<>\n]{1,4096})</\1>")
+_JOIN = re.compile(
+    r"""[\x20\t]*(?:(?:\+|\.\.?|&|\|\|)[\x20\t]*(?:\\?\r?\n[\x20\t]*(?=["'`]))?|\\\r?\n[\x20\t]*(?=["'`]))?"""
+)
+#: what may stand between an assignment and its value besides blanks: an open parenthesis, ends of lines
+_BEFORE = re.compile(r"\([\x20\t]*(?:\r?\n\s*)?|\\?\r?\n\s*")
+_NEXT_STRING = re.compile(r"""\s*?\n\s*(?=["'`])""")
+_LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\Z)")
+_BLOCK = re.compile(r"[|>][0-9+-]{0,2}[\x20\t]*(?:\#[^\n]*)?\r?\n")
+_BLOCK_LINE = re.compile(r"([\x20\t]*)([^\n]*)(?:\n|\Z)")
+_LONE_NAME = re.compile(r"""[\x20\t]*(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,99})(?P=quote)[\x20\t]*\r?$""")
+_LONE_OP = re.compile(r"[\x20\t]*(?P<op>:=|=>|=(?![=~])|:(?!:))[\x20\t]*")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,99})>([^<>]+)</\1>")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9][A-Z0-9 ]{0,99})-----")
+_LINE_BREAK = re.compile(r"\s*\n\s*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -100,48 +119,107 @@ def literal_weight(value: str) -> float:
     return 0.15 * (kinds - 1) + 0.1 * max(0.0, min(entropy, 5.0) - 2) - 2 * spaces - (0.3 if value.isalpha() else 0.0)
 
 
-def _value(line: str, at: int, start: int, known: dict[str, list]) -> list[tuple[int, int]]:
+def _stripped(text: str, a: int, b: int) -> tuple[int, int]:
+    """The place without blanks at its ends."""
+    inner = text[a:b]
+    return a + len(inner) - len(inner.lstrip()), b - len(inner) + len(inner.rstrip())
+
+
+def _value(text: str, at: int, column: int, bare_key: bool, known: dict[str, list]) -> list[tuple[int, int]]:
     """Literal places that a right-hand side is made of: its own, and those of the names it uses."""
-    places = []
-    while term := _TERM.match(line, at):
-        if term["string"] is not None:
-            places.append((start + term.start() + 1, start + term.end() - 1))
+    if block := _BLOCK.match(text, at):
+        return _block(text, block.end(), column)
+    places, inside = [], text.startswith("(", at)
+    if before := _BEFORE.match(text, at):
+        at = before.end()
+        term = _TERM.match(text, at)
+        if not term:
+            return []
+        if term["bare"] is not None:
+            deeper = at - text.rfind("\n", 0, at) - 1 > column
+            if inside or not deeper or not _LINE_END.match(text, term.end()):
+                return []
+        elif bare_key and not inside and re.search(r"\s", term[0].strip("\"'`").strip()):
+            return []
+    while term := _TERM.match(text, at):
+        if term["long"] is not None:
+            quoted = term["long"]
+            end = term.end() - 3 if len(quoted) >= 6 and quoted.endswith(quoted[:3]) else term.end()
+            places.append(_stripped(text, term.start() + 3, end))
+        elif term["string"] is not None:
+            places.append((term.start() + 1, term.end() - 1))
         elif term["bare"] in known:
             places += known[term["bare"]]
         else:
-            places.append((start + term.start(), start + term.end()))
-        joint = _JOIN.match(line, term.end())
-        if joint.end() == term.end() or not joint[0].strip() and line[joint.end() : joint.end() + 1] not in ("'", '"'):
+            places.append(term.span())
+        joint = _JOIN.match(text, term.end())
+        if inside and (line := _NEXT_STRING.match(text, term.end())):
+            joint = line
+        if joint.end() == term.end() or not joint[0].strip() and text[joint.end() : joint.end() + 1] not in ("'", '"'):
             break
         at = joint.end()
     return places
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Every ``name, literal places`` pair in order, constants already followed."""
-    known: dict[str, list] = {}
-    start = 0
+def _block(text: str, at: int, column: int) -> list[tuple[int, int]]:
+    """The lines of a YAML block, which stand deeper than their name."""
+    start, end = at, at
+    while at < len(text):
+        line = _BLOCK_LINE.match(text, at)
+        if line[2].strip():
+            if len(line[1]) <= column:
+                break
+            end = line.end(2)
+        at = line.end()
+    a, b = _stripped(text, start, end)
+    return [(a, b)] if a < b else []
+
+
+def _targets(text: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """Name, its quote, operator, column of the name and the place behind the operator, of every assignment in order."""
+    start, last = 0, None
     for line in text.split("\n"):
         if "=" in line or ":" in line:
+            op = _LONE_OP.match(line)
+            if op and last:
+                yield last["name"], last["quote"], op["op"], last.start("name"), start + op.end()
             for target in _TARGET.finditer(line):
-                places = list(dict.fromkeys(_value(line, target.end(), start, known)))
-                if places:
-                    yield target["name"], places
-                    if target["op"] != ":" or target["quote"]:
-                        known[target["name"]] = places
-        if "</" in line:
-            for element in _ELEMENT.finditer(line):
-                yield element[1], [(start + element.start(2), start + element.end(2))]
+                yield target["name"], target["quote"], target["op"], target.start(), start + target.end()
+            last = None
+        else:
+            last = _LONE_NAME.match(line)
         start += len(line) + 1
 
 
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Every ``name, literal places`` pair, constants already followed."""
+    known: dict[str, list] = {}
+    if "=" in text or ":" in text:
+        for name, quote, op, column, at in _targets(text):
+            places = list(dict.fromkeys(_value(text, at, column, op == ":" and not quote, known)))
+            if places:
+                yield name, places
+                if op != ":" or quote:
+                    known[name] = places
+    if "</" in text:
+        for element in _ELEMENT.finditer(text):
+            yield element[1], [_stripped(text, *element.span(2))]
+    open_ended = set()
+    for block in _PEM.finditer(text) if "-----BEGIN " in text else ():
+        end = text.find(f"-----END {block[1]}-----", block.end()) if block[1] not in open_ended else -1
+        if end < 0:
+            open_ended.add(block[1])
+        else:
+            yield block[1], [_stripped(text, block.end(), end)]
+
+
 def all_spans(text: str | None) -> list[tuple[str, int, int]]:
     """Base spans and literals that reach a sensitive name, outside base spans, by start, then kind."""
     if not text:
         return []
     spans = base_spans(text)
     low = text.lower()
-    if any(stem in low for stem in _STEMS) and ("=" in text or ":" in text or "</" in text):
+    if any(stem in low for stem in _STEMS) and ("=" in text or ":" in text or "</" in text or "-----BEGIN " in text):
         taken = _merged(spans)
         added = set()
         for name, places in assignments(text):
@@ -149,7 +227,7 @@ def all_spans(text: str | None) -> list[tuple[str, int, int]]:
             if weight < 0.4:
                 continue
             for a, b in places:
-                if (a, b) not in added and not _meets(taken, a, b) and weight + literal_weight(text[a:b]) >= THRESHOLD:
+                if (a, b) not in added and not _meets(taken, a, b) and weight + literal_weight(_LINE_BREAK.sub(" ", text[a:b])) >= THRESHOLD:
                     added.add((a, b))
         spans = sorted([*spans, *(("literal", a, b) for a, b in added)], key=_by_place)
     return spans
