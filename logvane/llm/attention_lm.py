@@ -5,9 +5,9 @@ into classes by frequency; the model predicts the class of the next id from
 the ids before it, and the counts give the id within its class, so the
 probabilities of all ids sum to one. Training is local descent with averaging:
 in every round each task starts from the same parameters, learns from its
-share of the training texts, and Spark sums what the tasks arrive at, weighted
-by their tokens. The share of texts a round takes is a fixed part, so training
-grows with the corpus.
+rows of the round's part of the training texts, and Spark sums what the tasks
+arrive at, weighted by their tokens. The parts of all rounds together are all
+training texts, each once.
 
 Scoring cuts a text into windows that overlap: a window's first ids are context
 only, except in the first window, so every id is scored once. Windows of many
@@ -47,8 +47,8 @@ INPUT_IDS = 4_096
 WIDTH, HIDDEN = 16, 32
 WINDOW, CONTEXT = 64, 16
 TOGETHER = 32
-#: a round learns from one in so many training texts
-SHARE_OF_TEXTS, ROUNDS = 16, 2
+#: rounds of learning, each from its own part of the training texts
+ROUNDS = 2
 LEAST_STEPS, RATE = 150, 0.01
 #: words whose counts every task holds
 HELD_WORDS = 1 << 17
@@ -308,9 +308,19 @@ def learn(model: Model, windows: list[tuple], seed: int) -> tuple[np.ndarray, in
     return vector, int(there.sum())
 
 
+def parts_of(texts: DataFrame) -> list[DataFrame]:
+    """The texts of every round; each row is in one of them.
+
+    The part hangs on all columns, so copies of a text under other keys are
+    dealt over the rounds.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in texts.columns]), F.lit(ROUNDS))
+    return [texts.filter(part == number).select("text") for number in range(ROUNDS)]
+
+
 def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
     """Rounds of learning in all tasks and averaging; place -1 holds the weight."""
-    for number in range(ROUNDS):
+    for part in parts_of(texts):
         shared = share(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -330,7 +340,6 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
                     [pa.array(np.arange(-1, SIZE)), pa.array(np.concatenate([[float(weight)], sums]))], ["place", "value"]
                 )
 
-        part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE_OF_TEXTS)) == number).select("text")
         rows = part.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
         got = collect_bounded(rows, SIZE + 1, "parameters")
         if got:

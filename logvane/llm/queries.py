@@ -114,7 +114,7 @@ def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every document; learned outside fold 1 of 5."""
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold(5) == 1, F.lit(False))
-    counts, model = attention_lm.fit(docs.filter(~held_out).select("text"), tokenizer_path())
+    counts, model = attention_lm.fit(docs.filter(~held_out).select("doc_id", "text"), tokenizer_path())
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return attention_lm.score(rows, counts, model, tokenizer_path())
 

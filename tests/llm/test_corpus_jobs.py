@@ -356,6 +356,18 @@ def test_base_scores_against_counts(spoken, monkeypatch):
     assert by_id[123] / 300 < sum(by_id[i] / max(1, len(words[i])) for i in range(100, 120)) / 20
 
 
+def test_every_training_text_is_learned_from(spoken, spark):
+    texts, df = spoken
+    parts = [[r["text"] for r in part.collect()] for part in attention_lm.parts_of(df)]
+    assert collections.Counter(t for part in parts for t in part) == collections.Counter(texts.values())
+    copies = spark.range(1_000).selectExpr("id as doc_id", "'one text' as text")
+    assert min(part.count() for part in attention_lm.parts_of(copies)) > 400 * 2 / attention_lm.ROUNDS
+    model = attention_lm.new_model(np.ones((2, attention_lm.VOCABULARY)), attention_lm.word_ends(tokenizer_path()))
+    for word in ("dog", "cat", "house", "runs"):
+        alone = spark.createDataFrame([(f"the {word} sees",)], "text string")
+        assert (attention_lm.train(alone, model, tokenizer_path()).vector != model.vector).any(), word
+
+
 def test_model_without_training_and_odd_rows(odd, none):
     counts, model = attention_lm.fit(none.select("text"), tokenizer_path())
     rows = attention_lm.score(odd, counts, model, tokenizer_path()).collect()
