@@ -15,8 +15,3 @@ def spark():
     session = local_session("tests", cores="4", shuffle_partitions="4")
     yield session
     session.stop()
-
-
-def plan_of(df) -> str:
-    """The physical plan before execution."""
-    return df._jdf.queryExecution().executedPlan().toString()

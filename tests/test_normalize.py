@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import plan_of
+from plans import plan_of
 
 from logvane.operators import normalize as N
 

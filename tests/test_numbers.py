@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import plan_of
+from plans import plan_of
 from pyspark.sql import functions as F
 
 from logvane.operators import features, metrics, quantiles, running, sampling, scores

@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of
+from plans import plan_of
 
 from logvane.operators import rules as R
 

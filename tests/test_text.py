@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of
+from plans import plan_of
 from pyspark.sql import functions as F
 
 from logvane.functions import text as X
