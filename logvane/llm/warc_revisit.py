@@ -3,8 +3,8 @@
 Headers alone are shuffled by payload digest. Of the records that share a
 payload of a certain size, the one with the largest key stays a response; the
 others become revisit records that refer to it and carry no payload. Archives
-are gzip-compressed files of a bounded number of records, written by Spark and
-read back by the ``Content-Length`` of each record, so a payload may hold
+are gzip-compressed files of a bounded number of records and bytes, written by
+Spark and read back by the ``Content-Length`` of each record, so a payload may hold
 anything, record separators included.
 
 Defined cases: a null payload counts as empty. Payloads below the least size
@@ -28,9 +28,10 @@ from logvane.llm.text import small_batches
 from logvane.session import materialize, work_path
 
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 2_000
-#: revisits up to this many are sent to every task that writes; more are joined by a shuffle
-BROADCAST_REVISITS = 200_000
+#: an archive holds at most so many records, and about so many bytes before compression
+RECORDS_PER_FILE, BYTES_PER_FILE = 2_000, 512 << 20
+#: archives are unpacked so many bytes at a time
+PART_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
@@ -66,8 +67,7 @@ def write_archives(df: DataFrame, key: str, uri: str, payload: str, date: str, p
     revisits = materialize(resolve(headers), "warc_revisits").select(
         F.col("key").alias("r_key"), F.col("digest").alias("r_digest"), "refers_to"
     )
-    side = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
-    records = pages.join(side, (F.col("digest") == F.col("r_digest")) & F.col("key").eqNullSafe(F.col("r_key")), "left")
+    records = pages.join(revisits, (F.col("digest") == F.col("r_digest")) & F.col("key").eqNullSafe(F.col("r_key")), "left")
     revisit = F.col("r_digest").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes"),
                     F.lit(CRLF + CRLF))
@@ -85,9 +85,14 @@ def write_archives(df: DataFrame, key: str, uri: str, payload: str, date: str, p
         F.lit(CRLF), http, F.when(revisit, "").otherwise(F.col("body").cast("string")),
     )
     path = path or work_path(spark, "warc")
-    records.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).text(path)
+    # payloads that a full file of their like could not hold are written apart, a few to a file
+    usual = BYTES_PER_FILE // RECORDS_PER_FILE
+    largest = headers.agg(F.max("bytes")).first()[0] or 0
+    for some, most in [(F.col("bytes") <= usual, usual), (F.col("bytes") > usual, largest)]:
+        if most <= usual or largest > usual:
+            records.filter(some).select(record.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF).option(
+                "compression", "gzip"
+            ).option("maxRecordsPerFile", min(RECORDS_PER_FILE, max(BYTES_PER_FILE // max(most, 1), 1))).text(path)
     return path
 
 
@@ -100,7 +105,7 @@ def _unpacked(content: bytes) -> Iterator[bytes]:
         member = zlib.decompressobj(31)
         rest = content
         while rest and not member.eof:
-            yield member.decompress(rest, 1 << 20)
+            yield member.decompress(rest, PART_BYTES)
             rest = member.unconsumed_tail
         content = member.unused_data
 
@@ -116,9 +121,10 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if part is None:
                 done = True
             else:
-                if at > 1 << 20:
-                    del data[:at]
-                    at = 0
+                # what is read may end before the separator that ``at`` has already passed
+                passed = min(at, len(data))
+                del data[:passed]
+                at -= passed
                 data.extend(part)
         return bool(found)
 
@@ -127,6 +133,8 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         head = data[at:end].decode()
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split("\r\n")[1:])}
         at = end + 4
+        if "content-length" not in fields:
+            raise ValueError(f"record without a length: {fields.get('warc-record-id')}")
         size = int(fields["content-length"])
         if not need(lambda: len(data) - at >= size):
             raise ValueError(f"the archive ends inside record {fields.get('warc-record-id')}")

@@ -286,6 +286,33 @@ def test_a_cut_archive_is_an_error():
         list(warc_revisit.parse(gzip.compress(record)))
 
 
+def test_blocks_that_end_around_the_end_of_a_part(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc_revisit, "PART_BYTES", 1000)
+    for total in range(985, 1015):
+        records = []
+        for n in (total, 3, 900, 0):
+            head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {{n}}\r\n\r\n"
+            body = n - len(head.format(n=n)) if n == total else n
+            records.append((head.format(n=body) + "z" * body + "\r\n\r\n", body))
+        got = list(warc_revisit.parse(gzip.compress("".join(r for r, _ in records).encode())))
+        assert [len(block) for _, block in got] == [n for _, n in records], total
+
+
+def test_large_payloads_get_archives_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc_revisit, "BYTES_PER_FILE", 20_000_000)
+    rows = [(i, f"http://p/{i}", ("é" * 40_000 if i % 10 == 0 else "small") + str(i)) for i in range(600)] + [(700, "u", "L" * 9_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = warc_revisit.write_archives(pages, "page_id", "url", "html", "2025-01-01T00:00:00Z")
+    records = warc_revisit.read_archives(spark, path)
+    got = {int(r["record_key"]): r["payload_digest"] for r in records.select("record_key", "payload_digest").collect()}
+    assert got == {k: hashlib.sha1(h.encode()).hexdigest() for k, _, h in rows}
+    sizes = warc_revisit.read_archives(spark, path, payloads=False).groupBy(warc_revisit.F.input_file_name().alias("f")).agg(
+        warc_revisit.F.sum("payload_bytes").alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == sum(len(h.encode()) for _, _, h in rows)
+
+
 # ---- language model
 
 
