@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logvane.llm import (
     attention_lm,
     bin_completion,
+    fim_boundaries,
     license_rules,
     quality_fm,
     risk_rules,
@@ -187,6 +188,31 @@ def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_language.identify(docs.select("doc_id", held_out, "text"), model).drop("text")
 
 
+def op11_fim_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for fill-in-middle, and what taking the output apart again gives."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fim_boundaries.fill_in_middle(docs)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(fim_boundaries.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+             CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, left(t, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_risk_rules": op2_risk_rules,
@@ -198,9 +224,11 @@ QUERIES = {
     "op8_warc_revisit": op8_warc_revisit,
     "op9_trie_join": op9_trie_join,
     "op10_zstd_language": op10_zstd_language,
+    "op11_fim_boundaries": op11_fim_boundaries,
 }
 ORACLES = {
     "op2_risk_rules": OP2_SQL,
     "op8_warc_revisit": OP8_SQL,
     "op9_trie_join": OP9_SQL,
+    "op11_fim_boundaries": OP11_SQL,
 }
