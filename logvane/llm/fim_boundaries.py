@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.text import small_batches, texts_of
+from logvane.llm.text import small_batches, texts_of, unused
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: of 100 texts, so many keep their order, and of the others so many are written suffix first
@@ -143,8 +143,9 @@ def fill_in_middle(df: DataFrame, key: str = "doc_id", text: str = "text", seed:
 
     cut = F.arrow_udf(run, "n long, form string, prefix_chars long, middle_chars long, output string")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, *RESULT)]
-    made = df.select(*kept, cut(F.col(f"`{text}`"), *draws(F.col(f"`{key}`"), seed)).alias("_fim"))
-    return made.select(*kept, *[F.col(f"_fim.{c}") for c in RESULT])
+    made = unused(df.columns, "_fim")
+    cuts = df.select(*kept, cut(F.col(f"`{text}`"), *draws(F.col(f"`{key}`"), seed)).alias(made))
+    return cuts.select(*kept, *[F.col(f"{made}.{c}") for c in RESULT])
 
 
 def restored(output: Column, form: Column) -> Column:

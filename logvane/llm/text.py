@@ -41,6 +41,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(keys: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the word."""
     keys = keys ^ (keys >> np.uint64(31))
