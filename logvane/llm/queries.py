@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logvane.llm import (
     attention_lm,
     bin_completion,
+    conversation_trie,
     fim_boundaries,
     license_rules,
     quality_fm,
@@ -213,6 +214,49 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.trie(conversation_trie.paths(_table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, md5(md5(role) || md5(text)) AS d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS rn FROM t),
+steps AS (
+  SELECT conv_id, [4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+         lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS s FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(s, lambda a, v:
+         xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1)))) % 4 AS h FROM steps),
+lens AS (SELECT conv_id AS base, count(*) AS n FROM o GROUP BY ALL),
+rebuilt AS (
+  SELECT c.conv_id, rn AS place, d, words FROM c JOIN o ON o.conv_id = c.base AND rn <= h
+  UNION ALL
+  SELECT c.conv_id, coalesce(least(n, h), 0) + rn - h, d, words
+  FROM c JOIN o ON o.conv_id = c.conv_id AND rn > h LEFT JOIN lens USING (base)),
+path AS (
+  SELECT c.conv_id, coalesce(string_agg(d, '' ORDER BY place), '') AS p, coalesce(list(words ORDER BY place) FILTER (d IS NOT NULL), []) AS w
+  FROM c LEFT JOIN rebuilt USING (conv_id) GROUP BY ALL),
+along AS (SELECT conv_id, p, w, unnest(range(len(w) + 1)) AS depth FROM path),
+node AS (
+  SELECT p[1:32 * depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(any_value(CASE WHEN depth > 0 THEN w[depth] END), 0) AS words,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(w)) AS ends
+  FROM along GROUP BY ALL),
+inner_nodes AS (SELECT k[1:32 * (depth - 1)] AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT k[1:32 * e] AS k, count(*) FILTER (k NOT IN (SELECT k FROM inner_nodes)) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS e FROM node) GROUP BY ALL)
+SELECT a.conv_id, a.depth, u.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM node a LEFT JOIN node u ON a.depth > 0 AND u.k = a.k[1:32 * (a.depth - 1)]
+LEFT JOIN inner_nodes i ON i.k = a.k JOIN below b ON b.k = a.k
+"""
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_risk_rules": op2_risk_rules,
@@ -225,10 +269,12 @@ QUERIES = {
     "op9_trie_join": op9_trie_join,
     "op10_zstd_language": op10_zstd_language,
     "op11_fim_boundaries": op11_fim_boundaries,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {
     "op2_risk_rules": OP2_SQL,
     "op8_warc_revisit": OP8_SQL,
     "op9_trie_join": OP9_SQL,
     "op11_fim_boundaries": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
