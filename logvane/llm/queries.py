@@ -11,6 +11,7 @@ from logvane.llm import (
     conversation_trie,
     fim_boundaries,
     license_rules,
+    prefix_free,
     quality_fm,
     risk_rules,
     secret_lexer,
@@ -215,6 +216,12 @@ FROM p
 """
 
 
+def op12_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 100 bytes that also start earlier."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prefix_free.remove_repeats(docs).withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     return conversation_trie.trie(conversation_trie.paths(_table(spark, sf_dir, "conversations")))
@@ -269,6 +276,7 @@ QUERIES = {
     "op9_trie_join": op9_trie_join,
     "op10_zstd_language": op10_zstd_language,
     "op11_fim_boundaries": op11_fim_boundaries,
+    "op12_prefix_free": op12_prefix_free,
     "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {

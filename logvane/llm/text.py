@@ -145,6 +145,20 @@ def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
     return mix(keys + (words.ends - words.starts).astype(np.uint64))
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of byte keys times powers of the step up to every place, from which any range is hashed."""
+    up, _ = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every range, the same wherever they stand."""
+    _, down = _powers(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside a text, and the number of the text of each."""
     count = len(hashes) - size + 1
