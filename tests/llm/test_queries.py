@@ -21,7 +21,7 @@ def test_agrees_with_sql(spark, con, name):
 
 def test_one_query_for_each_operator():
     numbers = [int(name[2:].split("_")[0]) for name in queries.QUERIES]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
