@@ -15,10 +15,11 @@ passages are all repeats. Suffixes are sorted only for phrases with a trigger
 that other phrases share too, so the work after the parse grows with what is
 repeated and not with the corpus.
 
-Triggers that occur once are dropped by counts with partial sums. A suffix
-array is sorted by the task that holds a trigger's phrases; a trigger in more
-than ``SPLIT`` phrases is dealt out by phrase, and the firsts of its parts meet
-by the passage's digest. Texts travel twice, by document: to fetch the phrases
+A phrase that a text repeats is one row with its later places. Triggers that
+occur once are dropped by counts with partial sums. A suffix array is sorted by
+the task that holds a trigger's phrases; a trigger in more than ``SPLIT``
+phrases is dealt out by phrase, and the firsts of its parts, by now at most one
+of a kind and part, meet by digest, dealt out again. Texts travel twice, by document: to fetch the phrases
 to be sorted, and to take the repeats out.
 
 Defined cases: a null text counts as empty. A text shorter than a passage keeps
@@ -137,35 +138,67 @@ def repeats(phrases: list[bytes], places: np.ndarray, length: int) -> tuple[np.n
 
 # ---- jobs
 
-_PARSE = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_FETCHED = pa.schema([("trigger", pa.int64()), ("part", pa.int64()), ("open", pa.bool_()), ("doc", pa.int64()), ("key", pa.int64()),
+_RUN = pa.struct([("start", pa.int64()), ("n", pa.int64())])
+_PARSE = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()),
+                    ("again", pa.list_(_RUN))])
+_TRIGGERS = pa.schema([("trigger", pa.int64()), ("times", pa.int64())])
+_FETCHED = pa.schema([("trigger", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()),
                       ("start", pa.int64()), ("bytes", pa.binary())])
-_FOUND = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("passage", pa.binary())])
+#: runs of repeats; and, of triggers in several parts, firsts as packed digests and places
+_FOUND = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("trigger", pa.int64()), ("bucket", pa.int64()),
+                    ("firsts", pa.binary())])
+_FIRST = np.dtype([("digest", "S16"), ("offset", "<i8")])
 
 
 def _sql(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.list_(_RUN): "array<struct<start:long,n:long>>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _runs(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and sizes of runs of consecutive places of one owner."""
+    breaks = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+    return breaks, np.diff(np.append(breaks, len(at)))
+
+
+def _once(number: np.ndarray, start: np.ndarray, n: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The first place of each phrase of each text, and its later places in that text, adjoining ones as one run."""
+    order = np.lexsort((start, phrase, number))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (phrase[order][1:] != phrase[order][:-1]) | (number[order][1:] != number[order][:-1])
+    group = np.cumsum(fresh) - 1
+    later = np.flatnonzero(~fresh)
+    begin, size, group_of = start[order][later], n[order][later], group[later]
+    joined = np.ones(len(later), bool)
+    joined[1:] = (group_of[1:] != group_of[:-1]) | (begin[1:] != begin[:-1] + size[:-1])
+    heads = np.flatnonzero(joined)
+    sizes = np.add.reduceat(size, heads) if len(heads) else size
+    counts = np.bincount(group_of[heads], minlength=int(fresh.sum()))
+    runs = pa.StructArray.from_arrays([pa.array(begin[heads]), pa.array(sizes)], fields=list(_RUN))
+    offsets = pa.array(np.append([0], np.cumsum(counts)).astype(np.int32))
+    return order[fresh], pa.ListArray.from_arrays(offsets, runs, mask=pa.array(counts == 0))
+
+
 def _parsed(docs: DataFrame, length: int, width: int, whole: bool) -> DataFrame:
     """The parse of all documents, or its triggers alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, start, n, trigger, phrase in parse(texts_of(batch.column("text")), length, width, whole):
                 if whole:
-                    doc, key = (batch.column(c).take(pa.array(number)) for c in ("doc", "key"))
-                    yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(phrase), doc, key, pa.array(start), pa.array(n)], schema=_PARSE)
+                    kept, again = _once(number, start, n, phrase)
+                    doc, key = (batch.column(c).take(pa.array(number[kept])) for c in ("doc", "key"))
+                    columns = [pa.array(c[kept]) for c in (trigger, phrase, start, n)]
+                    yield pa.RecordBatch.from_arrays([*columns[:2], doc, key, *columns[2:], again], schema=_PARSE)
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(trigger)], ["trigger"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(trigger, return_counts=True)], schema=_TRIGGERS)
 
     rows = docs if whole else docs.select("text")
-    return rows.mapInArrow(run, _sql(_PARSE) if whole else "trigger long")
+    return rows.mapInArrow(run, _sql(_PARSE if whole else _TRIGGERS))
 
 
 def _fetched(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The bytes of phrases, read from their documents."""
-    by_doc = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("trigger", "part", "open", "start", "n")).alias("wanted"))
+    by_doc = wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("trigger", "part", "parts", "start", "n")).alias("wanted"))
     w = by_doc.select(F.col("doc").alias("w_doc"), F.col("key").alias("w_key"), "wanted")
     both = w.join(docs, F.col("w_doc").eqNullSafe(F.col("doc")) & (F.col("w_key") == F.col("key"))).select("doc", "key", "text", "wanted")
 
@@ -179,38 +212,74 @@ def _fetched(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             parts = [bytes(raw[a : a + m + length - 1]) for a, m in zip(at.tolist(), n.tolist())]
             doc, key = (batch.column(c).take(pa.array(owner)) for c in ("doc", "key"))
             yield pa.RecordBatch.from_arrays(
-                [items.field("trigger"), items.field("part"), items.field("open"), doc, key, items.field("start"), pa.array(parts, pa.binary())],
+                [items.field("trigger"), items.field("part"), items.field("parts"), doc, key, items.field("start"), pa.array(parts, pa.binary())],
                 schema=_FETCHED,
             )
 
     return both.mapInArrow(run, _sql(_FETCHED))
 
 
+def _in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Rows in document order, null documents first, and a number of each place."""
+    table = table.append_column("known", pa.array(table["doc"].is_valid().to_numpy().astype(np.int8)))
+    table = table.sort_by([(c, "ascending") for c in ("known", "doc", "key", "start")])
+    where = np.stack([table["doc"].fill_null(0).to_numpy(), *(table[c].to_numpy() for c in ("known", "key", "start"))], 1)
+    return table, np.cumsum(np.append([False], (where[1:] != where[:-1]).any(1)))
+
+
+def _found(table: pa.Table, rows: np.ndarray, offset: np.ndarray, n: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+    """A batch of results about some rows."""
+    taken = table.select(["doc", "key", "start", "trigger"]).take(pa.array(rows)).combine_chunks().to_batches()
+    if not taken:
+        return pa.RecordBatch.from_pylist([], _FOUND)
+    doc, key, start, trigger = taken[0].columns
+    filled = {"doc": doc, "key": key, "start": pa.array(start.to_numpy() + offset), "n": pa.array(n), "trigger": trigger, **more}
+    return pa.RecordBatch.from_arrays([filled.get(f.name, pa.nulls(len(rows), f.type)) for f in _FOUND], schema=_FOUND)
+
+
 def _judged(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """Runs of repeats of some whole triggers, and the firsts of those that have other parts."""
-    table = table.sort_by([("doc", "ascending"), ("key", "ascending"), ("start", "ascending")])
-    null_first = np.argsort(table["doc"].is_null().to_numpy() == 0, kind="stable")
-    table = table.take(pa.array(null_first))
-    where = np.stack([table["doc"].fill_null(0).to_numpy(), table["doc"].is_null().to_numpy(), table["key"].to_numpy(), table["start"].to_numpy()], 1)
-    place = np.cumsum(np.append([0], (where[1:] != where[:-1]).any(1))) if len(where) else np.empty(0, np.int64)
+    table, place = _in_order(table)
     phrases = table["bytes"].to_pylist()
     owner, offset, repeat, lead = repeats(phrases, place, length)
     at = np.flatnonzero(repeat)
-    heads = at[(np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0)]
-    counts = np.diff(np.append(np.searchsorted(at, heads), len(at)))
-    open_leads = np.flatnonzero(lead & table["open"].to_numpy()[owner])
-    digests = [None] * len(heads) + [
-        hashlib.blake2b(phrases[owner[i]][offset[i] : offset[i] + length], digest_size=16).digest() for i in open_leads.tolist()
-    ]
-    rows = np.append(heads, open_leads)
-    taken = table.select(["doc", "key", "start"]).take(pa.array(owner[rows])).combine_chunks()
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in taken.columns]
-    start = pa.array(columns[2].to_numpy() + offset[rows])
-    n = pa.array(np.append(counts, np.ones(len(open_leads), np.int64)).astype(np.int64))
-    yield pa.RecordBatch.from_arrays([columns[0], columns[1], start, n, pa.array(digests, pa.binary())], schema=_FOUND)
-
-
-def _sorted_suffixes(fetched: DataFrame, length: int) -> DataFrame:
+    heads, sizes = _runs(at, owner[at])
+    yield _found(table, owner[at][heads], offset[at][heads], sizes)
+
+    parts = table["parts"].to_numpy()
+    leads = np.flatnonzero(lead & (parts[owner] > 1))
+    if len(leads):
+        packed = np.empty(len(leads), _FIRST)
+        packed["digest"] = [hashlib.blake2b(phrases[owner[i]][offset[i] : offset[i] + length], digest_size=16).digest() for i in leads.tolist()]
+        packed["offset"] = offset[leads]
+        bucket = np.frombuffer(packed["digest"].tobytes(), "<u8")[::2] % parts[owner[leads]].astype(np.uint64)
+        order = np.lexsort((bucket, owner[leads]))
+        bucket, of = bucket[order].astype(np.int64), owner[leads][order]
+        breaks = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+        firsts = pa.array([p.tobytes() for p in np.split(packed[order], breaks[1:])], pa.binary())
+        yield _found(table, of[breaks], np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64),
+                     bucket=pa.array(bucket[breaks]), firsts=firsts)
+
+
+def _judged_across(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Repeats among the firsts of different parts, some whole buckets of triggers."""
+    table, place = _in_order(table)
+    packed = [np.frombuffer(p, _FIRST) for p in table["firsts"].to_pylist()]
+    owner, all_firsts = np.repeat(np.arange(len(packed)), [len(p) for p in packed]), np.concatenate(packed)
+    trigger, offset = table["trigger"].to_numpy()[owner], all_firsts["offset"]
+    # rows are in document order and places of a row ascend, so a stable sort leaves the earliest place first
+    order = np.lexsort((offset, place[owner], all_firsts["digest"], trigger))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (all_firsts["digest"][order][1:] != all_firsts["digest"][order][:-1]) | (trigger[order][1:] != trigger[order][:-1])
+    first = np.repeat(order[fresh], np.diff(np.append(np.flatnonzero(fresh), len(order))))
+    again = np.sort(order[(place[owner[first]] != place[owner[order]]) | (offset[first] != offset[order])])
+    again = again[np.lexsort((offset[again], owner[again]))]
+    heads, sizes = _runs(offset[again], owner[again])
+    yield _found(table, owner[again][heads], offset[again][heads], sizes)
+
+
+def _by_groups(rows: DataFrame, part: str, judge, length: int) -> DataFrame:
+    """Rows dealt out by trigger and part, and judged some whole groups at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -220,41 +289,40 @@ def _sorted_suffixes(fetched: DataFrame, length: int) -> DataFrame:
             if size < TOGETHER:
                 continue
             table = pa.Table.from_batches(held)
-            trigger, part = table["trigger"].to_numpy(), table["part"].to_numpy()
-            # whole triggers, or whole parts of one, are judged together; the last one may go on
-            ends = np.flatnonzero((trigger[1:] != trigger[:-1]) | (part[1:] != part[:-1])) + 1
+            trigger, number = table["trigger"].to_numpy(), table[part].to_numpy()
+            # the last group may go on in the next batch
+            ends = np.flatnonzero((trigger[1:] != trigger[:-1]) | (number[1:] != number[:-1])) + 1
             if len(ends):
-                yield from _judged(table.slice(0, ends[-1]), length)
+                yield from judge(table.slice(0, ends[-1]), length)
                 table = table.slice(ends[-1]).combine_chunks()
             held, size = table.to_batches(), table.num_rows
         if size:
-            yield from _judged(pa.Table.from_batches(held), length)
+            yield from judge(pa.Table.from_batches(held), length)
 
-    rows = fetched.repartition("trigger", "part").sortWithinPartitions("trigger", "part")
-    return rows.mapInArrow(run, _sql(_FOUND))
+    return rows.repartition("trigger", part).sortWithinPartitions("trigger", part).mapInArrow(run, _sql(_FOUND))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, split: int = SPLIT) -> DataFrame:
     """``doc, key, start, n``: runs of n passages of documents ``doc, key, text`` that also stand earlier."""
-    place = F.struct("doc", "key", "start")
-    often = _parsed(docs, length, width, False).groupBy("trigger").agg(F.count("*").alias("times")).filter("times > 1").select("trigger")
+    place, run = F.struct("doc", "key", "start"), ["doc", "key", "start", "n"]
+    often = _parsed(docs, length, width, False).groupBy("trigger").agg(F.sum("times").alias("times")).filter("times > 1").select("trigger")
     parsed = materialize(_parsed(docs, length, width, True).join(often, "trigger", "left_semi"), "pfp_parse")
     dictionary = materialize(parsed.groupBy("trigger", "phrase").agg(
         F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")
     ), "pfp_dictionary")
-    again = parsed.join(dictionary.filter("times > 1").select("trigger", "phrase", "first"), ["trigger", "phrase"])
-    later = again.filter(~place.eqNullSafe(F.col("first"))).select("doc", "key", "start", "n")
+    elsewhere = parsed.join(dictionary.filter("times > 1").select("trigger", "phrase", "first"), ["trigger", "phrase"])
+    later = elsewhere.filter(~place.eqNullSafe(F.col("first"))).select(*run)
+    again = parsed.filter("again IS NOT NULL").select("doc", "key", F.inline("again"))
 
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).filter("phrases > 1")
     parts = F.ceil(F.col("phrases") / split)
     wanted = dictionary.join(shared, "trigger").select(
-        "trigger", F.pmod("phrase", parts).alias("part"), (parts > 1).alias("open"), "first.doc", "first.key", "first.start", "n"
+        "trigger", F.pmod("phrase", parts).alias("part"), parts.alias("parts"), "first.doc", "first.key", "first.start", "n"
     )
-    found = materialize(_sorted_suffixes(_fetched(wanted, docs, length), length), "pfp_found")
-    firsts = found.filter("passage IS NOT NULL")
-    earliest = firsts.groupBy("passage").agg(F.min(place).alias("first"), F.count("*").alias("parts")).filter("parts > 1")
-    across = firsts.join(earliest, "passage").filter(~place.eqNullSafe(F.col("first"))).select("doc", "key", "start", "n")
-    return later.unionByName(found.filter("passage IS NULL").drop("passage")).unionByName(across)
+    found = materialize(_by_groups(_fetched(wanted, docs, length), "part", _judged, length), "pfp_found")
+    across = _by_groups(found.filter("firsts IS NOT NULL"), "bucket", _judged_across, length)
+    repeated = found.filter("firsts IS NULL")
+    return later.unionByName(again).unionByName(repeated.select(*run)).unionByName(across.select(*run))
 
 
 def _without(raw: memoryview, start: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
