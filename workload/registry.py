@@ -1,8 +1,8 @@
 """All queries by name."""
 
-from workload import answers, knowledge, labeling, models, scoring, streams, topics
+from workload import answers, indexes, knowledge, labeling, models, scoring, streams, topics
 
-_PARTS = [labeling, scoring, models, topics, knowledge, answers, streams]
+_PARTS = [labeling, scoring, models, topics, knowledge, indexes, answers, streams]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
