@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logvane.session import materialize
+
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 10_000
 
@@ -40,3 +42,14 @@ def running_totals(
     return joined.withColumns({f"cum_{c}": F.col(f"_within_{c}") + F.col(f"_above_{c}") for c in sum_cols}).drop(
         "_range", *[f"_within_{c}" for c in sum_cols], *[f"_above_{c}" for c in sum_cols]
     )
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Add the place in a global order, from 0 without gaps; ranges are numbered apart and shifted by their sizes."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # one row per range here, never one per row
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before")
+    )
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(sizes, "_range").withColumn(name, within + F.col("_before")).drop("_range", "_before")
