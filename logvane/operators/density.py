@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logvane.operators.embed import cosine
 from logvane.operators.graph import connected_components
+from logvane.operators.running import numbered
 from logvane.session import materialize
 
 NOISE = -1
@@ -77,11 +77,8 @@ def density_clusters(
         labels.groupBy("component").agg(F.sum("own").alias("size"), F.min("first").alias("start"))
         .filter(F.col("size") >= min_size)
     )
-    # one row per cluster here, never one per point
-    numbered = sizes.select(
-        "component", (F.row_number().over(Window.orderBy(F.desc("size"), "start")) - 1).cast("int").alias("topic")
-    )
-    topics = materialize(labels.join(numbered, "component").select("_cell", "topic"), "cell-topics")
+    topic_of = numbered(sizes, [F.desc("size"), "start"], "topic").select("component", F.col("topic").cast("int").alias("topic"))
+    topics = materialize(labels.join(topic_of, "component").select("_cell", "topic"), "cell-topics")
     return placed.join(topics, "_cell", "left").withColumn(
         "topic", F.coalesce("topic", F.lit(NOISE))
     ).drop("_cell")

@@ -146,6 +146,11 @@ def most_similar(centers: DataFrame, key: str = "topic", vector: str = "centroid
     )
 
 
+def similarity_matrix(centers: DataFrame, key: str = "topic", vector: str = "centroid") -> DataFrame:
+    """Cosine of every topic to every topic, by falling similarity; as many rows as pairs of topics."""
+    return most_similar(centers, key, vector, k=max(centers.count(), 1))
+
+
 # --- re-ranking -------------------------------------------------------------------------------------------------
 
 K1, B = 1.2, 0.75

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from logvane.operators import retrieve, vector_index
-from logvane.session import work_path
+from logvane.operators import hierarchy, retrieve, vector_index
+from logvane.session import materialize, work_path
 from workload.knowledge import ORACLES as KNOWLEDGE_SQL
 from workload.knowledge import SEARCH_CTE, _kb, _nearest_shown, _queries
 from workload.raw_events import table
@@ -71,7 +72,52 @@ def index_cells(spark, sf_dir):
     return rows.groupBy("collection").agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("id_sum"), F.count_distinct("doc_id").alias("n_ids"))
 
 
-QUERIES = {f.__name__: f for f in [indexed_passages, indexed_passages_blocked, index_recall, index_probes, index_cells]}
+#: itself and fifteen others, as the smallest cluster has fifteen points
+NEIGHBOURS = 16
+_CLUSTERED: dict[tuple[str, str], object] = {}
+
+
+def _hierarchical(spark, sf_dir):
+    """All vectors with their clusters, made once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CLUSTERED:
+        _CLUSTERED[key] = materialize(_clustered(spark, sf_dir), "hierarchical")
+    return _CLUSTERED[key]
+
+
+def _clustered(spark, sf_dir):
+    docs = _vectors(spark, sf_dir).withColumn("weight", F.lit(1))
+    index = _index(spark, sf_dir, "vectors", docs)
+    queries = docs.select(F.col("doc_id").alias("query_id"), "embedding")
+    near = vector_index.search(index, queries, docs, NEIGHBOURS, vector_index.probes_for(index, docs, NEIGHBOURS))
+    # a unit vector's distance is that of its cosine
+    near = near.withColumn("distance", F.sqrt(2 * F.greatest("distance", F.lit(0.0))))
+    return hierarchy.hierarchical_clusters(docs.select("doc_id", "weight"), near)
+
+
+def hierarchical_topics(spark, sf_dir):
+    """Every vector's cluster in the hierarchy and its strength there; neighbours come from the index."""
+    return _hierarchical(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "topic", "topic_prob")
+
+
+def hierarchical_topic_checks(spark, sf_dir):
+    """Broken rules of the clustering: sizes, order, numbers and strengths."""
+    found = _hierarchical(spark, sf_dir)
+    order = Window.partitionBy(F.lit(0)).orderBy("topic")
+    # one row per topic, each checked against the one before
+    topics = found.filter("topic >= 0").groupBy("topic").agg(F.count("*").alias("n"), F.max("topic_prob").alias("top"), F.min("doc_id").alias("lowest"))
+    topics = topics.withColumn("before", F.lag(F.struct("topic", (-F.col("n")).alias("n"), "lowest")).over(order))
+    this = F.struct((-F.col("n")).alias("n"), "lowest")
+    wrong = (F.col("n") < 15) | (F.abs(F.col("top") - 1) > 1e-9) | (F.col("topic") != F.coalesce(F.col("before.topic") + 1, F.lit(0))) | F.coalesce(
+        F.struct(F.col("before.n").alias("n"), F.col("before.lowest").alias("lowest")) > this, F.lit(False))
+    strength = (F.col("topic_prob") < 0) | (F.col("topic_prob") > 1) | ((F.col("topic") < 0) != (F.col("topic_prob") == 0))
+    points = found.select(F.col("doc_id"), F.lit(1).alias("point"), strength.alias("wrong"))
+    both = points.unionByName(topics.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("point"), wrong.alias("wrong")))
+    return both.agg(F.sum("point").alias("n_points"), F.count_distinct("doc_id").alias("n_ids"), F.count_if("wrong").alias("broken"))
+
+
+QUERIES = {f.__name__: f for f in [
+    indexed_passages, indexed_passages_blocked, index_recall, index_probes, index_cells, hierarchical_topics, hierarchical_topic_checks]}
 
 _EXACT_TEN = """
 q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
@@ -82,5 +128,6 @@ ORACLES = {
     "indexed_passages": KNOWLEDGE_SQL["nearest_passages"],
     "indexed_passages_blocked": f"WITH {SEARCH_CTE} SELECT query_id, collection, doc_id, round(distance, 6) AS distance, rank FROM found",
     "index_recall": f"WITH {_EXACT_TEN} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS recall_reached FROM ten",
+    "hierarchical_topic_checks": "SELECT count(*) AS n_points, count(DISTINCT vec_id) AS n_ids, CAST(0 AS BIGINT) AS broken FROM embeddings",
     "index_cells": "SELECT 'all' AS collection, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS id_sum, count(DISTINCT vec_id) AS n_ids FROM embeddings",
 }

@@ -72,9 +72,9 @@ def hashed_embeddings(spark, sf_dir):
 
 
 def topic_similarity(spark, sf_dir):
-    """Cosine of every label's centroid to the five most like it."""
+    """Cosine of every label's centroid to every label's."""
     middle = density.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return retrieve.most_similar(middle, "label", k=5).withColumn("similarity", F.round("similarity", 6))
+    return retrieve.similarity_matrix(middle, "label").withColumn("similarity", F.round("similarity", 6))
 
 
 def centroid_cosine(spark, sf_dir):
@@ -225,7 +225,7 @@ ORACLES = {
         pairs AS (SELECT a.label, b.label AS other_label, round(1 - list_cosine_similarity(a.c, b.c), 10) AS d
                   FROM centers a, centers b),
         placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY d, other_label) AS INTEGER) AS rank FROM pairs)
-        SELECT label, other_label, round(1 - d, 6) AS similarity, rank FROM placed WHERE rank <= 5""",
+        SELECT label, other_label, round(1 - d, 6) AS similarity, rank FROM placed""",
     "centroid_cosine": f"""WITH {_CENTER_CTE} SELECT vec_id,
         round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS topic_prob
         FROM embeddings JOIN centers USING (label)""",
