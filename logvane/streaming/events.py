@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logvane.operators.normalize import normalize, parse_lines
 from logvane.operators.rules import label
+from logvane.plans import topics
 from logvane.plans.detect import Detectors, score_with
 from logvane.session import work_path
 
@@ -58,6 +59,25 @@ def stream_scored(labeled: DataFrame, model: Detectors) -> DataFrame:
     return score_with(labeled, model)
 
 
+def assign_to_table(events: DataFrame, model_path: str, path: str, state: str, embedder=None):
+    """Start a stream that gives each micro-batch the topics of the newest stored model.
+
+    A version added meanwhile is used from the next micro-batch on. A batch that
+    is repeated after a failure replaces its own folder, so no event is doubled.
+    Returns the started query; its results are read from ``path``.
+    """
+    held: dict[str, topics.TopicModel] = {}
+
+    def assign(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = topics.latest_version(spark, model_path)
+        if "model" not in held or held["model"].version != newest:
+            held["model"] = topics.load_model(spark, model_path, newest)
+        topics.assign_topics(batch, held["model"], embedder).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(assign).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Process what is available into a Parquet table with exactly-once output, and read it."""
     spark = stream.sparkSession

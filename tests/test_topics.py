@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logvane.operators import density, embed, graph, keywords
+from logvane.plans import topics as T
 from logvane.plans.topics import save_topics, topic_overview, topic_stage
+from logvane.streaming.events import assign_to_table
 
 
 def brute_components(pairs):
@@ -131,3 +133,53 @@ def test_topic_stage(spark, tmp_path):
     assert topic_overview(found).count() == 3
     save_topics(weights, docs, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "centroids")).count() == 4
+
+
+EVENT_SCHEMA = "event_key long, message string, image_base string, target_object string"
+KINDS = ["network connection opened port", "registry value changed policy", "remote thread created process"]
+
+
+def _events(spark, keys, tail=""):
+    rows = [(i, f"{KINDS[i % 3]} {'alpha beta gamma delta epsilon'.split()[i % 5]}{tail} {i}", "a.exe", None) for i in keys]
+    return spark.createDataFrame(rows, EVENT_SCHEMA)
+
+
+@pytest.mark.parametrize("method", ["grid", "hierarchy"])
+def test_a_stored_model_gives_the_topics_of_its_run(spark, tmp_path, method):
+    events = _events(spark, range(300))
+    run = T.fit_topics(events, method=method, min_size=15)
+    path = str(tmp_path / "model")
+    assert T.latest_version(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        T.load_model(spark, path)
+    assert T.save_model(run, path) == 1
+    model = T.load_model(spark, path)
+    shown = ["event_key", "topic", "topic_prob", "topic_keywords"]
+    again = T.assign_topics(run.events, model)
+    assert sorted(map(tuple, again.select(*shown).collect())) == sorted(map(tuple, run.events.select(*shown).collect()))
+    assert {r["model_version"] for r in again.collect()} == {1}
+
+    # texts that the run has not seen take the topic with the nearest centroid, or none
+    new = T.assign_topics(_events(spark, range(30), tail=" omega").unionByName(spark.createDataFrame([(99, "zebra quokka violin", "z.exe", None)], EVENT_SCHEMA)), model)
+    got = {r["event_key"]: r for r in new.collect()}
+    assert len(got) == 31 and got[99]["topic"] == -1
+    assert all(got[k]["topic"] == -1 or 0 < got[k]["topic_prob"] <= 1 for k in got)
+
+
+def test_streamed_topics_equal_the_batch_and_follow_new_versions(spark, tmp_path):
+    path, landing, out = str(tmp_path / "model"), str(tmp_path / "in"), str(tmp_path / "out")
+    first = _events(spark, range(150))
+    T.save_model(T.fit_topics(first, min_size=10), path)
+    stream = lambda: assign_to_table(spark.readStream.schema(EVENT_SCHEMA).parquet(landing), path, out, str(tmp_path / "state")).awaitTermination()
+    first.write.parquet(landing)
+    stream()
+    shown = ["event_key", "topic", "topic_prob", "topic_keywords", "model_version"]
+    rows = lambda df: sorted(map(str, df.select(*shown).collect()))
+    assert rows(spark.read.parquet(out)) == rows(T.assign_topics(first, T.load_model(spark, path)))
+    # a second version is taken up when the stream goes on, and what was written stays
+    more = _events(spark, range(200, 320), tail=" sigma")
+    assert T.save_model(T.fit_topics(more, min_size=10), path) == 2
+    more.write.mode("append").parquet(landing)
+    stream()
+    assert rows(spark.read.parquet(out).filter("model_version = 2")) == rows(T.assign_topics(more, T.load_model(spark, path)))
+    assert rows(spark.read.parquet(out).filter("model_version = 1")) == rows(T.assign_topics(first, T.load_model(spark, path, 1)))
