@@ -1,8 +1,8 @@
 """All queries by name."""
 
-from workload import answers, indexes, knowledge, labeling, maps, models, scoring, stored_topics, streams, topics
+from workload import answers, autoencoders, indexes, knowledge, labeling, maps, models, scoring, stored_topics, streams, topics
 
-_PARTS = [labeling, scoring, models, topics, stored_topics, knowledge, indexes, maps, answers, streams]
+_PARTS = [labeling, scoring, models, autoencoders, topics, stored_topics, knowledge, indexes, maps, answers, streams]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
