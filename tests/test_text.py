@@ -53,8 +53,8 @@ def test_context(spark, access, shown):
         "domain string, granted_access long, anomaly_score double, message string"
     )
     assert spark.createDataFrame([row], schema).select(X.anomaly_context()).first()[0] == (
-        f"EventID: 10 | Hostname: h | Process: i.exe | TargetImage: t.exe | TargetObject: {'o' * 80} | "
-        f"Account: alice (CORP) | GrantedAccess: {shown} | IsolationForest score: -0.5123 | Message: {'m' * 400}"
+        f"EventID: 10 | Hostname: h | Process: i.exe | TargetImage: t.exe | TargetObject: {'o' * 100} | "
+        f"Account: alice (CORP) | GrantedAccess: {shown} | IsolationForest score: -0.5123 | Message: {'m' * 500}"
     )
 
 
