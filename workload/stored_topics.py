@@ -42,7 +42,9 @@ def _by_the_tables(spark, flagged, path, version):
         "vector", components.project(T.load_model(spark, path, version).axes, "embedding")).select(F.col("clean_text").alias("query_id"), F.col("vector").alias("embedding"))
     near = retrieve.nearest(vectors, centers.select(F.lit(0).alias("collection"), F.col("topic").alias("doc_id"), F.col("centroid").alias("embedding")), 1)
     near = near.join(centers.select(F.col("topic").alias("doc_id"), "least"), "doc_id")
-    given = near.select(F.col("query_id").alias("clean_text"), F.when(F.round(1 - F.col("distance"), 9) >= F.round("least", 9), F.col("doc_id")).otherwise(-1).cast("int").alias("topic"))
+    given = near.select(F.col("query_id").alias("clean_text"), F.when(F.round(1 - F.col("distance"), 9) >= F.round("least", 9), F.col("doc_id")).cast("int").alias("topic"))
+    # noise where no topic is near enough, or none exists
+    given = fresh.join(given, "clean_text", "left").select("clean_text", F.coalesce("topic", F.lit(-1)).alias("topic"))
     return cleaned.join(texts.select("clean_text", "topic").unionByName(given), "clean_text").select("event_key", F.col("topic").alias("wanted"))
 
 
