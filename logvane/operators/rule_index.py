@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvane.operators.rules import RULE_FIELDS
-from logvane.session import collect_bounded, materialize
+from logvane.session import collect_bounded, free_name, materialize
 
 #: characters of the piece a rule is filed under; shorter rules are filed under their whole text
 PIECE = 4
@@ -113,7 +113,7 @@ def match_indexed(events: DataFrame, index: DataFrame, fields: list[str] = RULE_
     hits = materialize(value_hits(field_values(events, fields), index), "rule_hits")
     matched, ids = events, []
     for name in fields:
-        of_event, of_value, found = (_free(events, f"{part}_{name}") for part in ("hit_event", "hit_value", "hit_ids"))
+        of_event, of_value, found = (free_name(events, f"{part}_{name}") for part in ("hit_event", "hit_value", "hit_ids"))
         side = hits.filter(F.col("field") == name).select(
             F.col("event_id").alias(of_event), F.col("value").alias(of_value), F.col("rule_ids").alias(found))
         same = F.col("event_id").cast("long").eqNullSafe(F.col(of_event)) & (
@@ -125,14 +125,6 @@ def match_indexed(events: DataFrame, index: DataFrame, fields: list[str] = RULE_
     return matched.withColumn("rule_ids", merged).drop(*ids)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one that the table does not have."""
-    taken = {column.lower() for column in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def candidate_counts(events: DataFrame, index: DataFrame, fields: list[str] = RULE_FIELDS) -> DataFrame:
     """One row: rule texts, distinct values, pairs that a join on event id and field would test, pairs that the index
     gives, and pairs that match."""

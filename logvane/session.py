@@ -111,3 +111,11 @@ def fence(df: DataFrame) -> DataFrame:
 def share(model) -> Broadcast:
     """Ship a fitted model, whose size does not grow with the data, to each executor once."""
     return SparkSession.active().sparkContext.broadcast(model)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of the table has."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
