@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvane.llm.text import small_batches
+from logvane.session import free_name
 
 # ---- fixed values: the base patterns, their least lengths and their order
 ASSIGN = re.compile(
@@ -326,7 +327,8 @@ def redact(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFr
     texts stay null.
     """
     small_batches(df.sparkSession)
-    new, old = F.col("_redacted"), F.col(f"`{text}`")
-    found = df.select("*", F.arrow_udf(_redact_batches, "string")(old).alias("_redacted"))
+    name = free_name(df, "redacted_text")
+    new, old = F.col(name), F.col(f"`{text}`")
+    found = df.select("*", F.arrow_udf(_redact_batches, "string")(old).alias(name))
     changed = {text: new, length: F.when(new != old, F.length(new).cast("long")).otherwise(F.col(f"`{length}`"))}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns])

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.session import collect_bounded, fence, materialize
+from logvane.session import collect_bounded, fence, free_name, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -169,6 +169,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with all their columns."""
-    found = materialize(matches(docs, benchmark, key, text).select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key")).distinct(), "benchmark_hits")
-    same = [F.col(f"`{key}`").eqNullSafe(F.col("_key")), F.xxhash64(F.col(f"`{text}`")) == F.col("_text_key")]
+    own, hashed = free_name(docs, "hit_key"), free_name(docs, "hit_text_key")
+    found = materialize(matches(docs, benchmark, key, text).select(F.col(key).alias(own), F.col("text_key").alias(hashed)).distinct(), "benchmark_hits")
+    same = [F.col(f"`{key}`").eqNullSafe(F.col(own)), F.xxhash64(F.col(f"`{text}`")) == F.col(hashed)]
     return docs.join(found, same, "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from logvane.llm.text import Texts, chunks, lowered, mix, shingles, small_batches, texts_of, word_hashes, words_of
 from logvane.operators.graph import connected_components
-from logvane.session import collect_bounded, materialize, share
+from logvane.session import collect_bounded, free_name, materialize, share
 
 SIZE = 3
 #: sets link where 100 * intersection >= PERCENT * union
@@ -518,6 +518,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     Texts without a word all stay. Rows that go are few or many; up to
     ``BROADCAST_ROWS`` of them are sent to all tasks, more are joined by a shuffle.
     """
+    own, hashed = free_name(df, "member_id"), free_name(df, "member_text_key")
     documents, classes = _components(df, key, text, size, percent)
     met = documents.filter("key is not null").join(classes.select("key", "component"), "key").groupBy("component", "id", "text_key").agg(
         F.count("*").alias("times")
@@ -525,16 +526,16 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     met = materialize(met, "join_members")
     first = met.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first"))
     placed = met.join(first, "component").select(
-        F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), "times",
+        F.col("id").alias(own), F.col("text_key").alias(hashed), "times",
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays"),
     ).filter("not stays or times > 1")
     touched = materialize(placed, "join_touched")
-    same = [F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")), F.xxhash64(F.col(f"`{text}`")) == F.col("_text_key")]
+    same = [F.col(f"`{key}`").cast("long").eqNullSafe(F.col(own)), F.xxhash64(F.col(f"`{text}`")) == F.col(hashed)]
     count = touched.count()
     hint = F.broadcast if count <= BROADCAST_ROWS else (lambda t: t)
-    untouched = df.join(hint(touched.select("_id", "_text_key")), same, "left_anti")
-    repeated = touched.filter("stays").select("_id", "_text_key")
+    untouched = df.join(hint(touched.select(own, hashed)), same, "left_anti")
+    repeated = touched.filter("stays").select(own, hashed)
     if repeated.isEmpty():
         return untouched
-    once = df.join(hint(repeated), same).dropDuplicates(["_id", "_text_key"]).drop("_id", "_text_key")
+    once = df.join(hint(repeated), same).dropDuplicates([own, hashed]).drop(own, hashed)
     return untouched.unionByName(once)

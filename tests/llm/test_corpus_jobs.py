@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from logvane.llm import attention_lm, bin_completion, simhash_windows, trie_join, warc_revisit
+from pyspark.sql import functions as F
+
+from logvane.llm import attention_lm, bin_completion, secret_lexer, simhash_windows, trie_join, warc_revisit
 from logvane.llm.queries import tokenizer_path
 from logvane.llm.subword import Subwords
 
@@ -93,6 +95,21 @@ def test_sizes_that_just_link():
                     assert a - need < trie_join.prefix_length(a, percent) and b - need < trie_join.prefix_length(b, percent)
 
 
+def clashing(df):
+    """The table with columns named like those used inside the stages."""
+    names = ["_id", "_key", "_text_key", "member_id", "member_text_key", "hit_key", "hit_text_key", "key", "n", "component", "stays", "_s", "redacted_text"]
+    return df.select("*", *[F.lit(name).alias(name) for name in names])
+
+
+def test_stages_take_columns_with_names_used_inside(odd, spark):
+    df = clashing(odd)
+    bench = spark.createDataFrame([(1, "the same text twice"), (3, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7")], "item_id long, text string")
+    for stage in (trie_join.keep_one, secret_lexer.redact, lambda t: simhash_windows.decontaminate(t, bench)):
+        out, plain = stage(df), stage(odd)
+        assert out.columns == df.columns and out.filter("member_id = 'member_id' and _key = '_key'").count() == plain.count() > 0
+    assert trie_join.join_components(df).count() == odd.count() and simhash_windows.verdicts(df, bench).count() == odd.count()
+
+
 def test_join_of_odd_rows(odd, none, spark):
     rows = trie_join.join_components(odd).collect()
     assert len(rows) == odd.count()
