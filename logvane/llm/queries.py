@@ -77,29 +77,28 @@ measured AS (
                  n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1)]) AS v
   FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+placed AS (SELECT doc_id, min(ord) AS place FROM measured JOIN rules r ON r.rule = measured.rule AND v >= cut GROUP BY doc_id),
+sure AS (SELECT lang, place FROM m LEFT JOIN placed USING (doc_id) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
 tried AS (
-  SELECT lang, r.rule, ord, cut, count(*) AS n, count(*) FILTER (v >= cut) AS k
-  FROM measured JOIN rules r ON r.rule = measured.rule
-  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+  SELECT lang, ord, count(*) AS n, count(*) FILTER (place <= ord) AS k FROM sure, (SELECT ord FROM rules) GROUP BY ALL),
 tests AS (
-  SELECT *, k < n * {share} AND (
-    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
-    FROM range(k + 1) t(i)) <= {error} / (4 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM tried)) AS pass
+  SELECT *, k < n * {risk} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))
+    FROM range(k + 1) t(i)) <= {error} / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM tried) AS pass
   FROM tried),
 chosen AS (
-  SELECT lang, rule, min(cut) AS cut FROM (
-    SELECT *, bool_and(pass) OVER (PARTITION BY lang, rule ORDER BY ord) AS certified FROM tests) WHERE certified GROUP BY ALL),
+  SELECT lang, max(ord) AS certified FROM (
+    SELECT *, bool_and(pass) OVER (PARTITION BY lang ORDER BY ord) AS holds FROM tests) WHERE holds GROUP BY lang),
 hits AS (
-  SELECT doc_id, min(CASE measured.rule WHEN 'symbols' THEN 1 WHEN 'dup_lines' THEN 2 WHEN 'repeats' THEN 3 ELSE 4 END) AS hit
-  FROM measured JOIN chosen c ON c.rule = measured.rule AND c.lang IS NOT DISTINCT FROM measured.lang
-  WHERE v >= c.cut GROUP BY doc_id)
+  SELECT m.doc_id, r.rule AS hit FROM m JOIN placed USING (doc_id) JOIN chosen c ON c.lang IS NOT DISTINCT FROM m.lang
+  JOIN rules r ON r.ord = place WHERE place <= certified)
 SELECT m.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND hit IS NULL AS kept,
-       CASE WHEN base_failed THEN 'base' ELSE ['symbols', 'dup_lines', 'repeats', 'capitals'][hit] END AS rejected_by
+       CASE WHEN base_failed THEN 'base' ELSE hit END AS rejected_by
 FROM m LEFT JOIN hits ON hits.doc_id = m.doc_id
 """.format(
-    rules=", ".join(f"('{name}', {i}, {cut})" for name, (_, cuts) in risk_rules.RULES.items() for i, cut in enumerate(cuts)),
-    share=risk_rules.RISK / len(risk_rules.RULES), error=risk_rules.ERROR,
+    rules=", ".join(f"('{name}', {i}, {cut})" for i, (name, cut) in enumerate(risk_rules.STEPS)),
+    risk=risk_rules.RISK, error=risk_rules.ERROR,
 )
 
 

@@ -134,6 +134,55 @@ def test_cutoffs_hold_the_risk_and_reject(spark):
     assert all(got[9_000 + i]["kept"] for i in range(5)) and got[9_101]["kept"] and got[9_100]["rejected_by"] == "base"
 
 
+def test_one_sequence_certifies_with_few_labels(spark):
+    """300 good texts certify settings for all rules together; 200 do not, and a rate above the risk ends the sequence."""
+    clean = " ".join(f"word{i} and{i % 7} thing{i % 5}" for i in range(30))
+    loud, capital = (" ".join(w + "%%%" for w in clean.split()), clean.upper())
+    rows = [(i, f"{clean} n{i}", "en") for i in range(300)] + [(1_000 + i, f"{clean} n{i}", "de") for i in range(200)]
+    # five per cent of the good French texts are in capitals, so the sequence ends where the rule on them would reject
+    rows += [(2_000 + i, f"{capital if i % 20 == 0 else clean} n{i}", "fr") for i in range(600)]
+    rows += [(5_000 + i, f"{loud} n{i}", lang) for i, lang in enumerate(["en", "de", "fr", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.filter("doc_id < 5000").selectExpr("doc_id", "1 as quality")
+    counted = risk_rules.text_counts(docs)
+    found = {r["stratum"]: (r["n"], r["certified"]) for r in risk_rules.certified_settings(counted, labels, "doc_id", "lang").collect()}
+    share = counted.filter("doc_id = 2000").selectExpr("n_capitals / word_chars as x").first()["x"]
+    ends = next(i for i, (name, cut) in enumerate(risk_rules.STEPS) if name == "capitals" and share >= cut)
+    assert found == {"en": (300, len(risk_rules.STEPS) - 1), "de": (200, -1), "fr": (600, ends - 1)}
+    got = {r["doc_id"]: r["rejected_by"] for r in risk_rules.apply_rules(docs, labels).filter("doc_id >= 5000").collect()}
+    assert got[5_000] == "symbols" and got[5_001] is None and got[5_003] is None
+
+
+def test_settings_grow_stricter():
+    for name, (_, cuts) in risk_rules.RULES.items():
+        assert [cut for rule, cut in risk_rules.STEPS if rule == name] == cuts == sorted(cuts, reverse=True)
+
+
+def test_the_promised_bound_on_simulated_holdouts():
+    """Of many drawn holdouts, at most the allowed share certifies a setting whose true rate is above the risk."""
+    rng = np.random.default_rng(5)
+    n, limit = 600, risk_rules.ERROR / 4
+    log_choose = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(n + 1)])
+    i = np.arange(n + 1)
+    tail = np.cumsum(np.exp(log_choose + i * math.log(risk_rules.RISK) + (n - i) * math.log1p(-risk_rules.RISK)))
+    # true false rejection rates of a sequence of settings; those above the risk must not be certified
+    rates = np.array([0.0, 0.002, 0.005, 0.01, 0.0201, 0.03, 0.05])
+    wrong = 0
+    for _ in range(20_000):
+        k = np.searchsorted(np.sort(rng.random(n)), rates)
+        holds = (k < n * risk_rules.RISK) & (tail[k] <= limit)
+        certified = len(rates) if holds.all() else int(np.argmin(holds))
+        wrong += certified > 4
+    assert wrong / 20_000 <= limit
+
+
+def test_rules_take_columns_with_names_used_inside(odd, spark):
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    df = odd.selectExpr("*", "'w' as _w", "'k' as kept", "'s' as stratum", "'x' as whole", "5 as place", "7 as certified", "'h' as _h")
+    out = risk_rules.apply_rules(df, labels)
+    assert out.count() == df.count() and out.filter("_w = 'w' and stratum = 's' and certified = 7 and whole = 'x'").count() == df.count()
+
+
 def test_rules_on_odd_and_empty_tables(odd, none, spark):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1)], "doc_id long, quality int")
     assert risk_rules.apply_rules(odd, labels).count() == odd.count()
