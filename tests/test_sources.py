@@ -26,8 +26,50 @@ def test_archive_members(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             z.writestr("logs/x.json", '{"EventID": 1}\n{"EventID": 2}\n')
             z.writestr("readme.md", "no")
-    found = archives.expand_archives(archives.read_archives(spark, str(tmp_path)))
-    assert found.count() == 4 and {r["member"] for r in found.collect()} == {"logs/x.json"}
+    found = archives.read_archives(spark, str(tmp_path)).collect()
+    assert len(found) == 4 and {r["member"] for r in found} == {"logs/x.json"}
+    assert sorted((r["number"], r["line"], r["error"]) for r in found)[::2] == [(0, '{"EventID": 1}', None), (1, '{"EventID": 2}', None)]
+
+
+def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
+    lines = {f"logs/{i}.json": [f"{i}-{j}" for j in range(50)] for i in range(40)}
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, held in lines.items():
+            z.writestr(name, "\n".join(held))
+    rows = archives.read_archives(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["member"], r["number"], r["line"]) for r in rows} == {(n, i, x) for n, held in lines.items() for i, x in enumerate(held)}
+    assert len(rows) == 2000 and len({r["task"] for r in rows}) > 1
+
+
+def test_faults_of_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "LINES_PER_BATCH", 3)
+    (tmp_path / "a b" / "deep").mkdir(parents=True)
+    good = tmp_path / "a b" / "deep" / "good.zip"
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("é.json", b"one\r\n\n\xff\nlast")
+        z.writestr("empty.json", b"")
+        z.mkdir("folder.json")
+    whole = good.read_bytes()
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "none.zip").write_bytes(b"")
+    with zipfile.ZipFile(tmp_path / "void.zip", "w"):
+        pass
+    # a byte of the content changed: found by the checksum when the member has been read
+    (tmp_path / "damaged.zip").write_bytes(whole.replace(b"last", b"lost", 1))
+    rows = archives.read_archives(spark, str(tmp_path)).collect()
+    shown = {(r["path"].rsplit("/", 1)[-1], r["member"], r["number"], r["line"]) for r in rows if r["error"] is None}
+    assert {x[2:] for x in shown if x[0] == "good.zip"} == {(0, "one\r"), (1, ""), (2, "\ufffd"), (3, "last")}
+    faults = {r["path"].rsplit("/", 1)[-1]: (r["member"], r["error"]) for r in rows if r["error"] is not None}
+    # a file of zero bytes is not listed
+    assert set(faults) == {"cut.zip", "damaged.zip"} and faults["cut.zip"][0] is None
+    assert faults["damaged.zip"][0] == "é.json" and "CRC" in faults["damaged.zip"][1]
+    listed = archives.list_members(spark, str(tmp_path)).filter("path like '%good.zip'").collect()
+    assert sorted((r["member"], r["bytes"]) for r in listed) == [("empty.json", 0), ("é.json", 12)]
+
+
+def test_no_archives(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("no archive")
+    assert archives.read_archives(spark, str(tmp_path)).count() == 0
 
 
 def test_records(spark, tmp_path):

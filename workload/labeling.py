@@ -9,6 +9,7 @@ from logvane.operators import rules as R
 from logvane.operators import summaries as S
 from logvane.sources import archives, ndjson, tables
 from logvane.session import work_path
+from workload.packing import ARCHIVES, MEMBERS, packed_lines
 from workload.raw_events import HITS_CTE, LABELED_CTE, NORM_CTE, labeled, normalized, raw_lines
 
 NORM_LIST = ", ".join(f'"{c}"' for c in ["event_key", "event_ts", *N.NORMALIZED_COLUMNS, "channel_bucket"])
@@ -38,14 +39,23 @@ def ndjson_files(spark, sf_dir):
 
 
 def archive_members(spark, sf_dir):
-    """Pack the lines into zip archives, expand the members, parse and count."""
-    packed = archives.pack_lines(raw_lines(spark, sf_dir))
-    parsed = N.parse_lines(archives.expand_archives(packed))
-    return N.normalize(parsed).groupBy("event_id").agg(
+    """The lines of all members of the archives in a folder, parsed and counted."""
+    lines = archives.read_archives(spark, packed_lines(spark, sf_dir)).filter("error is null")
+    return N.normalize(N.parse_lines(lines)).groupBy("event_id").agg(
         F.count("*").alias("n_events"), F.sum("message_len").alias("sum_len")
     )
 
 
+def archive_directory(spark, sf_dir):
+    """Every member of every archive with its size as listed, its lines as read, and the faults met."""
+    members = archives.list_members(spark, packed_lines(spark, sf_dir))
+    lines = archives.read_members(members).groupBy("path", "member").agg(
+        F.count("line").alias("n_lines"), F.sum(F.length("line") + 1).alias("n_chars"), F.count("error").alias("n_faults"))
+    return members.join(lines, ["path", "member"], "left").select(
+        F.regexp_extract("path", r"[^/]+$", 0).alias("archive"), "member", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        (F.col("bytes") == F.coalesce("n_chars", "bytes")).alias("whole"), F.coalesce("n_faults", F.lit(0)).alias("n_faults"))
+
+
 def stage_table(spark, sf_dir):
     """Labelled events written as a stage table, overwritten, read back with pruned columns."""
     path = work_path(spark, "labeled")
@@ -113,7 +123,8 @@ def onehot_top_events(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        normalize_events, bad_line_counts, quarantined_lines, ndjson_files, archive_members, stage_table,
+        normalize_events, bad_line_counts, quarantined_lines, ndjson_files, archive_members, archive_directory,
+        stage_table,
         json_records, rule_labels, rule_labels_strict, rule_tiers, rule_techniques, rule_matches, class_balance,
         label_breakdown, onehot_top_events,
     ]
@@ -128,6 +139,10 @@ ORACLES = {
         CAST(sum(message_len) AS BIGINT) AS sum_len FROM norm GROUP BY ALL""",
     "archive_members": f"""WITH {NORM_CTE} SELECT event_id, count(*) AS n_events,
         CAST(sum(message_len) AS BIGINT) AS sum_len FROM norm GROUP BY ALL""",
+    "archive_directory": f"""
+        SELECT 'day-' || (event_id % {ARCHIVES}) || '.zip' AS archive, 'logs/' || (event_id // {ARCHIVES} % {MEMBERS}) || '.json' AS member,
+          count(*) AS n_lines, true AS whole, CAST(0 AS BIGINT) AS n_faults FROM events GROUP BY ALL
+        UNION ALL SELECT DISTINCT 'day-' || (event_id % {ARCHIVES}) || '.zip', 'README.txt', 0, true, 0 FROM events""",
     "stage_table": f"""WITH {LABELED_CTE} SELECT event_key, event_id, hostname FROM labeled WHERE ground_truth = 1""",
     "json_records": f"WITH {NORM_CTE} SELECT event_key, hostname, message, granted_access FROM norm",
     "rule_labels": f"WITH {LABELED_CTE} SELECT event_key, ground_truth FROM labeled",
