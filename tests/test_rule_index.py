@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from plans import plan_of
 
+from logvane import session
 from logvane.operators import rule_index
 from logvane.operators import rules as R
 
@@ -89,3 +90,33 @@ def test_plan_multiplies_no_event(spark):
     df = spark.createDataFrame(ROWS, EVENTS)
     plan = plan_of(rule_index.match_indexed(df, rule_index.index_rules(R.rules_frame(spark), df)))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_long_pieces_spare_candidates_where_short_ones_are_shared(spark):
+    events = [event(i, 1, target_object=f"{i % 100:04d} {i // 100:04d} common text of all") for i in range(2000)]
+    rules = [(i, 1, "T", 1, "target_object", f"{i % 100:04d} {i // 100:04d} common text") for i in range(2000)]
+    df, table = spark.createDataFrame(events, EVENTS), spark.createDataFrame(rules, R.RULE_SCHEMA)
+    values = rule_index.field_values(df, ["target_object"])
+    short = rule_index.index_rules(table, df, ["target_object"], (rule_index.PIECE,))
+    counts = rule_index.candidate_counts(df, short, ["target_object"]).first()
+    assert counts["n_candidates"] == rule_index.candidates(values, short).count() > 20_000 and counts["n_matches"] == 2000
+    assert rule_index.candidates(values, rule_index.index_rules(table, df, ["target_object"])).count() < 4_000
+
+
+def test_large_stored_sides_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 3)
+    df = spark.createDataFrame(ROWS, EVENTS)
+    index = rule_index.index_rules(spark.createDataFrame(RULES, R.RULE_SCHEMA), df)
+    found = rule_index.candidates(rule_index.field_values(df, R.RULE_FIELDS), index)
+    # the bitmap alone, which has a fixed bound
+    assert plan_of(found).count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan_of(found)
+    assert matched(spark, ROWS, RULES) == {1: [1, 2, 2], 2: [7, 8], 3: [7, 8], 4: [], 5: [1, 2, 2], 6: [3, 4, 5, 12], 7: [3]}
+
+
+def test_totals_are_those_of_the_lists(spark):
+    df = spark.createDataFrame(ROWS, EVENTS)
+    index = rule_index.index_rules(spark.createDataFrame(RULES, R.RULE_SCHEMA), df, totals=True)
+    assert "rule_ids" not in index.columns
+    found = {r["key"]: (r["n_rules"], r["first_rule"], r["rule_sum"]) for r in rule_index.match_indexed(df, index).collect()}
+    lists = matched(spark, ROWS, RULES)
+    assert found == {key: (len(ids), min(ids, default=None), sum(ids)) for key, ids in lists.items()}
