@@ -33,18 +33,15 @@ def indexed_rule_matches(spark, sf_dir):
 def derived_rule_matches(spark, sf_dir):
     """As many rules as events, each event with the number, sum and smallest of the rules it matches."""
     events = normalized(spark, sf_dir)
-    matched = rule_index.match_indexed(events, rule_index.index_rules(derived_rules(events), events, FIELDS), FIELDS)
-    ids = F.col("rule_ids")
-    return matched.select(
-        "event_key", F.size(ids).cast("long").alias("n_rules"), F.get(ids, F.lit(0)).cast("long").alias("first_rule"),
-        F.aggregate(ids, F.lit(0).cast("long"), lambda total, i: total + i).alias("rule_sum"),
-    )
+    index = rule_index.index_rules(derived_rules(events), events, FIELDS, totals=True)
+    return rule_index.match_indexed(events, index, FIELDS).select("event_key", "n_rules", "first_rule", "rule_sum")
 
 
 def rule_index_candidates(spark, sf_dir):
     """What the index spares: pairs of rules and values that a join would test, that the index gives, and that match."""
     events = normalized(spark, sf_dir)
-    return rule_index.candidate_counts(events, rule_index.index_rules(derived_rules(events), events, ["message"]), ["message"])
+    index = rule_index.index_rules(derived_rules(events), events, ["message"], (rule_index.PIECE,))
+    return rule_index.candidate_counts(events, index, ["message"])
 
 
 QUERIES = {f.__name__: f for f in [indexed_rule_matches, derived_rule_matches, rule_index_candidates]}
