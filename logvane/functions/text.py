@@ -44,9 +44,11 @@ def clean_tokens(text: Column, stop_words: list[str] = STOP_WORDS, noise: list[s
     and timestamps need no rule of their own: only letters are kept.
     """
     # (?U): blanks and word boundaries as Unicode defines them
-    text = F.regexp_replace(text, "(?U)" + PATH_PATTERN, r" $1 ")
-    text = F.regexp_replace(text, GUID_PATTERN, " ")
-    text = F.regexp_replace(text, "(?U)" + HEX_PATTERN, " hexval ")
+    replaced = F.regexp_replace(text, "(?U)" + PATH_PATTERN, r" $1 ")
+    replaced = F.regexp_replace(replaced, GUID_PATTERN, " ")
+    replaced = F.regexp_replace(replaced, "(?U)" + HEX_PATTERN, " hexval ")
+    # a text without these holds no path, GUID or hex number, and replacing makes none: what is left of a text stays as it was
+    text = F.when(text.contains(":\\") | text.contains("{") | text.contains("0x"), replaced).otherwise(text)
     words = F.split(F.lower(F.regexp_replace(text, "[^a-zA-Z]+", " ")), " ")
     dropped = [w for w in dict.fromkeys([*stop_words, *noise]) if len(w) >= MIN_WORD]
     return F.filter(words, lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(dropped))

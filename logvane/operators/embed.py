@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -30,14 +31,24 @@ def hashed_slots(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(numbers, slot)
 
 
+def _signed_slot(token: str, dimensions: int) -> int:
+    """``hashed_slots`` of one token."""
+    number = int(hashlib.md5(token.encode()).hexdigest()[:9], 16)
+    place = number // 16 % dimensions + 1
+    return place if number % 16 < 8 else -place
+
+
 def hashed_vector(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
     """Unit vector of signed token counts; all zero for a document without tokens."""
 
     @F.arrow_udf("array<double>")
-    def collect(slots: pa.Array) -> pa.Array:
-        rows = len(slots)
-        lengths = np.diff(slots.offsets.to_numpy())
-        signed = slots.flatten().to_numpy(zero_copy_only=False)
+    def collect(words: pa.Array) -> pa.Array:
+        rows = len(words)
+        lengths = np.diff(words.offsets.to_numpy())
+        # a batch repeats its words: each distinct one is hashed once
+        coded = words.flatten().dictionary_encode()
+        slots = np.array([_signed_slot(word, dimensions) for word in coded.dictionary.to_pylist()], dtype=np.int64)
+        signed = slots[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, dtype=np.int64)
         row = np.repeat(np.arange(rows), lengths)
         matrix = np.bincount(
             row * dimensions + np.abs(signed) - 1, weights=np.sign(signed), minlength=rows * dimensions
@@ -45,7 +56,7 @@ def hashed_vector(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return from_matrix(matrix / np.where(norms > 0, norms, 1.0))
 
-    return collect(hashed_slots(tokens, dimensions))
+    return collect(tokens)
 
 
 def embed(

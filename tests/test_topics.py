@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from plans import plan_of
 from pyspark.sql import functions as F
 
 from logvane.operators import density, embed, graph, keywords
@@ -183,3 +184,15 @@ def test_streamed_topics_equal_the_batch_and_follow_new_versions(spark, tmp_path
     stream()
     assert rows(spark.read.parquet(out).filter("model_version = 2")) == rows(T.assign_topics(more, T.load_model(spark, path)))
     assert rows(spark.read.parquet(out).filter("model_version = 1")) == rows(T.assign_topics(first, T.load_model(spark, path, 1)))
+
+
+def test_vectors_hash_each_word_of_a_batch_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["b", "a", "é", "a"]), (2, []), (3, None), (4, ["a"] * 500)], "id int, tokens array<string>")
+    vectors = df.select("id", embed.hashed_vector(F.col("tokens"), 16).alias("v"), embed.hashed_slots(F.col("tokens"), 16).alias("s"))
+    # Spark's part of the work is no longer one MD5 per token
+    assert "md5" not in plan_of(vectors.select("v"))
+    for row in vectors.collect():
+        counts = np.zeros(16)
+        for slot in row["s"] or []:
+            counts[abs(slot) - 1] += np.sign(slot)
+        assert np.allclose(row["v"], counts / (np.linalg.norm(counts) or 1.0))
