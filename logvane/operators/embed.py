@@ -61,10 +61,14 @@ def hashed_vector(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def embed(
     df: DataFrame, text_col: str, name: str = "embedding", embedder: Callable[[Column], Column] | None = None,
-    dimensions: int = DIMENSIONS,
+    dimensions: int = DIMENSIONS, tokens: str | None = None,
 ) -> DataFrame:
-    """Add a vector per document; ``embedder`` maps the text column to an array<double> column."""
-    vector = embedder(F.col(text_col)) if embedder else hashed_vector(clean_tokens(F.col(text_col)), dimensions)
+    """Add a vector per document; ``embedder`` maps the text column to an array<double> column.
+
+    ``tokens`` names a column that holds the text's clean words already, so that they are not made twice.
+    """
+    words = F.col(tokens) if tokens else clean_tokens(F.col(text_col))
+    vector = embedder(F.col(text_col)) if embedder else hashed_vector(words, dimensions)
     return df.withColumn(name, vector)
 
 

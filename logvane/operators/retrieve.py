@@ -13,10 +13,13 @@ from pyspark.sql.window import Window
 from logvane.functions.text import clean_tokens
 from logvane.session import TooLarge, collect_bounded, share
 
-# up to this many queries are shipped to every executor; one Arrow batch then gives a distance matrix of 160 MB
+# up to this many queries are shipped to every executor
 MAX_SHARED_QUERIES = 2_000
 BLOCK_QUERIES = 2_000
 BLOCK_DOCS = 20_000
+# distances held at once (16 MB), and rows compared at once
+MATRIX_VALUES = 2_000_000
+ROWS_TOGETHER = 5_000
 SEPARATOR = "\n\n---\n\n"
 # similarities closer than this are ties, resolved by document id
 DIGITS = 10
@@ -30,32 +33,58 @@ class _TopK:
         self.vectors = _unit(vectors) if metric == "cosine" else vectors
         # per collection: number of the query, distance and document, the best k of each query
         self.best: dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.waiting: dict[object, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-    def _distances(self, rows: np.ndarray) -> np.ndarray:
+    def _near(self, rows: np.ndarray, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of queries, of rows, and distances: the k nearest of every asked query and all ties with the last."""
+        found = []
         if self.metric == "cosine":
-            return np.round(1.0 - self.vectors @ _unit(rows).T, DIGITS)
-        squared = (self.vectors**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2.0 * self.vectors @ rows.T
-        return np.round(np.sqrt(np.maximum(squared, 0.0)), DIGITS)
-
-    def add(self, collections: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        for name in pd.unique(collections):
-            chosen = collections == name
-            own_ids, distances = ids[chosen], self._distances(rows[chosen])
-            if distances.shape[1] > self.k:
+            rows = _unit(rows)
+        own = (rows**2).sum(1)
+        every = np.arange(len(self.vectors)) if asked is None else asked
+        # a matrix of all queries and rows may be far larger than both
+        for part in np.array_split(every, max(1, -(-len(every) * len(rows) // MATRIX_VALUES))):
+            mine = self.vectors[part]
+            if self.metric == "cosine":
+                away = 1.0 - mine @ rows.T
+            else:
+                away = np.sqrt(np.maximum((mine**2).sum(1)[:, None] + own[None, :] - 2.0 * mine @ rows.T, 0.0))
+            if away.shape[1] > self.k:
                 # ties at the limit all stay: the document decides between them
-                limit = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
-                query, at = np.nonzero(distances <= limit[:, None])
+                limit = np.partition(away, self.k - 1, axis=1)[:, self.k - 1]
+                query, at = np.nonzero(away <= limit[:, None] + 2 * 10.0**-DIGITS)
             else:
-                query, at = (x.ravel() for x in np.indices(distances.shape))
-            found = query, distances[query, at], own_ids[at]
-            if name in self.best:
-                found = tuple(np.concatenate(pair) for pair in zip(self.best[name], found))
-            order = np.lexsort((found[2], found[1], found[0]))
-            query, near, docs = (x[order] for x in found)
-            rank = np.arange(len(query)) - np.searchsorted(query, query)
-            self.best[name] = tuple(x[rank < self.k] for x in (query, near, docs))
+                query, at = (x.ravel() for x in np.indices(away.shape))
+            found.append((part[query], at, np.round(away[query, at], DIGITS)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def add(self, collections: np.ndarray, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Compare rows with all queries, or with those of the numbers ``asked``."""
+        for name in pd.unique(collections):
+            chosen = np.flatnonzero(collections == name)
+            # few rows at a time, or ties of many alike rows would be held together
+            for start in range(0, len(chosen), ROWS_TOGETHER):
+                part = chosen[start : start + ROWS_TOGETHER]
+                query, at, near = self._near(rows[part], asked)
+                waiting = self.waiting.setdefault(name, [])
+                waiting.append((query, near, ids[part][at]))
+                if sum(len(w[0]) for w in waiting) > MATRIX_VALUES // 4 + 2 * self.k * len(self.vectors):
+                    self._fold(name)
+
+    def _fold(self, name: object) -> None:
+        """The best of what a collection has and what waits for it."""
+        waiting = self.waiting.pop(name, [])
+        if name in self.best:
+            waiting.append(self.best[name])
+        found = tuple(np.concatenate(x) for x in zip(*waiting))
+        order = np.lexsort((found[2], found[1], found[0]))
+        query, near, docs = (x[order] for x in found)
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        self.best[name] = tuple(x[rank < self.k] for x in (query, near, docs))
 
     def frame(self) -> pd.DataFrame:
+        for name in list(self.waiting):
+            self._fold(name)
         parts = [
             pd.DataFrame({"query_id": self.query_ids[query], "collection": name, "doc_id": docs, "distance": near})
             for name, (query, near, docs) in self.best.items()

@@ -23,21 +23,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logvane.operators.retrieve import _TopK, _matrix, _unit, nearest
+from logvane.functions.arrays import to_matrix
+from logvane.operators.retrieve import MATRIX_VALUES, _TopK, _matrix, _unit, nearest
 from logvane.session import TooLarge, collect_bounded, share
 
 #: centroids are held by every task: at 384 dimensions about 50 MB
 MAX_CELLS = 16_384
 ROWS_PER_CELL = 2_000
 FIT_ROWS, FIT_ROUNDS = 200_000, 10
-#: queries that are shipped to every task, and sizes of blocks beyond
-MAX_SHARED, BLOCK_QUERIES, BLOCK_ROWS = 2_000, 2_000, 20_000
+#: queries that are shipped to every task, and coordinates in a block of queries or of rows beyond (50,000 vectors of 64)
+MAX_SHARED, BLOCK_VALUES = 2_000, 3_200_000
+BLOCK_QUERIES = BLOCK_ROWS = 50_000
 #: queries by which the number of probes is measured
 MEASURED = 500
 
@@ -58,8 +62,16 @@ class VectorIndex:
 def _ranked_cells(vectors: np.ndarray, index_centroids: np.ndarray, probes: int, metric: str) -> np.ndarray:
     """The nearest ``probes`` cells of every vector, nearest first; ties go to the smaller cell."""
     rows = _unit(vectors) if metric == "cosine" else vectors
-    squared = (index_centroids**2).sum(1)[None, :] - 2.0 * rows @ index_centroids.T
-    return np.argsort(np.round(squared, 10), axis=1, kind="stable")[:, :probes]
+    own, found = (index_centroids**2).sum(1)[None, :], np.empty((len(rows), probes), np.int32)
+    # a matrix of all rows and cells may be far larger than both
+    together = max(1, MATRIX_VALUES // len(index_centroids))
+    for start in range(0, len(rows), together):
+        squared = np.round(own - 2.0 * rows[start : start + together] @ index_centroids.T, 10)
+        if probes == 1:
+            found[start : start + together, 0] = squared.argmin(axis=1)
+        else:
+            found[start : start + together] = np.argsort(squared, axis=1, kind="stable")[:, :probes]
+    return found
 
 
 def _cell_column(centroids: np.ndarray, metric: str):
@@ -69,7 +81,7 @@ def _cell_column(centroids: np.ndarray, metric: str):
     def cell(column: pd.Series) -> pd.Series:
         if not len(column):
             return pd.Series([], dtype="int32")
-        return pd.Series(_ranked_cells(_matrix(column), shared.value, 1, metric)[:, 0].astype(np.int32))
+        return pd.Series(_ranked_cells(_matrix(column), shared.value, 1, metric)[:, 0])
 
     return cell
 
@@ -78,7 +90,7 @@ def build_index(
     docs: DataFrame, path: str, metric: str = "cosine", cells: int | None = None, collection: str = "collection", doc_id: str = "doc_id",
     vector: str = "embedding", fit_rows: int = FIT_ROWS, seed: int = 7,
 ) -> VectorIndex:
-    """Fit centroids on at most ``fit_rows`` rows, chosen by the hash of their vectors, and store every row by its cell."""
+    """Fit centroids on about ``fit_rows`` rows, chosen by the hash of id and vector, and store every row by its cell."""
     spark = docs.sparkSession
     rows = docs.select(F.col(collection).alias("collection"), F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector"))
     count, missing = rows.agg(F.count("*"), F.count_if(F.col("vector").isNull())).first()
@@ -87,10 +99,14 @@ def build_index(
     wanted = min(cells or max(1, round(count / ROWS_PER_CELL), round(count**0.5 / 2)), MAX_CELLS, max(count, 1))
     centroids = np.empty((0, 0))
     if count:
-        drawn = rows if count <= fit_rows else rows.orderBy(F.xxhash64("vector")).limit(fit_rows)
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-        scaled = F.when(length > 0, F.transform("vector", lambda x: x / length)).otherwise(F.col("vector"))
-        features = drawn.select(array_to_vector(scaled if metric == "cosine" else F.col("vector")).alias("features"))
+        # a filter: no task holds or sorts the drawn rows
+        drawn = rows if count <= fit_rows else rows.filter(F.pmod(F.xxhash64("collection", "doc_id", "vector"), F.lit(count)) < fit_rows)
+        if count > fit_rows and drawn.isEmpty():
+            drawn = rows
+        features = drawn.select(array_to_vector("vector").alias("features"))
+        if metric == "cosine":
+            # lengths in an expression on arrays would be found anew for every coordinate
+            features = Normalizer(inputCol="features", outputCol="scaled").transform(features).select(F.col("scaled").alias("features"))
         fitted = KMeans(k=wanted, seed=seed, maxIter=FIT_ROUNDS).fit(features) if wanted > 1 else None
         if fitted is None:
             first = rows.first()["vector"]
@@ -145,55 +161,143 @@ def search(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Asked:
+    """Which queries probe a cell, from ``(cells, queries)`` of equal lengths; every query if there are no such lists."""
+
+    def __init__(self, cells: np.ndarray | None, queries: np.ndarray | None):
+        self.cells = cells
+        if cells is not None:
+            order = np.argsort(cells, kind="stable")
+            self.cells, self.queries = cells[order], queries[order]
+
+    def of(self, cell: int) -> np.ndarray | None:
+        if self.cells is None:
+            return None
+        start, end = np.searchsorted(self.cells, [cell, cell + 1])
+        return self.queries[start:end]
+
+
+def _add(top: _TopK, asked: _Asked, stored: pd.DataFrame) -> None:
+    """Compare stored rows with the queries that probe their cells."""
+    if asked.cells is None:
+        top.add(stored["collection"].to_numpy(), stored["doc_id"].to_numpy(), _matrix(stored["vector"]))
+        return
+    for cell, part in stored.groupby("cell"):
+        mine = asked.of(cell)
+        if len(mine):
+            top.add(part["collection"].to_numpy(), part["doc_id"].to_numpy(), _matrix(part["vector"]), mine)
+
+
 def _search_shared(index, rows, like, k, probes, schema, spark):
     if not rows:
         return spark.createDataFrame([], schema)
     ids, vectors = np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], float)
-    probed = _ranked_cells(vectors, index.centroids, probes, index.metric)
-    by_cell = {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
-    shared, metric = share((ids, vectors, by_cell)), index.metric
+    if probes < index.cells:
+        probed = _ranked_cells(vectors, index.centroids, probes, index.metric)
+        asked, wanted = _Asked(probed.ravel(), np.repeat(np.arange(len(ids)), probes)), np.unique(probed).tolist()
+    else:
+        asked, wanted = _Asked(None, None), None
+    shared, metric = share((ids, vectors, asked)), index.metric
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, by_cell = shared.value
-        tops: dict[int, _TopK] = {}
+        ids, vectors, asked = shared.value
+        top = _TopK(ids, vectors, k, metric)
         for batch in batches:
-            for cell, part in batch.groupby("cell"):
-                if cell not in tops:
-                    tops[cell] = _TopK(ids[by_cell[cell]], vectors[by_cell[cell]], k, metric)
-                tops[cell].add(part["collection"].to_numpy(), part["doc_id"].to_numpy(), _matrix(part["vector"]))
-        for top in tops.values():
-            yield top.frame()
-
-    return stored_rows(spark, index, like, sorted(by_cell)).mapInPandas(compare, schema)
+            if len(batch):
+                _add(top, asked, batch)
+        yield top.frame()
+
+    return stored_rows(spark, index, like, wanted).mapInPandas(compare, schema)
+
+
+def _by_nearness(centroids: np.ndarray) -> np.ndarray:
+    """The cells in an order in which near ones stand together: halves along the widest direction, halved again."""
+    done, pending = [], [np.arange(len(centroids))]
+    while pending:
+        cells = pending.pop()
+        if len(cells) < 3:
+            done.append(cells)
+            continue
+        away = centroids[cells] - centroids[cells].mean(axis=0)
+        order = cells[np.argsort(away @ np.linalg.eigh(away.T @ away)[1][:, -1], kind="stable")]
+        pending += [order[len(order) // 2 :], order[: len(order) // 2]]
+    return np.concatenate(done)
+
+
+def _regions(index: VectorIndex, stored: DataFrame, tasks: int) -> pd.DataFrame:
+    """``cell, region, d_blocks``: neighbouring cells in regions of bounded size; a larger cell is a region of several blocks."""
+    counts = {r["cell"]: r["n"] for r in collect_bounded(stored.groupBy("cell").agg(F.count("*").alias("n")), index.cells, "cells")}
+    most = min(BLOCK_ROWS, max(1, BLOCK_VALUES // index.centroids.shape[1]), max(ROWS_PER_CELL, -(-sum(counts.values()) // tasks)))
+    rows, region, held = [], 0, 0
+    for cell in _by_nearness(index.centroids).tolist():
+        n = counts.get(cell, 0)
+        if held and held + n > most:
+            region, held = region + 1, 0
+        held += n
+        rows.append((cell, region, max(1, -(-n // most))))
+    return pd.DataFrame(rows, columns=["cell", "region", "d_blocks"])
 
 
 def _search_blocked(index, q, like, k, probes, schema, kinds):
-    shared, metric = share(index.centroids), index.metric
-
-    @F.pandas_udf("array<int>")
-    def cells(column: pd.Series) -> pd.Series:
-        return pd.Series(list(_ranked_cells(_matrix(column), shared.value, probes, metric).astype(np.int32))) if len(column) else pd.Series([])
-
-    asked = q.select("query_id", "vector", F.explode(cells("vector")).alias("cell"))
-    stored = stored_rows(q.sparkSession, index, like)
-    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("q_blocks")).join(
-        stored.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("d_blocks")), "cell"
-    )
+    spark, metric, every = q.sparkSession, index.metric, probes >= index.cells
+    stored = stored_rows(spark, index, like)
+    regions = _regions(index, stored, 2 * spark.sparkContext.defaultParallelism)
+    of_cell = np.zeros(index.cells, np.int32)
+    of_cell[regions["cell"]] = regions["region"]
+    shared = share((index.centroids, of_cell))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every query once for each region that it probes, with the cells there."""
+        centroids, of_cell = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            cells = _ranked_cells(to_matrix(batch.column("vector")), centroids, probes, metric)
+            order = np.argsort(of_cell[cells], axis=1, kind="stable")
+            cells = np.take_along_axis(cells, order, axis=1).ravel()
+            row, region = np.repeat(np.arange(len(batch)), probes), of_cell[cells]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (region[1:] != region[:-1])])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(cells)].astype(np.int32)), pa.array(cells))
+            if every:
+                lists = pa.nulls(len(starts), lists.type)
+            # a query's vector is repeated for each region: a few hundred queries at a time
+            taken, named = row[starts], region[starts]
+            for at in range(0, len(starts), 10_000):
+                some = slice(at, at + 10_000)
+                copies = batch.take(pa.array(taken[some]))
+                yield pa.RecordBatch.from_arrays(
+                    [*copies.columns, pa.array(named[some]), lists[some]], ["query_id", "vector", "region", "cells"])
+
+    fields = f"query_id {kinds['query_id']}, vector array<double>, region int, cells array<int>"
+    asked = q.mapInArrow(place, fields)
+    if every:
+        n = q.count()
+        queries = {r: n for r in regions["region"].unique().tolist()}
+    else:
+        counted = asked.groupBy("region").agg(F.count("*").alias("n"))
+        queries = {r["region"]: r["n"] for r in collect_bounded(counted, index.cells, "regions")}
+    together = min(BLOCK_QUERIES, max(1, BLOCK_VALUES // index.centroids.shape[1]))
+    sizes = regions.assign(q_blocks=[-(-queries.get(r, 0) // together) for r in regions["region"]])
+    blocks = F.broadcast(spark.createDataFrame(
+        sizes.groupby("region")[["q_blocks", "d_blocks"]].max().reset_index(), "region int, q_blocks long, d_blocks long"))
+    cells = F.broadcast(spark.createDataFrame(regions[["cell", "region"]], "cell int, region int"))
 
     def blocked(df, own, other, key):
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))
         mine = F.pmod(F.xxhash64(key), F.col(f"{own}_blocks"))
-        return df.join(sizes, "cell").select(*df.columns, mine.alias(f"{own}_block"), each.alias(f"{other}_block"))
+        return df.join(blocks.filter("q_blocks > 0"), "region").select(*df.columns, mine.alias(f"{own}_block"), each.alias(f"{other}_block"))
 
     def compare(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(stored):
             return pd.DataFrame(columns=["query_id", "collection", "doc_id", "distance"])
         top = _TopK(asked["query_id"].to_numpy(), _matrix(asked["vector"]), k, metric)
-        top.add(stored["collection"].to_numpy(), stored["doc_id"].to_numpy(), _matrix(stored["vector"]))
+        lists = None if every else asked["cells"].to_numpy()
+        _add(top, _Asked(None, None) if every else _Asked(np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])), stored)
         return top.frame()
 
-    by = ["cell", "q_block", "d_block"]
-    return blocked(asked, "q", "d", "query_id").groupBy(*by).cogroup(blocked(stored, "d", "q", "doc_id").groupBy(*by)).applyInPandas(compare, schema)
+    by = ["region", "q_block", "d_block"]
+    return blocked(asked, "q", "d", "query_id").groupBy(*by).cogroup(
+        blocked(stored.join(cells, "cell"), "d", "q", "doc_id").groupBy(*by)).applyInPandas(compare, schema)
 
 
 def probes_for(index: VectorIndex, docs: DataFrame, k: int = 5, recall: float = 0.95, vector: str = "embedding", measured: int = MEASURED) -> int:

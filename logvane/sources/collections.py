@@ -27,7 +27,7 @@ def replace_collections(docs: DataFrame, path: str, embedder: Callable[[Column],
     clash = repeated_ids(docs).first()
     if clash is not None:
         raise ValueError(f"id {clash['doc_id']} occurs {clash['n']} times in {clash['collection']}")
-    indexed = embed(docs, "text", embedder=embedder).withColumn("tokens", clean_tokens(F.col("text")))
+    indexed = embed(docs.withColumn("tokens", clean_tokens(F.col("text"))), "text", embedder=embedder, tokens="tokens")
     write_stage(indexed, path, partition_by=["collection"])
 
 

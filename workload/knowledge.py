@@ -206,7 +206,7 @@ def _kb(spark, sf_dir):
                 F.lit("title"), F.when(F.col("doc_id") % 3 > 0, F.concat_ws(" in ", "source", "lang")),
             ).alias("meta"),
         )
-        indexed = embed.embed(docs, "text").withColumn("tokens", X.clean_tokens(F.col("text")))
+        indexed = embed.embed(docs.withColumn("tokens", X.clean_tokens(F.col("text"))), "text", tokens="tokens")
         _KB[key] = materialize(indexed, "kb")
     return _KB[key]
 
@@ -269,7 +269,7 @@ def analysis_queries(spark, sf_dir):
 
 def _attack_kb(spark, sf_dir):
     docs = _attack(spark, sf_dir).select(F.lit("mitre_attack").alias("collection"), "doc_id", "text", "meta")
-    return materialize(embed.embed(docs, "text").withColumn("tokens", X.clean_tokens(F.col("text"))), "attack-kb")
+    return materialize(embed.embed(docs.withColumn("tokens", X.clean_tokens(F.col("text"))), "text", tokens="tokens"), "attack-kb")
 
 
 def analysed_events(spark, sf_dir):
