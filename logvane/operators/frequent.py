@@ -25,7 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,27 +50,35 @@ class FrequentItems:
     counters: int
 
 
-def _folded(parts: list[pd.Series], counters: int) -> tuple[pd.Series, int]:
+def _folded(parts: list[pa.Table], counters: int) -> tuple[pa.Table, int]:
     """Counts by item of all parts, cut to ``counters``, and what was taken off."""
-    held = pd.concat(parts).groupby(level=0).sum()
+    held = pa.concat_tables(parts).group_by("item", use_threads=False).aggregate([("n", "sum")])
+    held = held.select(["item", "n_sum"]).rename_columns(["item", "n"])
     if len(held) <= counters:
         return held, 0
-    off = int(held.nlargest(counters + 1).iloc[-1])
-    held = held - off
-    return held[held > 0], off
+    n = held["n"].to_numpy()
+    off = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+    kept = held.filter(pa.array(n > off))
+    return kept.set_column(1, "n", pa.array(kept["n"].to_numpy() - off)), off
 
 
 def summaries(items: DataFrame, counters: int) -> DataFrame:
-    """``item, n, off`` of every task: at most ``counters`` items, and one row without an item holding rows and shortfall."""
+    """``item, n, off`` of every task: at most ``counters`` items, and one row without an item holding rows and shortfall.
+
+    Items come one by one, or with a count ``n`` of rows each.
+    """
     kind = dict(items.dtypes)["item"]
+    if "n" not in items.columns:
+        items = items.withColumn("n", F.lit(1).cast("long"))
 
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting, rows, off = [], 0, 0, 0
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, rows, off, item_type = [], 0, 0, 0, pa.null()
         for batch in batches:
-            counts = batch["item"].value_counts()
-            rows += len(batch)
-            held.append(counts)
-            waiting += len(counts)
+            part, _ = _folded([pa.Table.from_batches([batch])], len(batch))
+            item_type = part.schema.field("item").type
+            rows += pc.sum(part["n"]).as_py() or 0
+            held.append(part)
+            waiting += len(part)
             # folding costs as much as what is held, so it waits until that has doubled
             if waiting > 2 * counters:
                 kept, more = _folded(held, counters)
@@ -76,17 +86,18 @@ def summaries(items: DataFrame, counters: int) -> DataFrame:
         if held:
             kept, more = _folded(held, counters)
             off += more
-            for start in range(0, len(kept), 50_000):
-                part = kept.iloc[start:start + 50_000]
-                yield pd.DataFrame({"item": part.index, "n": part.to_numpy("int64"), "off": 0})
-        yield pd.DataFrame({"item": pd.Series([None], dtype=object), "n": [rows], "off": [off]})
+            kept = kept.append_column("off", pa.array(np.zeros(len(kept), np.int64)))
+            yield from kept.combine_chunks().to_batches(max_chunksize=50_000)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, item_type), pa.array([rows]), pa.array([off])], ["item", "n", "off"])
 
-    return items.mapInPandas(summarize, f"item {kind}, n long, off long")
+    return items.select("item", "n").mapInArrow(summarize, f"item {kind}, n long, off long")
 
 
-def frequent_items(df: DataFrame, item: Column, k: int, counters: int | None = None, most_counters: int = MOST_COUNTERS) -> FrequentItems:
-    """The ``k`` most frequent values of ``item`` with their exact counts."""
-    items = df.select(item.alias("item")).filter("item IS NOT NULL")
+def frequent_items(
+    df: DataFrame, item: Column, k: int, counters: int | None = None, most_counters: int = MOST_COUNTERS, n: Column | None = None,
+) -> FrequentItems:
+    """The ``k`` most frequent values of ``item`` with their exact counts; a row stands for ``n`` whole ones where that is given."""
+    items = df.select(item.alias("item"), (F.lit(1) if n is None else n).cast("long").alias("n")).filter("item IS NOT NULL")
     if dict(items.dtypes)["item"] in ("float", "double"):
         items = items.filter(~F.isnan("item"))
     counters = counters or max(COUNTERS_PER_ITEM * k, LEAST_COUNTERS)
@@ -104,10 +115,10 @@ def frequent_items(df: DataFrame, item: Column, k: int, counters: int | None = N
         if n_items == k and least > off:
             # a written table tells its size, so Spark sends it to all tasks where it is small
             survivors = materialize(sums.filter(F.col("n") + off >= least).select("item"), "survivors")
-            counted = items.join(survivors, "item", "left_semi").groupBy("item").agg(F.count("*").alias("n"))
+            counted = items.join(survivors, "item", "left_semi").groupBy("item").agg(F.sum("n").alias("n"))
             return FrequentItems(_first(counted, k), rows, shuffled, survivors.count(), off, counters)
         counters *= MORE
-    counted = materialize(items.groupBy("item").agg(F.count("*").alias("n")), "counts")
+    counted = materialize(items.groupBy("item").agg(F.sum("n").alias("n")), "counts")
     rows, n_items = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     return FrequentItems(_first(counted, k), rows, shuffled, n_items, 0, 0)
 

@@ -2,23 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logvane.functions.text import terms
 from logvane.session import materialize
 
 MIN_TOPICS = 2
 
 
+#: words counted at once, and distinct terms that a task holds before it passes them on
+WORDS_TOGETHER, TERMS_HELD = 2_000_000, 1_000_000
+
+
+def _slice_counts(topics: pa.Array, weights: np.ndarray, lists: pa.ListArray) -> pa.Table:
+    """``topic, term, n`` of some documents: words and pairs are counted by number, and only distinct ones are spelt out."""
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    spelt, named = words.dictionary, topics.dictionary_encode("encode")
+    topic = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    size = max(len(spelt), 1)
+    inside = row[1:] == row[:-1]
+    single, pair = topic * size + code, ((topic[:-1] * size + code[:-1]) * size + code[1:])[inside]
+    found = []
+    for keys, weight, pairs in ((single, weights[row], False), (pair, weights[row[:-1]][inside], True)):
+        sums = pa.table({"key": keys, "n": weight}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+        key, last = np.divmod(sums["key"].to_numpy(), size)
+        term = spelt.take(pa.array(last))
+        if pairs:
+            key, first = np.divmod(key, size)
+            term = pc.binary_join_element_wise(spelt.take(pa.array(first)), term, " ")
+        found.append(pa.table({"topic": named.dictionary.take(pa.array(key)), "term": term, "n": sums["n_sum"]}))
+    return pa.concat_tables(found)
+
+
+def partial_counts(docs: DataFrame, topic: str = "topic", tokens: str = "tokens", weight: str | None = None) -> DataFrame:
+    """``topic, term, n`` of every task, to be summed by topic and term: a task counts before anything is shuffled.
+
+    A row for each word and pair of each document is never made. A task holds a bounded number of distinct terms and passes
+    them on beyond that, so a term may have several rows. Null terms are words like others; weights are whole or doubles.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    rows = docs.select(F.col(topic).alias("topic"), w.alias("w"), F.col(tokens).alias("tokens"))
+    kind = "bigint" if dict(rows.dtypes)["w"] in ("tinyint", "smallint", "int", "bigint") else "double"
+    rows = rows.withColumn("w", F.col("w").cast(kind)).filter("w IS NOT NULL AND tokens IS NOT NULL")
+
+    def fold(parts: list[pa.Table]) -> pa.Table:
+        counts = pa.concat_tables(parts).group_by(["topic", "term"], use_threads=False).aggregate([("n", "sum")])
+        return counts.select(["topic", "term", "n_sum"]).rename_columns(["topic", "term", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            lists = batch.column("tokens")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(batch):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + WORDS_TOGETHER, "right")))
+                part = batch.slice(start, stop - start)
+                held.append(_slice_counts(part.column("topic"), part.column("w").to_numpy(zero_copy_only=False), part.column("tokens")))
+                waiting, start = waiting + len(held[-1]), stop
+                if waiting > 2 * TERMS_HELD:
+                    held = [fold(held)]
+                    waiting = len(held[0])
+                    if waiting > TERMS_HELD:
+                        yield from held.pop().combine_chunks().to_batches(max_chunksize=50_000)
+                        waiting = 0
+        if held:
+            yield from fold(held).combine_chunks().to_batches(max_chunksize=50_000)
+
+    return rows.mapInArrow(count, f"topic {dict(rows.dtypes)['topic']}, term string, n {kind}").withColumnRenamed("topic", topic)
+
+
 def term_counts(docs: DataFrame, topic: str = "topic", tokens: str = "tokens", weight: str | None = None) -> DataFrame:
     """How often each word and word pair occurs per topic."""
-    w = F.col(weight) if weight else F.lit(1)
-    return (
-        docs.select(topic, w.alias("_w"), F.explode(terms(F.col(tokens))).alias("term"))
-        .groupBy(topic, "term").agg(F.sum("_w").cast("bigint").alias("n"))
-    )
+    return partial_counts(docs, topic, tokens, weight).groupBy(topic, "term").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def vocabulary(counts: DataFrame, min_topics: int = MIN_TOPICS, max_terms: int | None = None) -> DataFrame:

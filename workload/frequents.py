@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logvane.functions import text as X
-from logvane.operators import frequent
+from logvane.operators import frequent, keywords
 from logvane.session import materialize
 from workload.raw_events import NORM_CTE, normalized
 from workload.topics import TERMS_CTE, _doc_tokens
@@ -23,11 +23,11 @@ def _terms(spark, sf_dir):
 
 
 def _frequent_terms(spark, sf_dir):
-    """Found once per session, for the terms and for their costs; both passes read the words from a table."""
+    """Found once per session, for the terms and for their costs; both passes read what each task has counted from a table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOUND:
-        words = materialize(_doc_tokens(spark, sf_dir).select("tokens"), "words")
-        _FOUND[key] = frequent.frequent_items(words, F.explode(X.terms(F.col("tokens"))), TERMS)
+        counted = keywords.partial_counts(_doc_tokens(spark, sf_dir).select(F.lit(0).alias("topic"), "tokens"))
+        _FOUND[key] = frequent.frequent_items(materialize(counted.drop("topic"), "task-counts"), F.col("term"), TERMS, n=F.col("n"))
     return _FOUND[key]
 
 
