@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import zipfile
+from typing import IO
 
 from pyspark.sql import functions as F
 
@@ -14,6 +17,13 @@ ARCHIVES, MEMBERS = 4, 16
 _PACKED: dict[tuple[str, str], str] = {}
 
 
+def dealt_lines(spark, sf_dir):
+    """``archive, member, line``, an archive's lines in one task."""
+    event = F.col("event_key")
+    return raw_lines(spark, sf_dir).select(
+        (event % ARCHIVES).alias("archive"), F.floor(event / ARCHIVES % MEMBERS).cast("long").alias("member"), "line").repartition("archive")
+
+
 def packed_lines(spark, sf_dir):
     """The folder of archives that hold all lines, written once per session by one task an archive."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -22,32 +32,25 @@ def packed_lines(spark, sf_dir):
     root = work_path(spark, "archives")
 
     def pack(batches):
+        """Lines wait in a file for each member, so nothing is sorted and no member is held."""
         system, folder = file_system(root)
         system.create_dir(folder, recursive=True)
-        name, member, archive, out, raw = None, None, None, None, None
+        waiting: dict[int, dict[int, IO[bytes]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["archive"] != name:
-                    if archive is not None:
-                        out.close(), archive.close(), raw.close()
-                    name, member = row["archive"], None
-                    raw = system.open_output_stream(f"{folder}/day-{name}.zip")
-                    archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
-                    archive.writestr("README.txt", "not a log\n")
-                if row["member"] != member:
-                    if member is not None:
-                        out.close()
-                    member = row["member"]
-                    out = archive.open(f"logs/{member}.json", "w", force_zip64=True)
-                out.write(row["line"].encode() + b"\n")
-        if archive is not None:
-            out.close(), archive.close(), raw.close()
+                members = waiting.setdefault(row["archive"], {})
+                if row["member"] not in members:
+                    members[row["member"]] = tempfile.TemporaryFile()
+                members[row["member"]].write(row["line"].encode() + b"\n")
+        for name, members in waiting.items():
+            with system.open_output_stream(f"{folder}/day-{name}.zip") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("README.txt", "not a log\n")
+                for member in sorted(members):
+                    with members[member] as lines, archive.open(f"logs/{member}.json", "w", force_zip64=True) as out:
+                        lines.seek(0)
+                        shutil.copyfileobj(lines, out, 1 << 20)
         yield from ()
 
-    event = F.col("event_key")
-    rows = raw_lines(spark, sf_dir).select(
-        (event % ARCHIVES).alias("archive"), F.floor(event / ARCHIVES % MEMBERS).cast("long").alias("member"), "event_key", "line")
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "member", "event_key")
-    ordered.mapInArrow(pack, "nothing long").count()
+    dealt_lines(spark, sf_dir).mapInArrow(pack, "nothing long").count()
     _PACKED[key] = root
     return root

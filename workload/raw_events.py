@@ -50,7 +50,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_lines(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    # looked up once a row: most fields ask for it, several times and in branches
+    events = events.select("event_id", "user_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    k = F.col("k")
     u = F.col("user_id")
     e = F.col("event_type")
     eid = (
