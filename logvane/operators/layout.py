@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from logvane.operators.retrieve import _matrix, _unit, nearest
 from logvane.operators.running import numbered
-from logvane.session import collect_bounded, materialize, share
+from logvane.session import BROADCAST_ROWS, collect_bounded, materialize, share
 
 ROUNDS, PUSHED, PUSH = 60, 5, 1.0
 SPREAD = 10.0
@@ -51,7 +51,9 @@ def fuzzy_edges(neighbours: DataFrame) -> DataFrame:
 
 
 def _round(places: DataFrame, edges: DataFrame, number: int, step: float, n: int, push: float) -> DataFrame:
-    """Places after one round."""
+    """Places after one round; a large table of places is sorted into its joins, not sent through the driver in every round."""
+    if n > BROADCAST_ROWS:
+        places = places.hint("merge")
     there = places.select(F.col("place").alias("t_place"), F.col("doc_id").alias("j"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     here = places.select(F.col("doc_id").alias("i"), "x", "y")
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
