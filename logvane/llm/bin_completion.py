@@ -62,7 +62,8 @@ def cut(df: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPAC
         for part in parts:
             yield pa.array([pieces_of(words.encode(t or "") + CLOSING, capacity) for t in part.to_pylist()], kind)
 
-    pieces = F.arrow_udf(run, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
+    # a deterministic function would be copied into a filter below the generator, and every text encoded twice
+    pieces = F.arrow_udf(run, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>").asNondeterministic()
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, *PIECE, *PLACE)]
     return df.select(*kept, pieces(F.col(f"`{text}`")).alias("_pieces")).select(*kept, F.inline("_pieces"))
 

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-
+from plans import plan_of
 from pyspark.sql import functions as F
 
 from logvane.llm import attention_lm, bin_completion, secret_lexer, simhash_windows, trie_join, warc_revisit
@@ -259,6 +259,10 @@ def test_packing_is_whole_gapless_and_tight(spark, monkeypatch):
     assert bound <= check_packing(rows, texts, 64) <= bound + 2
 
 
+def test_texts_are_encoded_once(odd):
+    assert plan_of(bin_completion.cut(odd, tokenizer_path())).count("ArrowEvalPython") == 1
+
+
 def test_packing_odd_and_empty_tables(odd, none):
     rows = bin_completion.pack(bin_completion.cut(odd, tokenizer_path()))
     got = rows.collect()
