@@ -9,6 +9,7 @@ rows of the round's part of the training texts, and Spark sums what the tasks
 arrive at, weighted by their tokens. The parts of all rounds together are all
 training texts, each once.
 
+Every text is encoded once; its ids are stored and read by all later passes.
 Scoring cuts a text into windows that overlap: a window's first ids are context
 only, except in the first window, so every id is scored once. Windows of many
 texts are attended to in one batch under a causal mask.
@@ -24,6 +25,7 @@ Texts are scored whole, however long. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,6 +57,31 @@ HELD_WORDS = 1 << 17
 WORDS_TOGETHER = 4_000_000
 END_KEY = np.int64(0x5EED0E0D)
 LOG10 = np.log(10.0)
+#: column of a text's ids as 16-bit numbers, next to the text
+IDS = "_lm_ids"
+
+
+# ---- ids
+
+
+def encoded(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """The input with the ids of its texts in ``IDS``, stored: counting, learning and scoring read the ids from there."""
+    if IDS in df.columns:
+        return df
+    small_batches(df.sparkSession)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = subwords(tokenizer)
+        for batch in batches:
+            ids = [np.frombuffer(own.encode(t or ""), "<u4").astype("<u2").tobytes() for t in batch.column(text).to_pylist()]
+            yield batch.append_column(IDS, pa.array(ids, pa.binary()))
+
+    return materialize(df.mapInArrow(run, f"{kinds}, {IDS} binary"), "lm_ids")
+
+
+def _ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(ids, "<u2").astype(np.int64) for ids in batch.column(IDS).to_pylist()]
 
 
 # ---- counts
@@ -78,7 +105,7 @@ def _counting(tokenizer: str):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, texts = subwords(tokenizer), [], 0, 0
+        held, size, texts = [], 0, 0
         ends, ids = word_ends(tokenizer), np.zeros(2 * VOCABULARY, np.int64)
         for part in batches:
             column = part.column("text")
@@ -87,11 +114,7 @@ def _counting(tokenizer: str):
                 piece_low = lowered(piece)
                 held.append(word_hashes(piece_low.data, words_of(piece_low)))
                 size += len(held[-1])
-            coded = []
-            for text in column.to_pylist():
-                if text:
-                    found = np.frombuffer(words.encode(text), "<u4").astype(np.int64)
-                    coded.append(found + VOCABULARY * _opens(found, ends))
+            coded = [found + VOCABULARY * _opens(found, ends) for found in _ids_of(part)]
             if coded:
                 ids += np.bincount(np.concatenate(coded), minlength=2 * VOCABULARY)
             if size > WORDS_TOGETHER:
@@ -141,7 +164,7 @@ def _most_frequent(words: DataFrame) -> DataFrame:
 def count_corpus(texts: DataFrame, tokenizer: str) -> Counts:
     small_batches(texts.sparkSession)
     counted = materialize(
-        texts.select("text").mapInArrow(*_counting(tokenizer)).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts"
+        encoded(texts, tokenizer).select("text", IDS).mapInArrow(*_counting(tokenizer)).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts"
     )
     words = counted.filter("kind = 0").select("key", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -239,36 +262,142 @@ def _log_normal(logits: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(logits - top).sum(-1, keepdims=True))
 
 
-def gradient(w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean loss over the places that count, as a vector, and that loss."""
-    logits, h, q, k, v, a, c, o, m, z = _forward(w, x)
-    logits = logits - _log_normal(logits)
-    n = max(1, int(counted.sum()))
-    loss = -float((np.take_along_axis(logits, target[..., None], -1)[..., 0] * counted).sum()) / n
-    vector = np.zeros(SIZE, np.float32)
-    g = parameters(vector)
-    d = np.exp(logits)
-    np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], -1) - 1, -1)
-    d *= (counted / n)[..., None].astype(np.float32)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g["u"][:], g["ub"][:] = flat(z).T @ flat(d), flat(d).sum(0)
-    dz = d @ w["u"].T
-    g["g"][:] = flat(m).T @ flat(dz)
-    dm = (dz @ w["g"].T) * (m > 0)
-    g["h"][:], g["hb"][:] = flat(o).T @ flat(dm), flat(dm).sum(0)
-    do = dz + dm @ w["h"].T
-    g["o"][:] = flat(c).T @ flat(do)
-    dc = do @ w["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh = do + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    for name, part in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = flat(h).T @ flat(part)
-    g["p"][:] = dh.sum(0)
-    np.add.at(g["e"], x.ravel(), flat(dh))
-    return vector, loss
+#: exponents of 32-bit numbers stay finite below this
+EXP_LIMIT = 80
+_BELOW = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: a place's query, key and value stand side by side, and behind them a one; the row is padded to whole cache lines
+_Q, _K, _V, _V1 = slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 3 * WIDTH), slice(2 * WIDTH, 3 * WIDTH + 1)
+_QKV, _ROW = slice(0, 3 * WIDTH), 4 * WIDTH
+
+
+class _Space(dict):
+    """Buffers by name that are used again: fresh memory for every product costs more than many of the products."""
+
+    def __init__(self, dtype=np.float32):
+        super().__init__()
+        self.dtype = dtype
+
+    def take(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or len(self[name]) < size:
+            self[name] = np.empty(size, self.dtype)
+        return self[name][:size].reshape(shape)
+
+    def product(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.matmul(a, b, out=self.take(name, *a.shape[:-1], b.shape[-1]))
+
+    def rows(self, name: str, a: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.take(a, at, axis=0, out=self.take(name, *at.shape, a.shape[1]), mode="clip")
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+
+
+def _side_by_side(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Query, key and value matrices in one; the scale of the scores is part of the queries'."""
+    return np.concatenate([w["q"] * np.asarray(WIDTH**-0.5, w["q"].dtype), w["k"], w["v"]], 1)
+
+
+def _attended(w: dict[str, np.ndarray], side: np.ndarray, x: np.ndarray, space: _Space) -> tuple[np.ndarray, ...]:
+    """Inputs, query-key-value rows, unnormalized attention, and behind it values and sums.
+
+    The column of ones behind the values carries the sums of the attention.
+    """
+    n = len(x)
+    h = space.rows("h", w["e"], x)
+    h += w["p"]
+    rows = space.take("rows", n, WINDOW, _ROW)
+    flat = rows.reshape(-1, _ROW)
+    np.matmul(h.reshape(-1, WIDTH), side, out=flat[:, _QKV])
+    flat[:, 3 * WIDTH] = 1
+    a = space.product("a", rows[:, :, _Q], rows[:, :, _K].transpose(0, 2, 1))
+    if _longest(flat[:, _Q]) * _longest(flat[:, _K]) > EXP_LIMIT:  # trained scores are far smaller
+        a += _MASK
+        a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a *= _BELOW
+    return h, rows, a, space.product("c", a, rows[:, :, _V1])
+
+
+def _classes(w: dict[str, np.ndarray], o: np.ndarray, target: np.ndarray, space: _Space) -> tuple[np.ndarray, ...]:
+    """Hidden rows, outputs, exponents of the classes, their sums, places of the targets and their log probabilities."""
+    m = space.product("m", o, w["h"])
+    m += w["hb"]
+    np.maximum(m, 0, out=m)
+    z = space.product("z", m, w["g"])
+    z += o
+    d = space.product("d", z, w["u"])
+    d += w["ub"]
+    if _longest(z) * np.sqrt((w["u"] ** 2).sum(0).max()) + np.abs(w["ub"]).max() > EXP_LIMIT:
+        d -= d.max(-1, keepdims=True)
+    spot = np.arange(0, d.size, CLASSES)
+    spot += target
+    found = d.reshape(-1)[spot]
+    np.exp(d, out=d)
+    sums = d @ np.ones(CLASSES, d.dtype)
+    return m, z, d, sums, spot, found - np.log(sums)
+
+
+def gradient(
+    w: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray, counted: np.ndarray, space: _Space | None = None
+) -> tuple[np.ndarray, float]:
+    """Gradient of the mean loss over the places that count, as a vector, and that loss.
+
+    Behind the attention only the places that count are looked at. The vector is the space's own.
+    """
+    space = _Space(w["e"].dtype) if space is None else space
+    vector = space.take("vector", SIZE)
+    vector[:] = 0
+    g, at = parameters(vector), np.flatnonzero(counted)
+    if not len(at):
+        return vector, 0.0
+    n, side = len(at), _side_by_side(w)
+    h, rows, a, c = _attended(w, side, x, space)
+    flat = h.reshape(-1, WIDTH)
+    c = space.rows("c_at", c.reshape(-1, WIDTH + 1), at)
+    inverse = 1 / c[:, WIDTH:]
+    c *= inverse
+    c = c[:, :WIDTH]
+    o = space.product("o", c, w["o"])
+    o += space.rows("h_at", flat, at)
+    m, z, d, total, spot, found = _classes(w, o, target.ravel()[at], space)
+    total *= n
+    d /= total[:, None]
+    d.reshape(-1)[spot] -= np.asarray(1 / n, d.dtype)
+    ones = np.ones(n, d.dtype)
+    g["u"][:], g["ub"][:] = (d.T @ z).T, ones @ d
+    dz = space.product("dz", d, w["u"].T)
+    g["g"][:] = m.T @ dz
+    dm = space.product("dm", dz, w["g"].T)
+    dm *= np.greater(m, 0, out=m)
+    g["h"][:], g["hb"][:] = o.T @ dm, ones @ dm
+    dz += space.product("do", dm, w["h"].T)
+    g["o"][:] = c.T @ dz
+    # a row of the softmax takes its own mean off: a last column that meets the values' ones
+    dc = space.take("dc", n, WIDTH + 1)
+    np.matmul(dz, w["o"].T, out=dc[:, :WIDTH])
+    np.einsum("ij,ij->i", dc[:, :WIDTH], c, out=dc[:, WIDTH])
+    dc[:, WIDTH] *= -1
+    dc *= inverse
+    back = space.take("back", len(x), WINDOW, WIDTH + 1)
+    back[:] = 0
+    back.reshape(-1, WIDTH + 1)[at] = dc
+    ds = space.product("ds", back, rows[:, :, _V1].transpose(0, 2, 1))
+    ds *= a
+    drows = space.take("drows", *rows.shape)
+    np.matmul(ds, rows[:, :, _K], out=drows[:, :, _Q])
+    np.matmul(ds.transpose(0, 2, 1), rows[:, :, _Q], out=drows[:, :, _K])
+    np.matmul(a.transpose(0, 2, 1), back[:, :, :WIDTH], out=drows[:, :, _V])
+    drows = drows.reshape(-1, _ROW)[:, _QKV]
+    sides = (drows.T @ flat).T
+    g["q"][:], g["k"][:], g["v"][:] = sides[:, _Q] * np.asarray(WIDTH**-0.5, d.dtype), sides[:, _K], sides[:, _V]
+    dh = space.product("dh", drows, side.T)
+    dh[at] += dz
+    g["p"][:] = dh.reshape(h.shape).sum(0)
+    # one-dimensional additions are many times faster than those of rows
+    np.add.at(g["e"].reshape(-1), np.add.outer(x.ravel() * WIDTH, np.arange(WIDTH)).ravel(), dh.ravel())
+    return vector, -float(found.sum()) / n
 
 
 def windows_of(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,18 +420,27 @@ def learn(model: Model, windows: list[tuple], seed: int) -> tuple[np.ndarray, in
     vector = model.vector.copy()
     w = parameters(vector)
     mean, square = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-    rng, step = np.random.default_rng(seed), 0
+    rng, step, space, change = np.random.default_rng(seed), 0, _Space(), np.empty(SIZE, np.float32)
     steps = max(LEAST_STEPS, -(-len(x) // TOGETHER))
     while step < steps:
         order = rng.permutation(len(x))
         for begin in range(0, len(order), TOGETHER):
             pick = order[begin : begin + TOGETHER]
-            g, _ = gradient(w, x[pick], target[pick], there[pick])
+            g, _ = gradient(w, x[pick], target[pick], there[pick], space)
             step += 1
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
+            np.subtract(g, mean, out=change)
+            change *= 0.1
+            mean += change
+            np.multiply(g, g, out=change)
+            change -= square
+            change *= 0.01
+            square += change
             rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            vector -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-8))
+            np.sqrt(square, out=change)
+            change += 1e-8
+            np.divide(mean, change, out=change)
+            change *= np.float32(rate)
+            vector -= change
             if step >= steps:
                 break
     return vector, int(there.sum())
@@ -311,24 +449,23 @@ def learn(model: Model, windows: list[tuple], seed: int) -> tuple[np.ndarray, in
 def parts_of(texts: DataFrame) -> list[DataFrame]:
     """The texts of every round; each row is in one of them.
 
-    The part hangs on all columns, so copies of a text under other keys are
-    dealt over the rounds.
+    The part hangs on all columns but the ids, so copies of a text under other
+    keys are dealt over the rounds. Texts with ids are given by their ids alone.
     """
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in texts.columns]), F.lit(ROUNDS))
-    return [texts.filter(part == number).select("text") for number in range(ROUNDS)]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in texts.columns if c != IDS]), F.lit(ROUNDS))
+    return [texts.filter(part == number).select(IDS if IDS in texts.columns else "text") for number in range(ROUNDS)]
 
 
 def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
     """Rounds of learning in all tasks and averaging; place -1 holds the weight."""
-    for part in parts_of(texts):
+    for part in parts_of(encoded(texts, tokenizer)):
         shared = share(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, words, windows = shared.value, subwords(tokenizer), []
+            own, windows = shared.value, []
             sums, weight = np.zeros(SIZE), 0
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    windows.append(windows_of(np.frombuffer(words.encode(text or ""), "<u4").astype(np.int64), own.row))
+                windows += [windows_of(ids, own.row) for ids in _ids_of(batch)]
                 if sum(len(w[0]) for w in windows) > 20_000:
                     vector, n = learn(own, windows, 1)
                     sums, weight, windows = sums + vector.astype(float) * n, weight + n, []
@@ -350,83 +487,83 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
     return model
 
 
-#: exponents of 32-bit numbers stay finite below this
-EXP_LIMIT = 80
-
-
-def _longest(rows: np.ndarray) -> float:
-    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max()))
-
-
 class _Scorer:
-    """The forward pass alone, in buffers that are used again: what `_forward` gives, with fewer passes over memory.
+    """The forward pass alone: what `_forward` gives, with fewer passes over memory.
 
-    The scale is part of the query matrix; attention is normalized behind the
-    values, whose last column of ones carries the sums.
+    Queries, keys and values are linear in the input rows, so each is worked out
+    once for every row and place and looked up; inputs stand behind them.
     """
 
     def __init__(self, model: Model):
-        self.model, self.w = model, parameters(model.vector)
-        self.q = self.w["q"] * np.float32(WIDTH**-0.5)
-        self.below = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        n = TOGETHER
-        self.a, self.v = np.empty((n, WINDOW, WINDOW), np.float32), np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        self.c, self.m = np.empty((n, WINDOW, WIDTH + 1), np.float32), np.empty((n * WINDOW, HIDDEN), np.float32)
-        self.l, self.ones = np.empty((n * WINDOW, CLASSES), np.float32), np.ones(CLASSES, np.float32)
-        self.steepest = np.sqrt((self.w["u"] ** 2).sum(0).max())
-        self.most = np.abs(self.w["ub"]).max()
-
-    def __call__(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the class probabilities of the targets; at most ``TOGETHER`` windows."""
-        w, n = self.w, len(x)
-        a, v, c, m, logits = self.a[:n], self.v[:n], self.c[:n], self.m[: n * WINDOW], self.l[: n * WINDOW]
-        h = w["e"][x]
-        h += w["p"]
-        flat = h.reshape(-1, WIDTH)
-        v[:, :, :WIDTH] = (flat @ w["v"]).reshape(h.shape)
-        q, k = flat @ self.q, flat @ w["k"]
-        np.matmul(q.reshape(h.shape), k.reshape(h.shape).transpose(0, 2, 1), out=a)
-        if _longest(q) * _longest(k) > EXP_LIMIT:  # trained scores are far smaller
-            np.minimum(a, EXP_LIMIT, out=a)
+        self.w, self.space = parameters(model.vector), _Space()
+        wide = np.concatenate([_side_by_side(self.w), np.eye(WIDTH, dtype=np.float32)], 1)
+        self.rows, self.places = self.w["e"] @ wide, self.w["p"] @ wide
+        longest = [_longest(self.rows[:, part]) + _longest(self.places[:, part]) for part in (_Q, _K)]
+        self.sharpest = longest[0] * longest[1]
+        self.steepest, self.most = np.sqrt((self.w["u"] ** 2).sum(0).max()), np.abs(self.w["ub"]).max()
+        self.odds, self.ones = np.exp(self.w["ub"]), np.ones(max(WINDOW, CLASSES), np.float32)
+
+    def __call__(self, x: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
+        """Natural logarithms of the class probabilities of the targets from place ``skip`` on."""
+        w, space = self.w, self.space
+        rows = space.rows("rows", self.rows, x)
+        rows += self.places
+        q, h = rows[:, skip:, _Q], rows[:, skip:, 3 * WIDTH :]
+        a = space.product("a", q, rows[:, :, _K].transpose(0, 2, 1))
+        flat = rows.reshape(-1, _ROW)
+        if self.sharpest > EXP_LIMIT and _longest(flat[:, _Q]) * _longest(flat[:, _K]) > EXP_LIMIT:  # trained scores are far smaller
+            a += _MASK[skip:]
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a *= self.below
-        np.matmul(a, v, out=c)
-        o = flat + (c[:, :, :WIDTH] / c[:, :, WIDTH:]).reshape(-1, WIDTH) @ w["o"]
-        np.matmul(o, w["h"], out=m)
+        a *= _BELOW[skip:]
+        c = space.product("c", a, rows[:, :, _V])
+        c /= (a @ self.ones[:WINDOW])[:, :, None]
+        o = space.product("o", c.reshape(-1, WIDTH), w["o"])
+        o.reshape(h.shape)[:] += h
+        m = space.product("m", o, w["h"])
         m += w["hb"]
         np.maximum(m, 0, out=m)
-        o += m @ w["g"]
-        np.matmul(o, w["u"], out=logits)
-        logits += w["ub"]
-        if _longest(o) * self.steepest + self.most > EXP_LIMIT:
-            np.minimum(logits, EXP_LIMIT, out=logits)
-        found = logits[np.arange(n * WINDOW), target.ravel()]
-        np.exp(logits, out=logits)
-        return (found - np.log(logits @ self.ones)).reshape(n, WINDOW)
+        z = space.product("z", m, w["g"])
+        z += o
+        d = space.product("d", z, w["u"])
+        odds, bias, target = self.odds, w["ub"], target[:, skip:].ravel()
+        if _longest(z) * self.steepest + self.most > EXP_LIMIT:
+            d += bias
+            d -= d.max(-1, keepdims=True)
+            odds, bias = self.ones[:CLASSES], np.zeros_like(bias)
+        found = d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] + bias[target]
+        np.exp(d, out=d)
+        return (found - np.log(d @ odds)).reshape(len(x), WINDOW - skip)
 
 
 def log10_scores(model: Model, texts: list[np.ndarray], scorer: _Scorer | None = None) -> np.ndarray:
     """The log10 probability of every text of ids, its end included."""
     scorer = scorer or _Scorer(model)
     parts = [windows_of(ids, model.row) for ids in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
+    number = np.array([len(p[0]) for p in parts])
+    owner = np.repeat(np.arange(len(texts)), number)
     x, nxt, there = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    first = np.zeros(len(x), bool)
+    first[np.cumsum(number) - number] = True
     sums = np.zeros(len(x))
-    for begin in range(0, len(x), TOGETHER):
-        part = slice(begin, begin + TOGETHER)
-        following, counted = nxt[part], there[part]
-        # the share of an id, by whether it begins a word
-        opens = np.ones(following.shape, np.int64)
-        opens[:, 1:] = model.ends[following[:, :-1]]
-        found = scorer(x[part], model.of_class[following]) + model.within[opens, following]
-        sums[part] = (found * counted).sum(1, dtype=np.float64)
+    # a later window's first places are context only: nothing is asked of them
+    for skip, windows in ((0, np.flatnonzero(first)), (CONTEXT, np.flatnonzero(~first))):
+        for begin in range(0, len(windows), TOGETHER):
+            part = windows[begin : begin + TOGETHER]
+            following = nxt[part]
+            # the share of an id, by whether it begins a word
+            opens = np.ones(following.shape, np.int64)
+            opens[:, 1:] = model.ends[following[:, :-1]]
+            found = scorer(x[part], model.of_class[following], skip)
+            found = found + model.within[opens[:, skip:], following[:, skip:]]
+            sums[part] = (found * there[part, skip:]).sum(1, dtype=np.float64)
     return np.bincount(owner, sums, len(texts)) / LOG10
 
 
 # ---- scoring
 
 
-def _scoring(shared, tokenizer: str):
+def _scoring(shared):
     kinds = pa.schema([
         ("row_id", pa.int64()), ("n_tokens", pa.int64()), ("held_known", pa.int64()), ("held_score", pa.float64()),
         ("rare", pa.list_(pa.int64())), ("score", pa.float64()),
@@ -434,9 +571,9 @@ def _scoring(shared, tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, logs, known = shared.value
-        own, scorer, row = subwords(tokenizer), _Scorer(model), TaskContext.get().partitionId() << 40
+        scorer, row = _Scorer(model), TaskContext.get().partitionId() << 40
         for batch in batches:
-            column = batch.column("text")
+            column, others = batch.column("text"), [c for c in batch.schema.names if c not in ("text", IDS)]
             tokens, held_known, held_score, rare = [], [], [], []
             for _, piece in chunks(texts_of(column)):
                 piece = lowered(piece)
@@ -452,14 +589,14 @@ def _scoring(shared, tokenizer: str):
                 tokens += np.diff(bounds).tolist()
                 held_score += (add[bounds[1:]] - add[bounds[:-1]]).tolist()
                 held_known += (is_known[bounds[1:]] - is_known[bounds[:-1]]).tolist()
-                others = np.flatnonzero(~here)
-                rare += np.split(hashes[others], np.searchsorted(others, bounds[1:-1]))
-            ids = [np.frombuffer(own.encode(t or ""), "<u4").astype(np.int64) for t in column.to_pylist()]
+                unheld = np.flatnonzero(~here)
+                rare += np.split(hashes[unheld], np.searchsorted(unheld, bounds[1:-1]))
+            ids = _ids_of(batch)
             score = log10_scores(model, ids, scorer) if ids else []
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + len(column))), pa.array(tokens, pa.int64()), pa.array(held_known, pa.int64()),
                 pa.array(held_score, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(score, pa.float64()),
-            ] + [batch.column(c) for c in batch.schema.names if c != "text"], names=[*kinds.names, *[c for c in batch.schema.names if c != "text"]])
+            ] + [batch.column(c) for c in others], names=[*kinds.names, *others])
             row += len(column)
 
     return run
@@ -468,15 +605,16 @@ def _scoring(shared, tokenizer: str):
 def score(df: DataFrame, counts: Counts, model: Model, tokenizer: str, text: str = "text") -> DataFrame:
     """The input without its text, with ``n_tokens, n_known, train_tokens, base_score, score``."""
     small_batches(df.sparkSession)
-    added = ["row_id", "n_tokens", "n_known", "held_known", "held_score", "rare", "train_tokens", "base_score", "score"]
+    df = encoded(df, tokenizer, text)
+    added = [IDS, "row_id", "n_tokens", "n_known", "held_known", "held_score", "rare", "train_tokens", "base_score", "score"]
     kept = [c for c in df.columns if c not in (text, *added)]
     bottom = counts.total + 0.5 * (counts.distinct + 1)
     logs = np.log10((counts.held_counts + 0.5) / bottom)
     shared = share((model, counts.held_keys, logs, counts.held_counts > 0))
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("text"), IDS)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in kept]).schema)
     scored = materialize(rows.mapInArrow(
-        _scoring(shared, tokenizer),
+        _scoring(shared),
         "row_id long, n_tokens long, held_known long, held_score double, rare array<long>, score double" + (", " + kinds if kinds else ""),
     ), "lm_scored")
     rare = scored.select("row_id", F.explode("rare").alias("key")).join(counts.words, "key", "left")
@@ -492,5 +630,6 @@ def score(df: DataFrame, counts: Counts, model: Model, tokenizer: str, text: str
 
 def fit(texts: DataFrame, tokenizer: str) -> tuple[Counts, Model]:
     """Counts and model of the training texts."""
+    texts = encoded(texts, tokenizer)
     counts = count_corpus(texts, tokenizer)
     return counts, train(texts, new_model(counts.ids, word_ends(tokenizer)), tokenizer)

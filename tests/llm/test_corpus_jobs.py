@@ -376,6 +376,26 @@ def test_overlapping_windows_score_like_single_places():
     assert attention_lm.log10_scores(model, [ids, ids[:3]])[0] == pytest.approx(total / np.log(10), rel=1e-5)
 
 
+@pytest.mark.parametrize("steep", [1, 8])
+def test_scores_and_losses_equal_the_plain_pass(steep):
+    rng = np.random.default_rng(3)
+    model = attention_lm.new_model(rng.integers(0, 50, (2, attention_lm.VOCABULARY)), rng.random(attention_lm.VOCABULARY) < 0.5)
+    model.vector *= np.float32(steep)  # the steep one has exponents beyond 32-bit numbers
+    w, space, scorer = attention_lm.parameters(model.vector), attention_lm._Space(), attention_lm._Scorer(model)
+    assert (scorer.sharpest > attention_lm.EXP_LIMIT) == (steep > 1)
+    for size in (700, 40, 900):  # buffers of one batch are taken again by smaller and larger ones
+        x, following, there = attention_lm.windows_of(rng.integers(0, attention_lm.VOCABULARY, size), model.row)
+        target = model.of_class[following]
+        logits = attention_lm._forward(w, x)[0].astype(float)
+        logits -= logits.max(-1, keepdims=True)
+        plain = np.take_along_axis(logits - np.log(np.exp(logits).sum(-1, keepdims=True)), target[..., None], -1)[..., 0]
+        for skip in (0, attention_lm.CONTEXT):
+            assert np.allclose(scorer(x, target, skip), plain[:, skip:], rtol=1e-3, atol=1e-3)
+        shared, loss = attention_lm.gradient(w, x, target, there, space)
+        assert loss == pytest.approx(-plain[there].mean(), rel=1e-3)
+        assert np.array_equal(shared, attention_lm.gradient(w, x, target, there)[0]) and np.isfinite(shared).all()
+
+
 @pytest.fixture(scope="module")
 def spoken(spark):
     rng = random.Random(7)
@@ -416,6 +436,18 @@ def test_every_training_text_is_learned_from(spoken, spark):
         assert (attention_lm.train(alone, model, tokenizer_path()).vector != model.vector).any(), word
 
 
+def test_stored_ids_are_what_is_learned_from_and_scored(spoken):
+    _, df = spoken
+    coded = attention_lm.encoded(df, tokenizer_path())
+    fits = [attention_lm.fit(t, tokenizer_path()) for t in (df, coded)]
+    assert np.array_equal(fits[0][0].ids, fits[1][0].ids)
+    counts, model = fits[1]
+    # ids are not made again: with other words beside them the scores stay
+    scores = [{r["doc_id"]: r["score"] for r in attention_lm.score(t, counts, model, tokenizer_path()).collect()}
+              for t in (df, coded.withColumn("text", F.lit("dog")))]
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_model_without_training_and_odd_rows(odd, none):
     counts, model = attention_lm.fit(none.select("text"), tokenizer_path())
     rows = attention_lm.score(odd, counts, model, tokenizer_path()).collect()
