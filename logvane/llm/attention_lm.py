@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.subword import subwords
+from logvane.llm.subword import forget, subwords
 from logvane.llm.text import chunks, lowered, small_batches, texts_of, word_hashes, words_of
 from logvane.session import collect_bounded, materialize, share
 
@@ -98,15 +98,15 @@ def _opens(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], ends[ids[:-1]]]) if len(ids) else np.empty(0, bool)
 
 
-def _counting(tokenizer: str):
+def _counting(ends: np.ndarray):
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def batch(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts = [], 0, 0
-        ends, ids = word_ends(tokenizer), np.zeros(2 * VOCABULARY, np.int64)
+        forget()
+        held, size, texts, ids = [], 0, 0, np.zeros(2 * VOCABULARY, np.int64)
         for part in batches:
             column = part.column("text")
             texts += len(column)
@@ -164,7 +164,7 @@ def _most_frequent(words: DataFrame) -> DataFrame:
 def count_corpus(texts: DataFrame, tokenizer: str) -> Counts:
     small_batches(texts.sparkSession)
     counted = materialize(
-        encoded(texts, tokenizer).select("text", IDS).mapInArrow(*_counting(tokenizer)).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts"
+        encoded(texts, tokenizer).select("text", IDS).mapInArrow(*_counting(word_ends(tokenizer))).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm_counts"
     )
     words = counted.filter("kind = 0").select("key", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -462,6 +462,7 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
         shared = share(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget()
             own, windows = shared.value, []
             sums, weight = np.zeros(SIZE), 0
             for batch in batches:
@@ -570,6 +571,7 @@ def _scoring(shared):
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model, keys, logs, known = shared.value
         scorer, row = _Scorer(model), TaskContext.get().partitionId() << 40
         for batch in batches:

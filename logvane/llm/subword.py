@@ -5,7 +5,7 @@ letters, single digits and runs of other marks, and encodes each such run on
 its own. Words of plain Latin characters are parted here, and each run is
 encoded by the tokenizer's model when a worker meets it first; words with any
 other character go through the whole tokenizer. A worker process keeps what it
-has met for its later tasks, within fixed bounds.
+has met for its later tasks, within fixed bounds, until it is told to forget.
 """
 
 from __future__ import annotations
@@ -97,3 +97,8 @@ def subwords(path: str) -> Subwords:
     if path not in _OF_WORKER:
         _OF_WORKER[path] = Subwords(path)
     return _OF_WORKER[path]
+
+
+def forget() -> None:
+    """Give the memory of this process's tokenizers back: for tasks that work on stored ids."""
+    _OF_WORKER.clear()

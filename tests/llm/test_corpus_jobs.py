@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logvane.llm import attention_lm, bin_completion, secret_lexer, simhash_windows, trie_join, warc_revisit
 from logvane.llm.queries import tokenizer_path
-from logvane.llm.subword import Subwords
+from logvane.llm.subword import Subwords, forget, subwords
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -259,6 +259,13 @@ def test_packing_is_whole_gapless_and_tight(spark, monkeypatch):
     assert bound <= check_packing(rows, texts, 64) <= bound + 2
 
 
+def test_tokenizers_are_forgotten():
+    own = subwords(tokenizer_path())
+    assert subwords(tokenizer_path()) is own
+    forget()
+    assert subwords(tokenizer_path()) is not own
+
+
 def test_texts_are_encoded_once(odd):
     assert plan_of(bin_completion.cut(odd, tokenizer_path())).count("ArrowEvalPython") == 1
 
