@@ -7,7 +7,8 @@ probabilities of all ids sum to one. Training is local descent with averaging:
 in every round each task starts from the same parameters, learns from its
 rows of the round's part of the training texts, and Spark sums what the tasks
 arrive at, weighted by their tokens. The parts of all rounds together are all
-training texts, each once.
+training texts, each once. Learning cuts a text into windows that follow one
+another, so every place of a window is learned from.
 
 Every text is encoded once; its ids are stored and read by all later passes.
 Scoring cuts a text into windows that overlap: a window's first ids are context
@@ -48,7 +49,8 @@ CLASSES = OWN_CLASSES + SHARED_CLASSES
 INPUT_IDS = 4_096
 WIDTH, HIDDEN = 16, 32
 WINDOW, CONTEXT = 64, 16
-TOGETHER = 32
+#: windows of a step of learning, and of a scoring pass, whose scores do not hang on it
+TOGETHER, SCORED_TOGETHER = 32, 64
 #: rounds of learning, each from its own part of the training texts
 ROUNDS = 2
 LEAST_STEPS, RATE = 150, 0.01
@@ -201,7 +203,7 @@ SHAPES = {
     "e": (1 + INPUT_IDS + CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
     "o": (WIDTH, WIDTH), "h": (WIDTH, HIDDEN), "hb": (HIDDEN,), "g": (HIDDEN, WIDTH), "u": (WIDTH, CLASSES), "ub": (CLASSES,),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+SIZE = sum(math.prod(s) for s in SHAPES.values())
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
@@ -209,7 +211,7 @@ def parameters(vector: np.ndarray) -> dict[str, np.ndarray]:
     """Views of the parts of a vector."""
     parts, at = {}, 0
     for name, shape in SHAPES.items():
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         parts[name] = vector[at : at + size].reshape(shape)
         at += size
     return parts
@@ -262,12 +264,12 @@ def _log_normal(logits: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(logits - top).sum(-1, keepdims=True))
 
 
-#: exponents of 32-bit numbers stay finite below this
-EXP_LIMIT = 80
+#: exponents of 32-bit numbers stay finite below this, and sums of exponents are sound between these
+EXP_LIMIT, LEAST_SUM, MOST_SUM = 80, 1e-30, 1e30
 _BELOW = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-#: a place's query, key and value stand side by side, and behind them a one; the row is padded to whole cache lines
-_Q, _K, _V, _V1 = slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 3 * WIDTH), slice(2 * WIDTH, 3 * WIDTH + 1)
-_QKV, _ROW = slice(0, 3 * WIDTH), 4 * WIDTH
+#: a place's query and value stand side by side; behind them stands a one in learning, the input in scoring
+_Q, _V, _V1, _H = slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(WIDTH, 2 * WIDTH + 1), slice(2 * WIDTH, 3 * WIDTH)
+_QV, _ROW = slice(0, 2 * WIDTH), 3 * WIDTH
 
 
 class _Space(dict):
@@ -294,30 +296,36 @@ def _longest(rows: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
 
 
-def _side_by_side(w: dict[str, np.ndarray]) -> np.ndarray:
-    """Query, key and value matrices in one; the scale of the scores is part of the queries'."""
-    return np.concatenate([w["q"] * np.asarray(WIDTH**-0.5, w["q"].dtype), w["k"], w["v"]], 1)
+def _sound(sums: np.ndarray) -> bool:
+    """Whether sums of exponents neither overflowed nor vanished."""
+    return sums.min() > LEAST_SUM and sums.max() < MOST_SUM
 
 
-def _attended(w: dict[str, np.ndarray], side: np.ndarray, x: np.ndarray, space: _Space) -> tuple[np.ndarray, ...]:
-    """Inputs, query-key-value rows, unnormalized attention, and behind it values and sums.
+def _side_by_side(w: dict[str, np.ndarray]) -> np.ndarray:
+    """What gives queries and values from inputs, side by side.
 
-    The column of ones behind the values carries the sums of the attention.
+    Queries are taken through the keys' matrix and values through the outputs', so the inputs themselves are the keys
+    and the attended values are added to them as they are.
     """
-    n = len(x)
-    h = space.rows("h", w["e"], x)
-    h += w["p"]
-    rows = space.take("rows", n, WINDOW, _ROW)
-    flat = rows.reshape(-1, _ROW)
-    np.matmul(h.reshape(-1, WIDTH), side, out=flat[:, _QKV])
-    flat[:, 3 * WIDTH] = 1
-    a = space.product("a", rows[:, :, _Q], rows[:, :, _K].transpose(0, 2, 1))
-    if _longest(flat[:, _Q]) * _longest(flat[:, _K]) > EXP_LIMIT:  # trained scores are far smaller
-        a += _MASK
-        a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a *= _BELOW
-    return h, rows, a, space.product("c", a, rows[:, :, _V1])
+    return np.concatenate([w["q"] @ w["k"].T * np.asarray(WIDTH**-0.5, w["q"].dtype), w["v"] @ w["o"]], 1)
+
+
+def _attended(
+    queries: np.ndarray, keys: np.ndarray, values: np.ndarray, skip: int, space: _Space
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unnormalized attention of the queries from place ``skip`` on, what it gives, and its sums."""
+    for steep in (False, True):
+        a = space.product("a", queries, keys.transpose(0, 2, 1))
+        if steep:
+            a += _MASK[skip:]
+            a -= a.max(-1, keepdims=True)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(a, out=a)
+            a *= _BELOW[skip:]
+            sums = a @ np.ones(WINDOW, a.dtype)
+        if _sound(sums):  # trained scores are far from the limits
+            break
+    return a, space.product("c", a, values), sums[:, :, None]
 
 
 def _classes(w: dict[str, np.ndarray], o: np.ndarray, target: np.ndarray, space: _Space) -> tuple[np.ndarray, ...]:
@@ -327,15 +335,19 @@ def _classes(w: dict[str, np.ndarray], o: np.ndarray, target: np.ndarray, space:
     np.maximum(m, 0, out=m)
     z = space.product("z", m, w["g"])
     z += o
-    d = space.product("d", z, w["u"])
-    d += w["ub"]
-    if _longest(z) * np.sqrt((w["u"] ** 2).sum(0).max()) + np.abs(w["ub"]).max() > EXP_LIMIT:
-        d -= d.max(-1, keepdims=True)
-    spot = np.arange(0, d.size, CLASSES)
+    spot = np.arange(0, len(z) * CLASSES, CLASSES)
     spot += target
-    found = d.reshape(-1)[spot]
-    np.exp(d, out=d)
-    sums = d @ np.ones(CLASSES, d.dtype)
+    for steep in (False, True):
+        d = space.product("d", z, w["u"])
+        d += w["ub"]
+        if steep:
+            d -= d.max(-1, keepdims=True)
+        found = d.reshape(-1)[spot]
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(d, out=d)
+            sums = d @ np.ones(CLASSES, d.dtype)
+        if _sound(sums):
+            break
     return m, z, d, sums, spot, found - np.log(sums)
 
 
@@ -344,7 +356,8 @@ def gradient(
 ) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over the places that count, as a vector, and that loss.
 
-    Behind the attention only the places that count are looked at. The vector is the space's own.
+    Behind the attention only the places that count are looked at; where nearly all do, the others weigh nothing.
+    The vector is the space's own.
     """
     space = _Space(w["e"].dtype) if space is None else space
     vector = space.take("vector", SIZE)
@@ -353,19 +366,25 @@ def gradient(
     if not len(at):
         return vector, 0.0
     n, side = len(at), _side_by_side(w)
-    h, rows, a, c = _attended(w, side, x, space)
-    flat = h.reshape(-1, WIDTH)
-    c = space.rows("c_at", c.reshape(-1, WIDTH + 1), at)
-    inverse = 1 / c[:, WIDTH:]
+    most = n > 0.8 * counted.size
+    h = space.rows("h", w["e"], x)
+    h += w["p"]
+    rows = space.take("rows", *x.shape, _ROW)
+    flat, inputs = rows.reshape(-1, _ROW), h.reshape(-1, WIDTH)
+    np.matmul(inputs, side, out=flat[:, _QV])
+    flat[:, 2 * WIDTH] = 1
+    a, c, inverse = _attended(rows[:, :, _Q], h, rows[:, :, _V], 0, space)
+    np.reciprocal(inverse, out=inverse)
     c *= inverse
-    c = c[:, :WIDTH]
-    o = space.product("o", c, w["o"])
-    o += space.rows("h_at", flat, at)
-    m, z, d, total, spot, found = _classes(w, o, target.ravel()[at], space)
-    total *= n
-    d /= total[:, None]
-    d.reshape(-1)[spot] -= np.asarray(1 / n, d.dtype)
-    ones = np.ones(n, d.dtype)
+    c, inverse, own, target = c.reshape(-1, WIDTH), inverse.ravel(), inputs, target.ravel()
+    if not most:
+        c, inverse, own, target = space.rows("c_at", c, at), inverse[at], space.rows("h_at", inputs, at), target[at]
+    o = np.add(c, own, out=space.take("o", *own.shape))
+    m, z, d, total, spot, found = _classes(w, o, target, space)
+    weight = (counted.ravel() if most else np.ones(n)).astype(d.dtype) / n
+    d *= (weight / total)[:, None]
+    d.reshape(-1)[spot] -= weight
+    ones = np.ones(len(d), d.dtype)
     g["u"][:], g["ub"][:] = (d.T @ z).T, ones @ d
     dz = space.product("dz", d, w["u"].T)
     g["g"][:] = m.T @ dz
@@ -373,43 +392,50 @@ def gradient(
     dm *= np.greater(m, 0, out=m)
     g["h"][:], g["hb"][:] = o.T @ dm, ones @ dm
     dz += space.product("do", dm, w["h"].T)
-    g["o"][:] = c.T @ dz
     # a row of the softmax takes its own mean off: a last column that meets the values' ones
-    dc = space.take("dc", n, WIDTH + 1)
-    np.matmul(dz, w["o"].T, out=dc[:, :WIDTH])
-    np.einsum("ij,ij->i", dc[:, :WIDTH], c, out=dc[:, WIDTH])
-    dc[:, WIDTH] *= -1
-    dc *= inverse
-    back = space.take("back", len(x), WINDOW, WIDTH + 1)
-    back[:] = 0
-    back.reshape(-1, WIDTH + 1)[at] = dc
+    back = space.take("back", *x.shape, WIDTH + 1)
+    spread = back.reshape(-1, WIDTH + 1)
+    dc = spread if most else space.take("dc", n, WIDTH + 1)
+    np.einsum("ij,ij->i", dz, c, out=dc[:, WIDTH])
+    dc[:, WIDTH] *= -inverse
+    np.multiply(dz, inverse[:, None], out=dc[:, :WIDTH])
+    if not most:
+        back[:] = 0
+        spread[at] = dc
     ds = space.product("ds", back, rows[:, :, _V1].transpose(0, 2, 1))
     ds *= a
-    drows = space.take("drows", *rows.shape)
-    np.matmul(ds, rows[:, :, _K], out=drows[:, :, _Q])
-    np.matmul(ds.transpose(0, 2, 1), rows[:, :, _Q], out=drows[:, :, _K])
+    drows = space.take("drows", *x.shape, 2 * WIDTH)
+    np.matmul(ds, h, out=drows[:, :, _Q])
     np.matmul(a.transpose(0, 2, 1), back[:, :, :WIDTH], out=drows[:, :, _V])
-    drows = drows.reshape(-1, _ROW)[:, _QKV]
-    sides = (drows.T @ flat).T
-    g["q"][:], g["k"][:], g["v"][:] = sides[:, _Q] * np.asarray(WIDTH**-0.5, d.dtype), sides[:, _K], sides[:, _V]
+    keys = space.product("dk", ds.transpose(0, 2, 1), rows[:, :, _Q]).reshape(-1, WIDTH)
+    drows = drows.reshape(-1, 2 * WIDTH)
+    sides = (drows.T @ inputs).T
+    scores, values = sides[:, _Q] * np.asarray(WIDTH**-0.5, d.dtype), sides[:, _V]
+    g["q"][:], g["k"][:] = scores @ w["k"], scores.T @ w["q"]
+    g["v"][:], g["o"][:] = values @ w["o"].T, w["v"].T @ values
     dh = space.product("dh", drows, side.T)
-    dh[at] += dz
+    dh += keys
+    dh[slice(None) if most else at] += dz
     g["p"][:] = dh.reshape(h.shape).sum(0)
-    # one-dimensional additions are many times faster than those of rows
-    np.add.at(g["e"].reshape(-1), np.add.outer(x.ravel() * WIDTH, np.arange(WIDTH)).ravel(), dh.ravel())
-    return vector, -float(found.sum()) / n
+    # one-dimensional sums are many times faster than additions of rows
+    spots = np.add.outer(x.ravel() * WIDTH, np.arange(WIDTH)).ravel()
+    g["e"].reshape(-1)[:] = np.bincount(spots, dh.ravel(), g["e"].size)
+    return vector, -float(found @ weight)
 
 
-def windows_of(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows, next ids and the places that count, of a text's windows; its end is the last next id."""
+def windows_of(ids: np.ndarray, row: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows, next ids and the places that count, of a text's windows; its end is the last next id.
+
+    Every next id counts once; windows after the first begin with ``context`` places that do not count.
+    """
     following = np.append(ids, END)
     before = np.concatenate([[0], row[ids]])
-    step = WINDOW - CONTEXT
+    step = WINDOW - context
     count = 1 + max(0, -(-(len(following) - WINDOW) // step))
     at = step * np.arange(count)[:, None] + np.arange(WINDOW)
     there = at < len(following)
     at = np.minimum(at, len(following) - 1)
-    there[1:, :CONTEXT] = False
+    there[1:, :context] = False
     return before[at], following[at], there
 
 
@@ -456,29 +482,32 @@ def parts_of(texts: DataFrame) -> list[DataFrame]:
     return [texts.filter(part == number).select(IDS if IDS in texts.columns else "text") for number in range(ROUNDS)]
 
 
+def _learning(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        own, windows = shared.value, []
+        sums, weight = np.zeros(SIZE), 0
+        for batch in batches:
+            # nothing is learned from a place that is context only: these windows do not overlap
+            windows += [windows_of(ids, own.row, 0) for ids in _ids_of(batch)]
+            if sum(len(w[0]) for w in windows) > 20_000:
+                vector, n = learn(own, windows, 1)
+                sums, weight, windows = sums + vector.astype(float) * n, weight + n, []
+        if windows:
+            vector, n = learn(own, windows, 1)
+            sums, weight = sums + vector.astype(float) * n, weight + n
+        if weight:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(-1, SIZE)), pa.array(np.concatenate([[float(weight)], sums]))], ["place", "value"]
+            )
+
+    return run
+
+
 def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
     """Rounds of learning in all tasks and averaging; place -1 holds the weight."""
     for part in parts_of(encoded(texts, tokenizer)):
-        shared = share(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            forget()
-            own, windows = shared.value, []
-            sums, weight = np.zeros(SIZE), 0
-            for batch in batches:
-                windows += [windows_of(ids, own.row) for ids in _ids_of(batch)]
-                if sum(len(w[0]) for w in windows) > 20_000:
-                    vector, n = learn(own, windows, 1)
-                    sums, weight, windows = sums + vector.astype(float) * n, weight + n, []
-            if windows:
-                vector, n = learn(own, windows, 1)
-                sums, weight = sums + vector.astype(float) * n, weight + n
-            if weight:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(-1, SIZE)), pa.array(np.concatenate([[float(weight)], sums]))], ["place", "value"]
-                )
-
-        rows = part.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        rows = part.mapInArrow(_learning(share(model)), "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
         got = collect_bounded(rows, SIZE + 1, "parameters")
         if got:
             vector = np.zeros(SIZE + 1)
@@ -491,50 +520,25 @@ def train(texts: DataFrame, model: Model, tokenizer: str) -> Model:
 class _Scorer:
     """The forward pass alone: what `_forward` gives, with fewer passes over memory.
 
-    Queries, keys and values are linear in the input rows, so each is worked out
-    once for every row and place and looked up; inputs stand behind them.
+    Queries and values are linear in the input rows, so each is worked out once
+    for every row and place and looked up; inputs stand behind them.
     """
 
     def __init__(self, model: Model):
         self.w, self.space = parameters(model.vector), _Space()
         wide = np.concatenate([_side_by_side(self.w), np.eye(WIDTH, dtype=np.float32)], 1)
         self.rows, self.places = self.w["e"] @ wide, self.w["p"] @ wide
-        longest = [_longest(self.rows[:, part]) + _longest(self.places[:, part]) for part in (_Q, _K)]
+        longest = [_longest(self.rows[:, part]) + _longest(self.places[:, part]) for part in (_Q, _H)]
         self.sharpest = longest[0] * longest[1]
-        self.steepest, self.most = np.sqrt((self.w["u"] ** 2).sum(0).max()), np.abs(self.w["ub"]).max()
-        self.odds, self.ones = np.exp(self.w["ub"]), np.ones(max(WINDOW, CLASSES), np.float32)
 
     def __call__(self, x: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
         """Natural logarithms of the class probabilities of the targets from place ``skip`` on."""
-        w, space = self.w, self.space
-        rows = space.rows("rows", self.rows, x)
+        rows = self.space.rows("rows", self.rows, x)
         rows += self.places
-        q, h = rows[:, skip:, _Q], rows[:, skip:, 3 * WIDTH :]
-        a = space.product("a", q, rows[:, :, _K].transpose(0, 2, 1))
-        flat = rows.reshape(-1, _ROW)
-        if self.sharpest > EXP_LIMIT and _longest(flat[:, _Q]) * _longest(flat[:, _K]) > EXP_LIMIT:  # trained scores are far smaller
-            a += _MASK[skip:]
-            a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a *= _BELOW[skip:]
-        c = space.product("c", a, rows[:, :, _V])
-        c /= (a @ self.ones[:WINDOW])[:, :, None]
-        o = space.product("o", c.reshape(-1, WIDTH), w["o"])
-        o.reshape(h.shape)[:] += h
-        m = space.product("m", o, w["h"])
-        m += w["hb"]
-        np.maximum(m, 0, out=m)
-        z = space.product("z", m, w["g"])
-        z += o
-        d = space.product("d", z, w["u"])
-        odds, bias, target = self.odds, w["ub"], target[:, skip:].ravel()
-        if _longest(z) * self.steepest + self.most > EXP_LIMIT:
-            d += bias
-            d -= d.max(-1, keepdims=True)
-            odds, bias = self.ones[:CLASSES], np.zeros_like(bias)
-        found = d.reshape(-1)[np.arange(0, d.size, CLASSES) + target] + bias[target]
-        np.exp(d, out=d)
-        return (found - np.log(d @ odds)).reshape(len(x), WINDOW - skip)
+        _, c, sums = _attended(rows[:, skip:, _Q], rows[:, :, _H], rows[:, :, _V], skip, self.space)
+        c /= sums
+        c += rows[:, skip:, _H]
+        return _classes(self.w, c.reshape(-1, WIDTH), target[:, skip:].ravel(), self.space)[-1].reshape(len(x), WINDOW - skip)
 
 
 def log10_scores(model: Model, texts: list[np.ndarray], scorer: _Scorer | None = None) -> np.ndarray:
@@ -544,21 +548,23 @@ def log10_scores(model: Model, texts: list[np.ndarray], scorer: _Scorer | None =
     number = np.array([len(p[0]) for p in parts])
     owner = np.repeat(np.arange(len(texts)), number)
     x, nxt, there = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    first = np.zeros(len(x), bool)
+    target, first = model.of_class[nxt], np.zeros(len(x), bool)
     first[np.cumsum(number) - number] = True
     sums = np.zeros(len(x))
     # a later window's first places are context only: nothing is asked of them
     for skip, windows in ((0, np.flatnonzero(first)), (CONTEXT, np.flatnonzero(~first))):
-        for begin in range(0, len(windows), TOGETHER):
-            part = windows[begin : begin + TOGETHER]
-            following = nxt[part]
-            # the share of an id, by whether it begins a word
-            opens = np.ones(following.shape, np.int64)
-            opens[:, 1:] = model.ends[following[:, :-1]]
-            found = scorer(x[part], model.of_class[following], skip)
-            found = found + model.within[opens[:, skip:], following[:, skip:]]
+        for begin in range(0, len(windows), SCORED_TOGETHER):
+            part = windows[begin : begin + SCORED_TOGETHER]
+            found = scorer(x[part], target[part], skip)
             sums[part] = (found * there[part, skip:]).sum(1, dtype=np.float64)
-    return np.bincount(owner, sums, len(texts)) / LOG10
+    # the share of an id in its class, by whether it begins a word
+    stream = np.concatenate([np.append(ids, END) for ids in texts])
+    size = np.array([len(ids) + 1 for ids in texts])
+    opens = np.empty(len(stream), np.int64)
+    opens[1:] = model.ends[stream[:-1]]
+    opens[np.cumsum(size) - size] = 1
+    shares = np.add.reduceat(model.within[opens, stream], np.cumsum(size) - size)
+    return (np.bincount(owner, sums, len(texts)) + shares) / LOG10
 
 
 # ---- scoring
