@@ -7,8 +7,7 @@ probabilities of all ids sum to one. Training is local descent with averaging:
 in every round each task starts from the same parameters, learns from its
 rows of the round's part of the training texts, and Spark sums what the tasks
 arrive at, weighted by their tokens. The parts of all rounds together are all
-training texts, each once. Learning cuts a text into windows that follow one
-another, so every place of a window is learned from.
+training texts, each once.
 
 Every text is encoded once; its ids are stored and read by all later passes.
 Scoring cuts a text into windows that overlap: a window's first ids are context
@@ -356,8 +355,7 @@ def gradient(
 ) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over the places that count, as a vector, and that loss.
 
-    Behind the attention only the places that count are looked at; where nearly all do, the others weigh nothing.
-    The vector is the space's own.
+    Behind the attention only the places that count are looked at. The vector is the space's own.
     """
     space = _Space(w["e"].dtype) if space is None else space
     vector = space.take("vector", SIZE)
@@ -366,7 +364,6 @@ def gradient(
     if not len(at):
         return vector, 0.0
     n, side = len(at), _side_by_side(w)
-    most = n > 0.8 * counted.size
     h = space.rows("h", w["e"], x)
     h += w["p"]
     rows = space.take("rows", *x.shape, _ROW)
@@ -376,15 +373,14 @@ def gradient(
     a, c, inverse = _attended(rows[:, :, _Q], h, rows[:, :, _V], 0, space)
     np.reciprocal(inverse, out=inverse)
     c *= inverse
-    c, inverse, own, target = c.reshape(-1, WIDTH), inverse.ravel(), inputs, target.ravel()
-    if not most:
-        c, inverse, own, target = space.rows("c_at", c, at), inverse[at], space.rows("h_at", inputs, at), target[at]
-    o = np.add(c, own, out=space.take("o", *own.shape))
-    m, z, d, total, spot, found = _classes(w, o, target, space)
-    weight = (counted.ravel() if most else np.ones(n)).astype(d.dtype) / n
-    d *= (weight / total)[:, None]
-    d.reshape(-1)[spot] -= weight
-    ones = np.ones(len(d), d.dtype)
+    c, inverse = space.rows("c_at", c.reshape(-1, WIDTH), at), inverse.ravel()[at]
+    o = space.rows("o", inputs, at)
+    o += c
+    m, z, d, total, spot, found = _classes(w, o, target.ravel()[at], space)
+    total *= n
+    d /= total[:, None]
+    d.reshape(-1)[spot] -= np.asarray(1 / n, d.dtype)
+    ones = np.ones(n, d.dtype)
     g["u"][:], g["ub"][:] = (d.T @ z).T, ones @ d
     dz = space.product("dz", d, w["u"].T)
     g["g"][:] = m.T @ dz
@@ -393,15 +389,13 @@ def gradient(
     g["h"][:], g["hb"][:] = o.T @ dm, ones @ dm
     dz += space.product("do", dm, w["h"].T)
     # a row of the softmax takes its own mean off: a last column that meets the values' ones
-    back = space.take("back", *x.shape, WIDTH + 1)
-    spread = back.reshape(-1, WIDTH + 1)
-    dc = spread if most else space.take("dc", n, WIDTH + 1)
+    dc = space.take("dc", n, WIDTH + 1)
     np.einsum("ij,ij->i", dz, c, out=dc[:, WIDTH])
     dc[:, WIDTH] *= -inverse
     np.multiply(dz, inverse[:, None], out=dc[:, :WIDTH])
-    if not most:
-        back[:] = 0
-        spread[at] = dc
+    back = space.take("back", *x.shape, WIDTH + 1)
+    back[:] = 0
+    back.reshape(-1, WIDTH + 1)[at] = dc
     ds = space.product("ds", back, rows[:, :, _V1].transpose(0, 2, 1))
     ds *= a
     drows = space.take("drows", *x.shape, 2 * WIDTH)
@@ -415,27 +409,24 @@ def gradient(
     g["v"][:], g["o"][:] = values @ w["o"].T, w["v"].T @ values
     dh = space.product("dh", drows, side.T)
     dh += keys
-    dh[slice(None) if most else at] += dz
+    dh[at] += dz
     g["p"][:] = dh.reshape(h.shape).sum(0)
     # one-dimensional sums are many times faster than additions of rows
     spots = np.add.outer(x.ravel() * WIDTH, np.arange(WIDTH)).ravel()
     g["e"].reshape(-1)[:] = np.bincount(spots, dh.ravel(), g["e"].size)
-    return vector, -float(found @ weight)
+    return vector, -float(found.sum()) / n
 
 
-def windows_of(ids: np.ndarray, row: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows, next ids and the places that count, of a text's windows; its end is the last next id.
-
-    Every next id counts once; windows after the first begin with ``context`` places that do not count.
-    """
+def windows_of(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows, next ids and the places that count, of a text's windows; its end is the last next id."""
     following = np.append(ids, END)
     before = np.concatenate([[0], row[ids]])
-    step = WINDOW - context
+    step = WINDOW - CONTEXT
     count = 1 + max(0, -(-(len(following) - WINDOW) // step))
     at = step * np.arange(count)[:, None] + np.arange(WINDOW)
     there = at < len(following)
     at = np.minimum(at, len(following) - 1)
-    there[1:, :context] = False
+    there[1:, :CONTEXT] = False
     return before[at], following[at], there
 
 
@@ -488,8 +479,7 @@ def _learning(shared):
         own, windows = shared.value, []
         sums, weight = np.zeros(SIZE), 0
         for batch in batches:
-            # nothing is learned from a place that is context only: these windows do not overlap
-            windows += [windows_of(ids, own.row, 0) for ids in _ids_of(batch)]
+            windows += [windows_of(ids, own.row) for ids in _ids_of(batch)]
             if sum(len(w[0]) for w in windows) > 20_000:
                 vector, n = learn(own, windows, 1)
                 sums, weight, windows = sums + vector.astype(float) * n, weight + n, []
