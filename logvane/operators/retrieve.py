@@ -15,8 +15,9 @@ from logvane.session import TooLarge, collect_bounded, share
 
 # up to this many queries are shipped to every executor
 MAX_SHARED_QUERIES = 2_000
-BLOCK_QUERIES = 2_000
-BLOCK_DOCS = 20_000
+# rows and coordinates of a block beyond (50,000 vectors of 64), and rows below which a block is not cut for the sake of more tasks
+BLOCK_QUERIES = BLOCK_DOCS = 50_000
+BLOCK_VALUES, LEAST_BLOCK = 3_200_000, 1_000
 # distances held at once (16 MB), and rows compared at once
 MATRIX_VALUES = 2_000_000
 ROWS_TOGETHER = 5_000
@@ -48,14 +49,22 @@ class _TopK:
             if self.metric == "cosine":
                 away = 1.0 - mine @ rows.T
             else:
-                away = np.sqrt(np.maximum((mine**2).sum(1)[:, None] + own[None, :] - 2.0 * mine @ rows.T, 0.0))
+                squares = (mine**2).sum(1)
+                away = np.maximum(squares[:, None] + own[None, :] - 2.0 * mine @ rows.T, 0.0)
             if away.shape[1] > self.k:
                 # ties at the limit all stay: the document decides between them
                 limit = np.partition(away, self.k - 1, axis=1)[:, self.k - 1]
-                query, at = np.nonzero(away <= limit[:, None] + 2 * 10.0**-DIGITS)
+                if self.metric == "cosine":
+                    limit = limit + 2 * 10.0**-DIGITS
+                else:
+                    # squares from products are off by their rounding
+                    blur = 1e-12 * (squares + own.max())
+                    limit = (np.sqrt(limit + blur) + 2 * 10.0**-DIGITS) ** 2 + blur
+                query, at = np.nonzero(away <= limit[:, None])
             else:
                 query, at = (x.ravel() for x in np.indices(away.shape))
-            found.append((part[query], at, np.round(away[query, at], DIGITS)))
+            near = away[query, at] if self.metric == "cosine" else _distances(mine, rows, query, at)
+            found.append((part[query], at, np.round(near, DIGITS)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def add(self, collections: np.ndarray, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray | None = None) -> None:
@@ -97,6 +106,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1.0)
 
 
+def _distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of some pairs of rows, from differences: equal rows have distance 0 however they are dealt out."""
+    step = max(1, MATRIX_VALUES // max(a.shape[1], 1))
+    parts = [np.sqrt(((a[i[s : s + step]] - b[j[s : s + step]]) ** 2).sum(1)) for s in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -145,17 +161,29 @@ def _nearest_shared(rows: list, docs: DataFrame, k: int, metric: str, schema: st
     return docs.mapInPandas(search, schema)
 
 
-def _nearest_blocked(queries: DataFrame, docs: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    query_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    doc_blocks = max(1, math.ceil(docs.count() / BLOCK_DOCS))
+def block_numbers(queries: int, docs: int, width: int, tasks: int) -> tuple[int, int]:
+    """Blocks of queries and of documents: bounded in size, and enough pairs of them for all tasks."""
+    most, side = max(1, BLOCK_VALUES // max(width or 1, 1)), math.ceil(math.sqrt(2 * tasks))
+    blocks = lambda n, rows: max(1, math.ceil(n / min(rows, most)), min(side, n // LEAST_BLOCK))
+    return blocks(queries, BLOCK_QUERIES), blocks(docs, BLOCK_DOCS)
+
+
+def blocks_met(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, width: int):
+    """Both sides grouped by pairs of blocks, to be compared by ``cogroup``: a row is copied once per block of the other side."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    query_blocks, doc_blocks = block_numbers(queries.count(), docs.count(), width, tasks)
+    # small blocks are much work: the adaptive planner would merge them into few tasks
+    parts = min(2 * query_blocks * doc_blocks, 2_000)
 
     def blocked(df, own, own_blocks, key, other, other_blocks):
         placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+        copied = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+        return copied.repartition(parts, "qb", "db").groupBy("qb", "db")
+
+    return blocked(queries, "qb", query_blocks, query_id, "db", doc_blocks).cogroup(blocked(docs, "db", doc_blocks, doc_id, "qb", query_blocks))
 
-    left = blocked(queries, "qb", query_blocks, "query_id", "db", doc_blocks)
-    right = blocked(docs, "db", doc_blocks, "doc_id", "qb", query_blocks)
 
+def _nearest_blocked(queries: DataFrame, docs: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame(columns=["query_id", "collection", "doc_id", "distance"])
@@ -163,7 +191,8 @@ def _nearest_blocked(queries: DataFrame, docs: DataFrame, k: int, metric: str, s
         top.add(d["collection"].to_numpy(), d["doc_id"].to_numpy(), _matrix(d["vector"]))
         return top.frame()
 
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(search, schema)
+    width = docs.agg(F.max(F.size("vector"))).first()[0]
+    return blocks_met(queries, docs, "query_id", "doc_id", width).applyInPandas(search, schema)
 
 
 def most_similar(centers: DataFrame, key: str = "topic", vector: str = "centroid", k: int = 10) -> DataFrame:

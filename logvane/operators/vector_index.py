@@ -88,9 +88,9 @@ def _cell_column(centroids: np.ndarray, metric: str):
 
 def build_index(
     docs: DataFrame, path: str, metric: str = "cosine", cells: int | None = None, collection: str = "collection", doc_id: str = "doc_id",
-    vector: str = "embedding", fit_rows: int = FIT_ROWS, seed: int = 7,
+    vector: str = "embedding", fit_rows: int | None = FIT_ROWS, seed: int = 7,
 ) -> VectorIndex:
-    """Fit centroids on about ``fit_rows`` rows, chosen by the hash of id and vector, and store every row by its cell."""
+    """Fit centroids on about ``fit_rows`` rows, chosen by the hash of id and vector (None: on all), and store every row by its cell."""
     spark = docs.sparkSession
     rows = docs.select(F.col(collection).alias("collection"), F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector"))
     count, missing = rows.agg(F.count("*"), F.count_if(F.col("vector").isNull())).first()
@@ -99,6 +99,7 @@ def build_index(
     wanted = min(cells or max(1, round(count / ROWS_PER_CELL), round(count**0.5 / 2)), MAX_CELLS, max(count, 1))
     centroids = np.empty((0, 0))
     if count:
+        fit_rows = count if fit_rows is None else fit_rows
         # a filter: no task holds or sorts the drawn rows
         drawn = rows if count <= fit_rows else rows.filter(F.pmod(F.xxhash64("collection", "doc_id", "vector"), F.lit(count)) < fit_rows)
         if count > fit_rows and drawn.isEmpty():
@@ -300,27 +301,60 @@ def _search_blocked(index, q, like, k, probes, schema, kinds):
         blocked(stored.join(cells, "cell"), "d", "q", "doc_id").groupBy(*by)).applyInPandas(compare, schema)
 
 
-def probes_for(index: VectorIndex, docs: DataFrame, k: int = 5, recall: float = 0.95, vector: str = "embedding", measured: int = MEASURED) -> int:
+def rows_in_reach(index: VectorIndex, queries: DataFrame, like: DataFrame, probes: int, vector: str = "embedding") -> DataFrame:
+    """``query_id, n_rows``: the stored rows in the cells that a query probes; of repeated ids the most."""
+    counts = np.zeros(index.cells, np.int64)
+    counted = stored_rows(queries.sparkSession, index, like).groupBy("cell").agg(F.count("*").alias("n"))
+    for row in collect_bounded(counted, max(index.cells, 1), "cells"):
+        counts[row["cell"]] = row["n"]
+    shared, metric = share((index.centroids, counts)), index.metric
+
+    @F.pandas_udf("long")
+    def reached(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int64")
+        centroids, counts = shared.value
+        return pd.Series(counts[_ranked_cells(_matrix(vectors), centroids, probes, metric)].sum(axis=1))
+
+    return queries.select("query_id", reached(F.col(vector).cast("array<double>")).alias("n_rows")).groupBy("query_id").agg(F.max("n_rows").alias("n_rows"))
+
+
+def _cell_places(vectors: np.ndarray, cells: np.ndarray, index_centroids: np.ndarray, metric: str) -> np.ndarray:
+    """The place of a cell in each vector's order of cells, as ``_ranked_cells`` has it, without sorting."""
+    rows = _unit(vectors) if metric == "cosine" else vectors
+    own, found = (index_centroids**2).sum(1)[None, :], np.empty(len(rows), np.int32)
+    together, numbers = max(1, MATRIX_VALUES // len(index_centroids)), np.arange(len(index_centroids))
+    for start in range(0, len(rows), together):
+        squared = np.round(own - 2.0 * rows[start : start + together] @ index_centroids.T, 10)
+        cell = cells[start : start + together, None]
+        mine = np.take_along_axis(squared, cell, axis=1)
+        found[start : start + together] = ((squared < mine) | ((squared == mine) & (numbers < cell))).sum(axis=1)
+    return found
+
+
+def probes_for(
+    index: VectorIndex, docs: DataFrame, k: int = 5, recall: float = 0.95, vector: str = "embedding", measured: int | None = MEASURED
+) -> int:
     """The fewest probes with which so many of the exact neighbours of some stored passages would be found.
 
-    The passages are the ``measured`` ones with the smallest hash of their ids.
+    The passages are the ``measured`` ones with the smallest hash of their ids, or all where that is None.
     """
     if not index.cells:
         return 1
     rows = docs.select("doc_id", F.col(vector).alias("embedding"))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(measured).select(F.col("doc_id").alias("query_id"), "embedding")
+    some = rows if measured is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(measured)
+    some = some.select(F.col("doc_id").alias("query_id"), "embedding")
     exact = nearest(some, docs.select("collection", "doc_id", F.col(vector).alias("embedding")), k, index.metric).select("query_id", "collection", "doc_id")
     stored = stored_rows(docs.sparkSession, index, docs).select("collection", "doc_id", "cell")
     same = F.col("collection").eqNullSafe(F.col("s_collection")) & (F.col("doc_id") == F.col("s_doc"))
     cells = exact.join(stored.select(F.col("collection").alias("s_collection"), F.col("doc_id").alias("s_doc"), "cell"), same)
-    shared, metric, every = share(index.centroids), index.metric, index.cells
+    shared, metric = share(index.centroids), index.metric
 
     @F.pandas_udf("int")
     def place(vectors: pd.Series, cells: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype="int32")
-        order = _ranked_cells(_matrix(vectors), shared.value, every, metric)
-        return pd.Series((order == cells.to_numpy()[:, None]).argmax(axis=1).astype(np.int32))
+        return pd.Series(_cell_places(_matrix(vectors), cells.to_numpy(), shared.value, metric))
 
     placed = cells.join(some, "query_id").select(place("embedding", "cell").alias("place"))
     share_of = placed.agg(F.percentile("place", F.lit(recall))).first()[0]

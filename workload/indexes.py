@@ -39,36 +39,38 @@ def indexed_passages_blocked(spark, sf_dir):
     return _nearest_shown(vector_index.search(_index(spark, sf_dir, "passages", kb), _queries(spark, sf_dir), kb, max_shared=1))
 
 
-def _recall(spark, sf_dir):
-    """For every twentieth vector: of its ten exact neighbours in the whole table, those that the probed cells give."""
+def _recall(spark, sf_dir, asked="true", measured=vector_index.MEASURED):
+    """For the vectors ``asked``: of their ten exact neighbours in the whole table, those that the probed cells give."""
     docs = _vectors(spark, sf_dir)
-    index = _index(spark, sf_dir, "vectors", docs)
-    probes = vector_index.probes_for(index, docs, 10)
-    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    index = _index(spark, sf_dir, "vectors", docs, fit_rows=None)
+    probes = vector_index.probes_for(index, docs, 10, measured=measured)
+    queries = docs.filter(asked).select(F.col("doc_id").alias("query_id"), "embedding")
     found = vector_index.search(index, queries, docs, 10, probes).select("query_id", "doc_id", F.lit(1).alias("hit"))
     exact = retrieve.nearest(queries, docs, 10).select("query_id", "doc_id")
     hits = exact.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
-    return hits, probes, index
+    return hits, probes, index, queries
 
 
 def index_recall(spark, sf_dir):
     """Queries, exact neighbours, and whether nine of ten are found with the measured number of probes."""
-    hits, _, _ = _recall(spark, sf_dir)
+    hits, *_ = _recall(spark, sf_dir, "doc_id % 20 = 0")
     return hits.agg(
         F.count("*").alias("n_queries"), F.sum("n_exact").alias("n_exact"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_reached")
     )
 
 
 def index_probes(spark, sf_dir):
-    """Recall of every query beside the cells probed, those there are, and the stored rows in reach."""
-    hits, probes, index = _recall(spark, sf_dir)
-    return hits.select("query_id", (F.col("n_found") / F.col("n_exact")).alias("recall"), F.lit(probes).alias("probes"), F.lit(index.cells).alias("cells"))
+    """Recall of every vector as a query beside the cells probed, those there are, and the stored rows in reach."""
+    hits, probes, index, queries = _recall(spark, sf_dir, measured=None)
+    reach = vector_index.rows_in_reach(index, queries, _vectors(spark, sf_dir), probes)
+    return hits.join(reach, "query_id", "left").select(
+        "query_id", (F.col("n_found") / F.col("n_exact")).alias("recall"), F.lit(probes).alias("probes"), F.lit(index.cells).alias("cells"), "n_rows")
 
 
 def index_cells(spark, sf_dir):
     """Rows by collection as the index holds them, each once."""
     docs = _vectors(spark, sf_dir)
-    rows = vector_index.stored_rows(spark, _index(spark, sf_dir, "vectors", docs), docs)
+    rows = vector_index.stored_rows(spark, _index(spark, sf_dir, "vectors", docs, fit_rows=None), docs)
     return rows.groupBy("collection").agg(F.count("*").alias("n_rows"), F.sum("doc_id").alias("id_sum"), F.count_distinct("doc_id").alias("n_ids"))
 
 
@@ -87,7 +89,7 @@ def _hierarchical(spark, sf_dir):
 
 def _clustered(spark, sf_dir):
     docs = _vectors(spark, sf_dir).withColumn("weight", F.lit(1))
-    index = _index(spark, sf_dir, "vectors", docs)
+    index = _index(spark, sf_dir, "vectors", docs, fit_rows=None)
     queries = docs.select(F.col("doc_id").alias("query_id"), "embedding")
     near = vector_index.search(index, queries, docs, NEIGHBOURS, vector_index.probes_for(index, docs, NEIGHBOURS))
     # a unit vector's distance is that of its cosine
