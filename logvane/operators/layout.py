@@ -10,8 +10,8 @@ from a few others, drawn by a hash of point, round and number, and its moves
 are summed by one aggregation. No point's edges are ever held together, places
 stay a table, and the same input gives the same map on any cluster.
 
-How well neighbourhoods survive is measured as trustworthiness, for a stated
-number of points against all rows.
+How well neighbourhoods survive is measured as trustworthiness, for all points
+against all rows; the pairs are compared in blocks and never held together.
 
 Defined cases: a point without neighbours is only pushed. Equal vectors keep
 distinct places only if their starts differ. Keys are distinct; an empty table
@@ -21,21 +21,20 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logvane.operators.retrieve import _matrix, _unit, nearest
+from logvane.operators.retrieve import MATRIX_VALUES, _matrix, _unit, blocks_met, nearest
 from logvane.operators.running import numbered
-from logvane.session import BROADCAST_ROWS, collect_bounded, materialize, share
+from logvane.session import BROADCAST_ROWS, materialize
 
 ROUNDS, PUSHED, PUSH = 60, 5, 1.0
 SPREAD = 10.0
-#: points whose neighbourhoods are judged
-JUDGED = 500
 
 
 def fuzzy_edges(neighbours: DataFrame) -> DataFrame:
@@ -88,47 +87,58 @@ def embed_neighbours(starts: DataFrame, neighbours: DataFrame, rounds: int = ROU
     return places.select("doc_id", "x", "y")
 
 
-def trustworthiness(points: DataFrame, k: int = 10, metric: str = "l2", judged: int = JUDGED) -> DataFrame:
+def trustworthiness(points: DataFrame, k: int = 10, metric: str = "l2", judged: int | None = None) -> DataFrame:
     """One row: ``n_judged`` points and the trustworthiness of ``points(doc_id, embedding, x, y)`` for them.
 
-    The points are those with the smallest hashes of their keys. A neighbour in
-    the map that is none in space costs its rank in space beyond k; ranks are
-    counted over all rows, task by task.
+    All points are judged, or the ``judged`` ones with the smallest hashes of their keys. A neighbour in the map that is none
+    in space costs its rank in space beyond k; ranks are counted over all rows, a pair of blocks at a time.
     """
     points = points.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), F.array("x", "y").alias("map"), F.lit(0).alias("collection"))
-    n = points.count()
-    some = points.orderBy(F.xxhash64("doc_id"), "doc_id").limit(judged)
+    n, width = points.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if 2 * n - 3 * k - 1 <= 0:
+        return points.sparkSession.createDataFrame([(0, 1.0)], "n_judged long, trustworthiness double")
+    some = points if judged is None else points.orderBy(F.xxhash64("doc_id"), "doc_id").limit(judged)
     flat = nearest(some.select(F.col("doc_id").alias("query_id"), F.col("map").alias("embedding")), points.select("doc_id", "collection", F.col("map").alias("embedding")), k + 1, "l2")
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     pairs = flat.filter("query_id <> doc_id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("query_id", "doc_id")
-    a = some.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("from"))
-    rows = pairs.join(a, "query_id").join(points.select("doc_id", F.col("embedding").alias("to")), "doc_id")
-    rows = collect_bounded(rows, judged * k, "judged pairs")
-    if not rows or 2 * n - 3 * k - 1 <= 0:
-        return points.sparkSession.createDataFrame([(0, 1.0)], "n_judged long, trustworthiness double")
-    queries: dict[object, list] = {}
-    for r in rows:
-        queries.setdefault(r["query_id"], [r["from"], []])[1].append(r["to"])
-    unit = _unit if metric == "cosine" else (lambda m: m)
-    ids = sorted(queries)
-    froms = unit(np.array([queries[i][0] for i in ids], float))
-    limits = [np.sqrt(((unit(np.array(queries[i][1], float)) - f) ** 2).sum(1)) for i, f in zip(ids, froms)]
-    shared = share((ids, froms, limits))
-
-    def closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, froms, limits = shared.value
-        counts = [np.zeros(len(x), np.int64) for x in limits]
+    others = pairs.join(points.select("doc_id", F.col("embedding").alias("to")), "doc_id").groupBy("query_id").agg(F.collect_list("to").alias("tos"))
+    asked = others.join(some.select(F.col("doc_id").alias("query_id"), "embedding"), "query_id")
+    kind, unit = dict(points.dtypes)["doc_id"], _unit if metric == "cosine" else (lambda m: m)
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How far each point's neighbours of the map are in space."""
         for batch in batches:
-            if not len(batch):
-                continue
-            vectors, keys = unit(_matrix(batch["embedding"])), batch["doc_id"].to_numpy()
-            squared = (froms**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2.0 * froms @ vectors.T
-            distances = np.sqrt(np.maximum(squared, 0.0))
-            for q, limit in enumerate(limits):
-                near = np.sort(distances[q][keys != ids[q]])
-                counts[q] += np.searchsorted(near, limit - 1e-9)
-        yield pd.DataFrame({"pair": np.arange(sum(map(len, counts))), "n": np.concatenate(counts)})
-
-    ranks = points.select("doc_id", "embedding").mapInPandas(closer, "pair long, n long").groupBy("pair").agg((F.sum("n") + 1).alias("rank"))
-    cost = ranks.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias("cost"))
-    return cost.select(F.lit(len(ids)).cast("long").alias("n_judged"), (1.0 - F.col("cost") * 2.0 / (len(ids) * k * (2 * n - 3 * k - 1))).alias("trustworthiness"))
+            limits = [np.sqrt(((unit(np.stack(tos).astype(float)) - unit(own[None].astype(float))) ** 2).sum(1)) for own, tos in zip(batch["embedding"], batch["tos"])]
+            yield batch[["query_id", "embedding"]].assign(limits=limits)
+
+    asked = materialize(asked.mapInPandas(reach, f"query_id {kind}, embedding array<double>, limits array<double>"), "judged")
+    columns = [f"n{i}" for i in range(k)]
+
+    def closer(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame(columns=["query_id", *columns])
+        froms, vectors = unit(_matrix(asked["embedding"])), unit(_matrix(rows["embedding"]))
+        ids, keys, own = asked["query_id"].to_numpy(), rows["doc_id"].to_numpy(), (vectors**2).sum(1)
+        limits = np.zeros((len(ids), k))
+        for i, found in enumerate(asked["limits"]):
+            limits[i, : len(found)] = found
+        counts = np.zeros((len(ids), k), np.int64)
+        step = max(1, MATRIX_VALUES // len(keys))
+        for start in range(0, len(ids), step):
+            part, limit = froms[start : start + step], limits[start : start + step]
+            squared = (part**2).sum(1)[:, None] + own[None, :] - 2.0 * part @ vectors.T
+            # all but few rows are beyond the farthest neighbour
+            q, at = np.nonzero(squared < limit.max(axis=1, keepdims=True) ** 2)
+            other = ids[start + q] != keys[at]
+            q, near = q[other], np.sqrt(np.maximum(squared[q[other], at[other]], 0.0))
+            for i in range(k):
+                counts[start : start + step, i] = np.bincount(q[near < limit[q, i] - 1e-9], minlength=len(part))
+        return pd.DataFrame(counts, columns=columns).assign(query_id=ids)[["query_id", *columns]]
+
+    met = blocks_met(asked, points.select("doc_id", "embedding"), "query_id", "doc_id", width)
+    sums = met.applyInPandas(closer, ", ".join([f"query_id {kind}", *[f"{c} long" for c in columns]])).groupBy("query_id").agg(*[F.sum(c).alias(c) for c in columns])
+    # a rank is one more than the rows that are closer
+    cost = reduce(Column.__add__, [F.greatest(F.col(c) + 1 - k, F.lit(0)) for c in columns])
+    share = 2.0 / (F.col("n_judged") * k * (2 * n - 3 * k - 1))
+    return sums.agg(F.count("*").alias("n_judged"), F.sum(cost).alias("cost")).select(
+        "n_judged", F.when(F.col("n_judged") > 0, 1.0 - F.col("cost") * share).otherwise(1.0).alias("trustworthiness"))

@@ -30,9 +30,11 @@ def _map(spark, sf_dir):
         starts = points.withColumn("p", components.project(axes, "embedding")).select(
             "doc_id", "embedding", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
         docs = points.withColumn("collection", F.lit(0))
-        index = vector_index.build_index(docs, work_path(spark, "map-index"), "l2")
+        # nothing of the map hangs on a draw of points: centroids and probes are those of all
+        index = vector_index.build_index(docs, work_path(spark, "map-index"), "l2", fit_rows=None)
         queries = points.select(F.col("doc_id").alias("query_id"), "embedding")
-        near = vector_index.search(index, queries, docs, NEIGHBOURS + 1, vector_index.probes_for(index, docs, NEIGHBOURS + 1))
+        probes = vector_index.probes_for(index, docs, NEIGHBOURS + 1, measured=None)
+        near = vector_index.search(index, queries, docs, NEIGHBOURS + 1, probes)
         places = layout.embed_neighbours(starts, near, ROUNDS)
         _MAPS[key] = rows, materialize(starts.drop("x", "y").join(places, "doc_id"), "map-places")
     return _MAPS[key]
@@ -45,7 +47,7 @@ def neighbour_map(spark, sf_dir):
 
 
 def neighbour_map_quality(spark, sf_dir):
-    """Events placed, and whether the map's neighbourhoods can be trusted by nine in ten."""
+    """Events placed, and whether the neighbourhoods of all points of the map can be trusted by nine in ten."""
     rows, places = _map(spark, sf_dir)
     trust = layout.trustworthiness(places, 10).first()["trustworthiness"]
     placed = rows.join(places.filter("NOT isnan(x) AND NOT isnan(y)").drop("doc_id"), "embedding", "left")
