@@ -39,12 +39,12 @@ def ngram_counts(spark, sf_dir):
 
 
 def term_weights(spark, sf_dir):
-    weights = keywords.term_weights(keywords.term_counts(_doc_tokens(spark, sf_dir)))
+    weights = keywords.term_weights(keywords.term_counts(_doc_tokens(spark, sf_dir), min_topics=keywords.MIN_TOPICS))
     return weights.select("topic", "term", "n", F.round("weight", 8).alias("weight"))
 
 
 def _keywords(spark, sf_dir):
-    weights = keywords.term_weights(keywords.term_counts(_doc_tokens(spark, sf_dir)))
+    weights = keywords.term_weights(keywords.term_counts(_doc_tokens(spark, sf_dir), min_topics=keywords.MIN_TOPICS))
     return keywords.keyword_text(keywords.top_terms(weights), noise=None)
 
 
