@@ -29,17 +29,23 @@ class Boundary(NamedTuple):
 
 
 def fourier(points: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    return np.sqrt(2.0 / len(phases)) * np.cos(points @ directions + phases)
+    z = points @ directions
+    z += phases
+    np.cos(z, out=z)
+    z *= np.sqrt(2.0 / len(phases))
+    return z
 
 
 def descend(z: np.ndarray, weights: np.ndarray, rho: float, nu: float, first_step: int, steps: int):
     """Subgradient steps on 0.5|w|^2 - rho + mean(max(0, rho - w.z)) / nu."""
     for t in range(first_step, first_step + steps):
         rate = 1.0 / (t + 1)
-        inside = (z @ weights < rho).astype(float)
-        pull = (inside @ z) / (nu * len(z))
+        inside = z @ weights < rho
+        n = np.count_nonzero(inside)
+        # few rows are inside after the first steps, and only they pull
+        pull = (z[inside].sum(axis=0) if n < len(z) // 4 else inside.astype(float) @ z) / (nu * len(z))
         weights = (1 - rate) * weights + rate * pull
-        rho = rho + rate * (1.0 - inside.mean() / nu)
+        rho = rho + rate * (1.0 - n / len(z) / nu)
     return weights, rho
 
 

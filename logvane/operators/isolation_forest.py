@@ -120,14 +120,25 @@ def forest_paths(forest: Forest, points: np.ndarray) -> np.ndarray:
     """Mean path length per row."""
     rows, width = points.shape
     flat = np.ascontiguousarray(points).ravel()
-    base = np.arange(rows, dtype=np.int64) * width
+    base = np.arange(rows, dtype=np.intp) * width
     total = np.zeros(rows)
     inner = 2**forest.height - 1
-    for features, thresholds, path in zip(forest.features, forest.thresholds, forest.path_length):
-        node = np.zeros(rows, dtype=np.int64)
+    # the walk writes into the same buffers for all trees
+    node, at, right = np.empty(rows, np.intp), np.empty(rows, np.intp), np.empty(rows, bool)
+    value, limit = np.empty(rows), np.empty(rows)
+    for features, thresholds, path in zip(forest.features.astype(np.intp), forest.thresholds, forest.path_length):
+        node.fill(0)
         for _ in range(forest.height):
-            node = 2 * node + 1 + (flat[base + features[node]] >= thresholds[node])
-        total += path[node - inner]
+            np.take(features, node, out=at, mode="clip")
+            at += base
+            np.take(flat, at, out=value, mode="clip")
+            np.take(thresholds, node, out=limit, mode="clip")
+            np.greater_equal(value, limit, out=right)
+            node += node
+            node += right
+            node += 1
+        node -= inner
+        total += np.take(path, node, out=value, mode="clip")
     return total / len(forest.features)
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logvane.session import materialize
+
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows: those with the smallest seeded hash of the key.
@@ -22,7 +24,8 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     share = (n + 10 * math.sqrt(n) + 10) / total
     if share < 1:
         bound = int(share * 2**60)
-        near = ranked.filter(F.col("_h") <= bound)
+        # little more than the sample: stored, as counting it would hash all keys once more
+        near = materialize(ranked.filter(F.col("_h") <= bound), "sampled")
         if near.count() >= n:
             ranked = near
     return ranked.orderBy("_h", key).limit(n).drop("_h")
