@@ -10,9 +10,11 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> None:
     """Replace the stage table; with ``partition_by`` only the partitions present in ``df``."""
     writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

@@ -169,7 +169,7 @@ def _land(texts, collection, path):
     bundles = parsed.groupBy(F.size(parsed.columns[0]) > 0, number).agg(
         *[F.flatten(F.collect_list(c)).alias(c) for c in parsed.columns]
     )
-    bundles.select(F.to_json(whole)).write.option("maxRecordsPerFile", 1).text(path)
+    bundles.select(F.to_json(whole)).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def collection_counts(spark, sf_dir):
