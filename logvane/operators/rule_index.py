@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +88,11 @@ def _filed(texts: DataFrame, values: DataFrame, sizes: tuple[int, ...]) -> DataF
     for size in sorted(sizes):
         own = F.when(F.length("text") >= size, _pieces(F.col("text"), size)).otherwise(own)
     pieces = texts.withColumn("piece", F.explode(own))
-    counts = _probes(values, _sizes(pieces)).groupBy(_slot().alias("slot")).agg(F.count("*").alias("n"))
+    used = _sizes(pieces)
+    # a short piece has a slot of its own
+    short = _short_counts(values, [size for size in used if size <= PIECE]).select(_slot().alias("slot"), "n")
+    long = _probes(values, [size for size in used if size > PIECE]).groupBy(_slot().alias("slot")).agg(F.count("*").alias("n"))
+    counts = short.unionByName(long)
     # combined before the shuffle: the pieces of a text lie in one task
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece")
     key = ["event_id", "field", "text"]
@@ -119,6 +127,73 @@ def _probes(values: DataFrame, sizes: list[int]) -> DataFrame:
     return values.withColumn("piece", F.explode(F.concat(*[_pieces(F.col("value"), size) for size in sizes])))
 
 
+#: characters compared at once, and distinct pieces that a task holds before it passes them on
+CHARS_TOGETHER, PIECES_HELD = 1_000_000, 1_000_000
+
+
+def _counted_pieces(values: list[str], group: np.ndarray, size: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Group, piece and number of the values with that piece, every value once."""
+    lengths = np.array([len(v) for v in values])
+    codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, letter = np.unique(codes, return_inverse=True)
+    bits, row_bits = max(1, len(letters).bit_length()), max(len(values).bit_length(), int(group.max()).bit_length() + 1)
+    if not size or bits * size + row_bits > 62 or (len(letters) and letters[0] == 0):
+        found = Counter((g, v[i : i + size]) for g, v in zip(group.tolist(), values) for i in {v[j : j + size]: j for j in range(len(v) - size + 1)}.values())
+        return np.array([g for g, _ in found], np.int64), [piece for _, piece in found], np.array([*found.values()], np.int64)
+    ends, row = np.cumsum(lengths), np.repeat(np.arange(len(values)), lengths)
+    start = np.flatnonzero(np.arange(len(codes)) + size <= ends[row])
+    key = np.zeros(len(start), np.int64)
+    for j in range(size):
+        key = key << bits | letter[start + j]
+    once = np.sort(row[start] << bits * size | key)
+    once = once[np.r_[len(once) > 0, once[1:] != once[:-1]]]
+    mask = (1 << bits * size) - 1
+    found, n = np.unique(group[once >> bits * size] << bits * size | once & mask, return_counts=True)
+    spelt = letters[np.stack([found >> bits * (size - 1 - j) & (1 << bits) - 1 for j in range(size)], axis=1)]
+    return found >> bits * size, np.ascontiguousarray(spelt, "<u4").view(f"<U{size}").ravel().tolist(), n
+
+
+def _short_counts(values: DataFrame, sizes: list[int]) -> DataFrame:
+    """``event_id, field, piece, n``: in how many of the distinct values each piece of some short lengths is.
+
+    A task counts the pieces of many values by the numbers of their characters before any piece is a row.
+    """
+    def fold(parts: list[pa.Table]) -> pa.Table:
+        counts = pa.concat_tables(parts).group_by(["event_id", "field", "piece"], use_threads=False).aggregate([("n", "sum")])
+        return counts.rename_columns({"n_sum": "n"}).select(["event_id", "field", "piece", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            texts = batch.column("value").to_pylist()
+            ids, fields = (batch.column(name).dictionary_encode("encode") for name in ("event_id", "field"))
+            width = max(len(fields.dictionary), 1)
+            group = ids.indices.to_numpy().astype(np.int64) * width + fields.indices.to_numpy()
+            ends, start = np.cumsum([len(t) for t in texts]), 0
+            while start < len(texts):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS_TOGETHER, "right")))
+                for size in sizes:
+                    g, piece, n = _counted_pieces(texts[start:stop], group[start:stop], size)
+                    of_id, of_field = np.divmod(g, width)
+                    held.append(pa.table({
+                        "event_id": ids.dictionary.take(pa.array(of_id)), "field": fields.dictionary.take(pa.array(of_field)),
+                        "piece": pa.array(piece, pa.string()), "n": n}))
+                    waiting += len(n)
+                start = stop
+            if waiting > 2 * PIECES_HELD:
+                held = [fold(held)]
+                waiting = len(held[0])
+                if waiting > PIECES_HELD:
+                    yield from held.pop().combine_chunks().to_batches(max_chunksize=50_000)
+                    waiting = 0
+        if held:
+            yield from fold(held).combine_chunks().to_batches(max_chunksize=50_000)
+
+    rows = values.select("event_id", "field", "value")
+    counted = (rows if sizes else rows.filter(F.lit(False))).mapInArrow(count, "event_id long, field string, piece string, n long")
+    return counted.groupBy("event_id", "field", "piece").agg(F.sum("n").alias("n"))
+
+
 def candidates(values: DataFrame, index: DataFrame) -> DataFrame:
     """The rules filed under a piece of a value, each once, with the value.
 
@@ -205,8 +280,10 @@ def candidate_counts(events: DataFrame, index: DataFrame, fields: list[str] = RU
     per_side = [side.groupBy("event_id", "field").agg(F.count("*").alias(name)) for side, name in ((filed, "n_texts"), (values, "n_values"))]
     all_pairs = per_side[0].join(per_side[1], ["event_id", "field"]).select(F.col("n_texts") * F.col("n_values"))
     piece = ["event_id", "field", "piece"]
-    per_piece = [side.groupBy(*piece).agg(F.count("*").alias(name)) for side, name in ((filed, "n_texts"), (_probes(values, _sizes(filed)), "n_values"))]
-    met = per_piece[0].join(per_piece[1], piece).select((F.col("n_texts") * F.col("n_values")).alias("n"))
+    used = _sizes(filed)
+    long = _probes(values, [size for size in used if size > PIECE]).groupBy(*piece).agg(F.count("*").alias("n"))
+    per_value = _short_counts(values, [size for size in used if size <= PIECE]).unionByName(long)
+    met = filed.groupBy(*piece).agg(F.count("*").alias("n_texts")).join(per_value.withColumnRenamed("n", "n_values"), piece).select((F.col("n_texts") * F.col("n_values")).alias("n"))
     refiled = materialize(_filed(filed.select("event_id", "field", "text"), values, PIECES), "rule_index")
     matches = candidates(values, refiled).filter(F.col("value").contains(F.col("text")))
     parts = [
