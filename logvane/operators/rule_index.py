@@ -146,7 +146,7 @@ def _counted_pieces(values: list[str], group: np.ndarray, size: int) -> tuple[np
     for j in range(size):
         key = key << bits | letter[start + j]
     once = np.sort(row[start] << bits * size | key)
-    once = once[np.r_[len(once) > 0, once[1:] != once[:-1]]]
+    once = once[np.flatnonzero(np.r_[len(once) > 0, once[1:] != once[:-1]])]
     mask = (1 << bits * size) - 1
     found, n = np.unique(group[once >> bits * size] << bits * size | once & mask, return_counts=True)
     spelt = letters[np.stack([found >> bits * (size - 1 - j) & (1 << bits) - 1 for j in range(size)], axis=1)]

@@ -138,3 +138,4 @@ def test_short_pieces_are_counted_by_task(spark, monkeypatch):
         found = [tuple(r) for r in rule_index._short_counts(df, [0, 1, 2, 4]).collect()]
         assert len(found) == len(plain) and {tuple(r[:3]): r[3] for r in found} == plain
     assert rule_index._short_counts(df, []).count() == 0
+    assert rule_index._short_counts(df.filter("length(value) < 4"), [4]).count() == 0
